@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, warc
+from . import bpe, chat, langid, simhash, substrings, warc
 from .common import table
 
 
@@ -84,11 +84,23 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 FROM g"""
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, window=35, with_kept=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_bpe": op4_bpe,
     "op5_chat": op5_chat,
+    "op7_simhash": op7_simhash,
+    "op8_substrings": op8_substrings,
 }
 
 SQL = {
