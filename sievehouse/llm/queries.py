@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, simhash, substrings, warc
+from . import bpe, chat, fingerprint, langid, simhash, substrings, warc
 from .common import table
 
 
@@ -84,6 +84,10 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 FROM g"""
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edited(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -99,6 +103,7 @@ QUERIES = {
     "op3_warc_revisits": op3_warc_revisits,
     "op4_bpe": op4_bpe,
     "op5_chat": op5_chat,
+    "op6_minhash": op6_minhash,
     "op7_simhash": op7_simhash,
     "op8_substrings": op8_substrings,
 }
