@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, langid, simhash, substrings, warc
+from . import bpe, chat, decontam, fingerprint, langid, pii, simhash, substrings, warc
 from .common import table
 
 
@@ -19,6 +19,15 @@ def remainder(key: str, by: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(by))
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.train_span_model(docs))
+    base = F.filter("found", lambda s: s["base"])
+    number = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(F.col("found")).alias("spans"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train_language_model(docs.where(remainder("doc_id", 3) != 1))
@@ -98,7 +107,29 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs, window=35, with_kept=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+v AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM benchmark),
+d AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w),
+b AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM v),
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+FROM d JOIN b USING (shingle) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING 5 * count(*) >= 4 * any_value(n_item)"""
+
+
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op2_language_id": op2_language_id,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_bpe": op4_bpe,
@@ -106,9 +137,11 @@ QUERIES = {
     "op6_minhash": op6_minhash,
     "op7_simhash": op7_simhash,
     "op8_substrings": op8_substrings,
+    "op9_decontamination": op9_decontamination,
 }
 
 SQL = {
     "op3_warc_revisits": OP3_SQL,
     "op5_chat": OP5_SQL,
+    "op9_decontamination": OP9_SQL,
 }
