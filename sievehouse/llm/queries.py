@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprint, langid, pii, simhash, substrings, warc
+from . import bpe, chat, decontam, fingerprint, langid, pii, quality, simhash, substrings, warc
 from .common import table
 
 
@@ -128,6 +128,13 @@ FROM d JOIN b USING (shingle) JOIN n USING (item_id)
 GROUP BY doc_id, item_id HAVING 5 * count(*) >= 4 * any_value(n_item)"""
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.train_quality_model(docs, labels.where(remainder("doc_id", 5) != 0))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_language_id": op2_language_id,
@@ -138,6 +145,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,
+    "op10_quality": op10_quality,
 }
 
 SQL = {
