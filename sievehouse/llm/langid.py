@@ -127,9 +127,10 @@ def train_language_model(labelled: DataFrame, text: str = "text", lang: str = "l
         return None
     idf = np.array([np.log((1 + seen[-1]) / (1 + seen.get(b, 0))) + 1 for b in range(BUCKETS)])
 
-    sizes = rows.groupBy("lang").count()
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # the model has a column for each
     draw = F.pmod(F.xxhash64("key", F.length("text"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(sizes, "lang").where(draw * F.col("count") < per_language)
+    size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    chosen = rows.where(draw * F.element_at(size, F.col("lang")) < per_language)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
