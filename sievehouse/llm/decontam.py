@@ -60,6 +60,6 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """docs without those that contain an item. Columns are unchanged."""
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("doc"), F.col(text).alias("text"))
-    found = written(contained_items(texts, items.select(F.col(item).alias(item), F.col(text).alias("text")), "doc", "text", item).select("doc").distinct(), "contaminated")
+    found = written(contained_items(texts, items.select(F.col(item).alias(item), F.col(text).alias("text")), "doc", "text", item).select(F.col("doc").alias("__found")).distinct(), "contaminated")
     marked = docs.withColumn("__doc", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return marked.join(found, F.col("__doc") == F.col("doc"), "left_anti").select(*docs.columns)
+    return marked.join(found, F.col("__doc") == F.col("__found"), "left_anti").select(*docs.columns)

@@ -166,8 +166,8 @@ def links(nodes: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of edges (a, b): root is the smallest node
-    that it is connected to. Alternates the large-star and the small-star step
+    """(node, root) for each node of edges (a, b) but the roots: root is the
+    smallest node that it is connected to. Alternates the large-star and the small-star step
     until nothing changes; each round ends in a written table. A node with
     many neighbours is summed up before the shuffle, and Spark splits it in
     the join."""

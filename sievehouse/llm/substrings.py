@@ -242,7 +242,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_k
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept")
     places = repeated_windows(docs, window, text)
-    joined = docs.withColumn("__doc", F.xxhash64(F.coalesce(text, F.lit("")))).join(places.withColumnRenamed("places", "__places"), F.col("__doc") == F.col("doc"), "left").drop("__doc", "doc")
+    places = places.select(F.col("doc").alias("__found"), F.col("places").alias("__places"))
+    joined = docs.withColumn("__doc", F.xxhash64(F.coalesce(text, F.lit("")))).join(places, F.col("__doc") == F.col("__found"), "left").drop("__doc", "__found")
     at, names = docs.columns.index(text), [*docs.columns, "n_words", "n_removed", "kept_sha256", *(["kept"] if with_kept else [])]
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([*docs.schema.fields, *fields, *([T.StructField("kept", T.StringType())] if with_kept else [])])
