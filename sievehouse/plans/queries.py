@@ -277,10 +277,10 @@ def finding_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _context_sql() -> str:
     email = S.PERSONAL[0]
     prefix = _before(email.pattern, False)
-    return f"""WITH {_DOCS_SQL}, h AS (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS lines, {_line(prefix)} AS line, length({prefix}) AS at
+    return f"""WITH {_DOCS_SQL}, h AS (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS lines, {_line(prefix)} AS line, length({prefix}) AS place
   FROM docs WHERE regexp_matches(text, '{R.re2(email.pattern)}'))
 SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(greatest(1, line - 3) AS INTEGER) AS start_line,
-  left(array_to_string(lines[greatest(1, line - 3):line + 3], chr(10)), 400) AS snippet, CAST(floor(at / 1000) AS INTEGER) AS chunk FROM h"""
+  left(array_to_string(lines[greatest(1, line - 3):line + 3], chr(10)), 400) AS snippet, CAST(floor(place / 1000) AS INTEGER) AS chunk FROM h"""
 
 
 # ---- catalogues over lines

@@ -24,8 +24,7 @@ def gap_windows(events: DataFrame, machine: str, ts: str, order: str, unscreened
     rolled = rows.groupBy(machine, "island").agg(
         F.min(F.when(call, F.col(ts))).alias("opened_at"), F.max(F.when(F.col("c") == 1, F.col(ts))).alias("end"), F.sum("u").alias("unscreened_calls"), F.sum("l").alias("locally_decided_calls")
     )
-    age = F.unix_micros("end") - F.unix_micros("opened_at")
-    fresh = age <= STALE_SECONDS * 1_000_000
+    fresh = F.col("end") - F.col("opened_at") <= F.expr(f"INTERVAL {STALE_SECONDS} SECONDS")
     return rolled.where("unscreened_calls + locally_decided_calls > 0").select(
         machine, "island", "opened_at", F.when(fresh, F.col("end")).alias("closed_at"), "unscreened_calls", "locally_decided_calls",
         F.when(F.col("end").isNull(), "open").when(fresh, "closed").otherwise("end not observed").alias("state"),
