@@ -64,26 +64,42 @@ def ranked_evidence(cited: DataFrame, key: str = "doc_id") -> DataFrame:
     return cited.withColumn("rank", F.row_number().over(W.partitionBy(key, "cap").orderBy(F.desc("score"), "line", "ord")))
 
 
+def summarize(cited: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_evidence, paths): one row a document with evidence. paths holds
+    each described source with each described sink, the most severe first."""
+    ranked = ranked_evidence(cited, key)
+    best = F.when(F.col("rank") == 1, F.struct("cap", "what"))
+    rolled = ranked.groupBy(key).agg(F.count("*").alias("n_evidence"), F.collect_list(best).alias("caps"))
+    side = lambda caps: F.array_compact(F.array(*[F.get(_of(cap), F.lit(0)) for cap in caps]))
+
+    def path(s: Column, k: Column) -> Column:
+        level = path_severity(s["cap"], k["cap"])
+        return F.struct((-FN.rank(level)).alias("order"), s["cap"].alias("source"), k["cap"].alias("sink"), level.alias("severity"), F.concat_ws("→", s["cap"], k["cap"]).alias("path"), s["what"].alias("source_what"), k["what"].alias("sink_what"))
+
+    paths = F.flatten(F.transform("sources", lambda s: F.transform("sinks", lambda k: path(s, k))))
+    return rolled.withColumns({"sources": side(P.SOURCES), "sinks": side(P.SINKS)}).select(key, "n_evidence", F.array_sort(paths).alias("paths"))
+
+
+def _of(cap: str) -> Column:
+    return F.filter("caps", lambda c: c["cap"] == cap)
+
+
 def attack_paths(cited: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, source, sink, severity, path, source_what, sink_what): each described source with each described sink of a document."""
-    first = ranked_evidence(cited, key).where("rank = 1")
-    left = first.where(F.col("cap").isin(*P.SOURCES)).select(key, F.col("cap").alias("source"), F.col("what").alias("source_what"))
-    right = first.where(F.col("cap").isin(*P.SINKS)).select(key, F.col("cap").alias("sink"), F.col("what").alias("sink_what"))
-    both = left.join(right, key)
-    return both.select(key, "source", "sink", path_severity(F.col("source"), F.col("sink")).alias("severity"), F.concat_ws("→", "source", "sink").alias("path"), "source_what", "sink_what")
+    """(key, source, sink, severity, path, source_what, sink_what), one row a path."""
+    rows = summarize(cited, key).select(key, F.explode("paths").alias("p"))
+    return rows.select(key, "p.source", "p.sink", "p.severity", "p.path", "p.source_what", "p.sink_what")
 
 
 def analyze_designs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: verdict (OPEN_PATH, PARTIAL or NOT_DESCRIBED; none says safe), worst, n_paths, controls."""
-    cited = evidence(docs, key, text)
-    caps = cited.groupBy(key).agg(F.count("*").alias("n_evidence"))
+    """One row a document: verdict (OPEN_PATH, PARTIAL or NOT_DESCRIBED; none says safe), worst, n_paths, n_evidence, controls."""
     controls = F.create_map(*[x for k, v in CONTROLS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    paths = attack_paths(cited, key).withColumn("rank", FN.rank(F.col("severity")))
-    rolled = paths.groupBy(key).agg(F.count("*").alias("n_paths"), F.max_by("severity", "rank").alias("worst"), F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("r"), "path"))).alias("ps"))
-    rolled = rolled.withColumn("controls", F.array_distinct(F.concat(F.flatten(F.transform("ps", lambda p: F.element_at(controls, p["path"]))), F.array(*map(F.lit, GENERIC)))))
-    out = docs.select(key).join(caps, key, "left").join(rolled.drop("ps"), key, "left")
+    out = docs.select(key).join(summarize(evidence(docs, key, text), key), key, "left").withColumn("n_paths", F.coalesce(F.size("paths"), F.lit(0)).cast("long"))
+    listed = F.array_distinct(F.concat(F.flatten(F.transform("paths", lambda p: F.element_at(controls, p["path"]))), F.array(*map(F.lit, GENERIC))))
     verdict = F.when(F.col("n_paths") > 0, "OPEN_PATH").when(F.col("n_evidence") > 0, "PARTIAL").otherwise("NOT_DESCRIBED")
-    return out.select(key, verdict.alias("verdict"), "worst", F.coalesce("n_paths", F.lit(0)).alias("n_paths"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), "controls")
+    return out.select(
+        key, verdict.alias("verdict"), F.get(F.col("paths"), F.lit(0))["severity"].alias("worst"), F.greatest("n_paths", F.lit(0)).alias("n_paths"),
+        F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.when(F.col("n_paths") > 0, listed).alias("controls"),
+    )
 
 
 def checklist(controls: Column) -> Column:

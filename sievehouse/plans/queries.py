@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import regexes as R
 from ..functions import text as X
 from ..functions import wire
-from ..operators import design, memory, models, packages, urls, usage
+from ..operators import design, gate, memory, models, packages, urls, usage
 from ..operators import findings as FN
 from ..operators import scan as SC
 from ..streaming import ledger
@@ -251,6 +251,13 @@ def memory_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "kind", "verdict", "risk_score", F.array_join(F.transform("findings", lambda x: x["label"]), "; ").alias("titles"))
 
 
+def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document through the gate, as a skill, a command or an artifact of unknown kind by its id."""
+    kind = F.element_at(F.array(F.lit("skill"), F.lit("command"), F.lit("auto")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    out = gate.gate(overlaid(spark, sf_dir).withColumns({"kind": kind, "path": F.lit(None).cast("string")}))
+    return out.select("doc_id", "verdict", "risk_score", F.size("findings").alias("n_findings"))
+
+
 # ---- lines
 
 
@@ -441,7 +448,7 @@ _ACK_SQL = f"WITH {_GAPS_SQL} SELECT user_id, opened_at, unscreened_calls FROM g
 QUERIES = {
     "doc_verdict": doc_verdict, "top_finding": top_finding, "verdict_by_label": verdict_by_label, "shell_scan": shell_scan, "force_delete": force_delete,
     "secret_scan": secret_scan, "injection_scan": injection_scan, "pii_scan": pii_scan, "egress_scan": egress_scan, "setting_scan": setting_scan,
-    "masked_verdict": masked_verdict, "memory_grade": memory_grade, "line_stats": line_stats, "finding_context": finding_context,
+    "masked_verdict": masked_verdict, "memory_grade": memory_grade, "gate_verdict": gate_verdict, "line_stats": line_stats, "finding_context": finding_context,
     "provider_rollup": provider_rollup, "model_refs": model_refs, "design_paths": design_paths, "design_verdict": design_verdict,
     "package_look_alikes": package_look_alikes, "url_risk": url_risk, "asset_clamp": asset_clamp,
     "gap_windows": gap_windows, "gap_compact": gap_compact, "gap_acknowledged": gap_acknowledged,
