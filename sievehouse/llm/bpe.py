@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: A worker's cache holds at most so many words, or those of one run of texts.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 #: So many characters are encoded at once.
-TOGETHER = 3_000_000
+TOGETHER = 1_500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -223,53 +224,54 @@ def _tokenizer(definition: str) -> Tokenizer:
     return _LOADED[key]
 
 
-def _encoded(tokenizer: Tokenizer, texts: pa.Array) -> Iterator[bytes]:
-    """The ids of each text, with texts of about TOGETHER characters encoded at once."""
-    waiting, chars = [], 0
-    for value in texts:
-        waiting.append(value.as_py() or "")
-        chars += len(waiting[-1])
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in slices of about TOGETHER characters."""
+    begin = chars = 0
+    for i, size in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        chars += size or 0
         if chars >= TOGETHER:
-            yield from tokenizer.encode(waiting)
-            waiting, chars = [], 0
-    yield from tokenizer.encode(waiting)
+            yield batch.slice(begin, i + 1 - begin)
+            begin, chars = i + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
 
 
-def encode_texts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """Encodes every whole text and decodes it again.
 
     vocabulary: the path of the vocabulary file on the driver; its content, a
     few MB whatever the input, is broadcast. Returns key, n_tokens, ids_sha256
-    (ids as little-endian unsigned 32-bit integers), decoded_sha256, and with
-    with_ids the columns token_ids and decoded. A null text counts as empty:
+    (ids as little-endian unsigned 32-bit integers), decoded_sha256, and if
+    asked for the columns token_ids and decoded. A null text counts as empty:
     no tokens. Repeated rows are encoded each for itself, other columns are not
-    read. No row moves between tasks.
+    read. No row moves between tasks; a task holds its word cache and the
+    tokens of about TOGETHER characters, or of one longer text.
     """
     with open(vocabulary, encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
-    kind = docs.schema[key].dataType
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids, *["decoded"] * with_decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
         for batch in batches:
             tokenizer = tokenizer or _tokenizer(definition.value)
-            counts, hashes, decoded_hashes, all_ids, all_texts = [], [], [], [], []
-            for ids in _encoded(tokenizer, batch.column(1)):
-                decoded = tokenizer.decode(ids)
-                counts.append(len(ids) // 4)
-                hashes.append(hashlib.sha256(ids).hexdigest())
-                decoded_hashes.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+            for part in _portions(batch):
+                ids = tokenizer.encode([v or "" for v in part.column(1).to_pylist()])
+                decoded_hashes, texts = [], []
+                for x in ids:
+                    decoded = tokenizer.decode(x)
+                    decoded_hashes.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                    if with_decoded:
+                        texts.append(decoded)
+                counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+                columns = [part.column(0), pa.array(counts), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(decoded_hashes, pa.string())]
                 if with_ids:
-                    all_ids.append(np.frombuffer(ids, "<u4"))
-                    all_texts.append(decoded)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded_hashes, pa.string())]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int64())), pa.array(all_texts, pa.string())]
-                names += ["token_ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = f"`{key}` {kind.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    if with_ids:
-        schema += ", token_ids array<bigint>, decoded string"
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                if with_decoded:
+                    columns.append(pa.array(texts, pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema += ", token_ids array<int>" * with_ids + ", decoded string" * with_decoded
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)

@@ -54,7 +54,7 @@ FROM w"""
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False, with_decoded=False)
 
 
 PROBE = "</s>[INST] ok [/INST]"
