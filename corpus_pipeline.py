@@ -33,7 +33,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_texts(docs, vocabulary(), with_ids=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
+    return bpe.encode_texts(docs, vocabulary(), with_decoded=False)
 
 
 STAGES = [
