@@ -24,7 +24,7 @@ def decoded_blobs(text: Column) -> Column:
     """Texts hidden in long base64 runs that read like a payload."""
 
     def decode(blob: Column) -> Column:
-        clean = F.rtrim(F.lit("="), blob)
+        clean = F.rtrim(blob, F.lit("="))
         padded = F.rpad(clean, (F.ceil(F.length(clean) / 4) * 4).cast("int"), F.lit("="))
         return F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
 
