@@ -15,6 +15,7 @@ from ..functions import wire
 from ..operators import design, gate, memory, models, packages, urls, usage
 from ..operators import findings as FN
 from ..operators import scan as SC
+from ..operators import source_code as SRC
 from ..streaming import ledger
 from . import prose as P
 from . import signals as S
@@ -57,6 +58,10 @@ OVERLAY = [
     "rm -rf /home/me && rm -rf dist",
     '{"yolo": true}',
     "yolo mode is a joke here",
+    "import base64, os\nblob = base64.b64decode(x)\nos.system(\n  blob)",
+    "out = client.messages.create(a,\n  b)\ncode = out.text\nexec(code)",
+    "m = f(trust_remote_code=True)\nrequests.get(url)",
+    "# eval(x)\nprint('trust_remote_code=True')",
 ]
 SLOTS = 48
 
@@ -321,6 +326,24 @@ SELECT provider, label, category, count(*) AS sightings, count(DISTINCT file) AS
 FROM u GROUP BY ALL"""
 
 
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read as source files: Python and script by turns of their id."""
+    docs = overlaid(spark, sf_dir)
+    return SRC.statements(docs.withColumn("file", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 < 2, ".py").otherwise(".js"))))
+
+
+def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SRC.rule_findings(_statements(spark, sf_dir))
+
+
+def code_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SRC.chain_findings(SRC.rule_findings(_statements(spark, sf_dir)))
+
+
+def code_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SRC.flow_findings(_statements(spark, sf_dir))
+
+
 def model_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.model_references(overlaid(spark, sf_dir))
 
@@ -449,7 +472,7 @@ QUERIES = {
     "doc_verdict": doc_verdict, "top_finding": top_finding, "verdict_by_label": verdict_by_label, "shell_scan": shell_scan, "force_delete": force_delete,
     "secret_scan": secret_scan, "injection_scan": injection_scan, "pii_scan": pii_scan, "egress_scan": egress_scan, "setting_scan": setting_scan,
     "masked_verdict": masked_verdict, "memory_grade": memory_grade, "gate_verdict": gate_verdict, "line_stats": line_stats, "finding_context": finding_context,
-    "provider_rollup": provider_rollup, "model_refs": model_refs, "design_paths": design_paths, "design_verdict": design_verdict,
+    "code_findings": code_findings, "code_chains": code_chains, "code_flows": code_flows, "provider_rollup": provider_rollup, "model_refs": model_refs, "design_paths": design_paths, "design_verdict": design_verdict,
     "package_look_alikes": package_look_alikes, "url_risk": url_risk, "asset_clamp": asset_clamp,
     "gap_windows": gap_windows, "gap_compact": gap_compact, "gap_acknowledged": gap_acknowledged,
 }
