@@ -1,0 +1,112 @@
+"""What runs on machines: dependencies, artifacts and permissions, as tables of files and settings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+_MAP = "map<string,string>"
+#: The maps of a package manifest; a package named in two of them counts once.
+DEPENDENCIES = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
+MOST_MANIFESTS, MOST_BUNDLED, MOST_RULES = 10, 20, 60
+
+
+def npm_packages(text: Column) -> Column:
+    """The packages a JSON manifest depends on (unreadable or null: none)."""
+    manifest = F.from_json(text, ", ".join(f"{d} {_MAP}" for d in DEPENDENCIES))
+    names = [F.coalesce(F.map_keys(manifest[d]), F.array().cast("array<string>")) for d in DEPENDENCIES]
+    return F.array_sort(F.array_distinct(F.concat(*names)))
+
+
+def pip_packages(text: Column) -> Column:
+    """The packages that the lines of a requirements file begin with, in lower case."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\\r?\\n")
+    names = F.transform(lines, lambda x: F.lower(F.regexp_extract(x, "^\\s*([A-Za-z0-9][A-Za-z0-9._-]*)\\s*(?:\\[[^\\]]*\\])?\\s*(?:[=<>!~;].*)?(?:#.*)?\\z", 1)))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda n: n != "")))
+
+
+def dependency_assets(manifests: DataFrame, known: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(ecosystem, package, n_manifests, manifests) of the packages in known
+    (ecosystem, package), with their first manifests by path. A manifest named
+    package.json is npm's, any other pip's. Manifests are ranked before they
+    are gathered, so a package that all use is no large group."""
+    npm = F.substring_index(F.col(path), "/", -1) == "package.json"
+    rows = manifests.select(F.col(path).alias("path"), F.when(npm, "npm").otherwise("pip").alias("ecosystem"), F.when(npm, npm_packages(F.col(text))).otherwise(pip_packages(F.col(text))).alias("names"))
+    used = rows.select("ecosystem", F.explode("names").alias("package"), "path").join(known.select("ecosystem", "package").distinct(), ["ecosystem", "package"]).distinct()
+    counts = used.groupBy("ecosystem", "package").agg(F.count("*").alias("n_manifests"))
+    firsts = used.withColumn("nth", F.row_number().over(W.partitionBy("ecosystem", "package").orderBy("path"))).where(F.col("nth") <= MOST_MANIFESTS)
+    listed = firsts.groupBy("ecosystem", "package").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("manifests"))
+    return counts.join(listed, ["ecosystem", "package"])
+
+
+def local_model(path: Column) -> Column:
+    """namespace/model:tag of a model's manifest at registry/namespace/model/tag, or null."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) >= 2, F.concat(F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), "/"), F.lit(":"), F.element_at(parts, -1)))
+
+
+def activate(hits: DataFrame, installed: DataFrame, marketplace: str = "marketplace", readable: bool = True) -> DataFrame:
+    """hits with activation: active where their marketplace is null or
+    installed, available where it isn't, unknown where the list of what is
+    installed could not be read."""
+    if not readable:
+        return hits.withColumn("activation", F.when(F.col(marketplace).isNull(), "active").otherwise("unknown"))
+    there = installed.select(F.col(marketplace).alias("__there")).where("__there is not null").distinct()
+    state = F.when(F.col(marketplace).isNull() | F.col("__there").isNotNull(), "active").otherwise("available")
+    return hits.join(there, F.col(marketplace) == F.col("__there"), "left").withColumn("activation", state).drop("__there")
+
+
+def catalogue_counts(hits: DataFrame, marketplace: str = "marketplace") -> DataFrame:
+    """(marketplace, n) of what is available but not active; no row for each."""
+    return hits.where("activation = 'available'").groupBy(marketplace).agg(F.count("*").alias("n"))
+
+
+def adopt(skills: DataFrame, files: DataFrame, most: int = MOST_BUNDLED) -> DataFrame:
+    """(dir, path, nth) of the files below each skill's directory, most of them
+    a skill by path; nth counts them. skills is (dir, ord), files is (path). A
+    file goes to the skill with the smallest ord that it lies below. Each file
+    is joined by its ancestor directories, so no prefix is compared pairwise."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    places = files.select("path").distinct().where(F.instr("path", "/") > 0).select("path", F.explode(above).alias("dir"))
+    owner = places.join(skills.select("dir", "ord"), "dir").groupBy("path").agg(F.min_by(F.col("dir"), F.struct("ord", "dir")).alias("dir"))
+    ranked = owner.withColumn("nth", F.row_number().over(W.partitionBy("dir").orderBy("path")))
+    return ranked.where(F.col("nth") <= most).select("dir", "path", "nth")
+
+
+_SETTINGS = (
+    "permissions struct<defaultMode:string,allow:array<string>,deny:array<string>,ask:array<string>>, defaultMode string, allowedTools array<string>, enableAllProjectMcpServers boolean"
+)
+
+
+def merge_postures(sources: DataFrame, vendor: str = "vendor", ord_: str = "ord", text: str = "text", most: int = MOST_RULES) -> DataFrame:
+    """One row a vendor of its settings (vendor, ord, text): sources,
+    n_unreadable, mode, allow, deny, ask, trust_all, claim. A bypass of
+    permissions wins over the first mode; lists are joined in order of their
+    first place, most entries each; trusting all servers wins over not trusting
+    them. A source that is no JSON object is a hole, a null text an absent one;
+    the claim is complete only if something was read and there is no hole.
+    Lists are deduplicated before they are gathered."""
+    s = F.from_json("text", _SETTINGS)
+    good = F.coalesce(F.try_parse_json("text").isNotNull() & F.ltrim("text").startswith("{"), F.lit(False))
+    rows = sources.select(F.col(vendor).alias("vendor"), F.col(ord_).alias("ord"), F.col(text).alias("text")).withColumn("read", good).withColumn("s", F.when(F.col("read"), s))
+    mode = F.coalesce("s.permissions.defaultMode", "s.defaultMode")
+    rows = rows.withColumn("mode", mode)
+    bypass = F.lower("mode") == "bypasspermissions"
+    rolled = rows.groupBy("vendor").agg(
+        F.count("*").alias("sources"), F.count_if("read").alias("n_read"), F.count_if(~F.col("read") & F.col("text").isNotNull()).alias("n_unreadable"),
+        F.coalesce(F.max_by(F.when(bypass, F.col("mode")), F.when(bypass, F.col("ord"))), F.min_by("mode", F.when(F.col("mode").isNotNull(), F.col("ord")))).alias("mode"),
+        F.bool_or("s.enableAllProjectMcpServers").alias("trust_all"),
+    )
+    entries = F.array(*[F.struct(F.lit(k).alias("list"), v.alias("rules")) for k, v in (
+        ("allow", F.coalesce("s.permissions.allow", "s.allowedTools")), ("deny", F.col("s.permissions.deny")), ("ask", F.col("s.permissions.ask")),
+    )])
+    each = rows.select("vendor", "ord", F.explode(entries).alias("e")).select("vendor", "ord", "e.list", F.posexplode("e.rules").alias("place", "rule")).where("rule is not null")
+    firsts = each.groupBy("vendor", "list", "rule").agg(F.min(F.struct("ord", "place")).alias("at"))
+    ranked = firsts.withColumn("nth", F.row_number().over(W.partitionBy("vendor", "list").orderBy("at"))).where(F.col("nth") <= most)
+    joined = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == k, F.struct("nth", "rule")))), lambda x: x["rule"]), ",").alias(k)
+    lists = ranked.groupBy("vendor").agg(*map(joined, ("allow", "deny", "ask")))
+    claim = F.when((F.col("n_read") > 0) & (F.col("n_unreadable") == 0), "complete").otherwise("floor")
+    text_of = lambda k: F.coalesce(F.col(k), F.lit("")).alias(k)
+    return rolled.join(lists, "vendor", "left").select("vendor", "sources", "n_unreadable", "mode", *map(text_of, ("allow", "deny", "ask")), "trust_all", claim.alias("claim"))

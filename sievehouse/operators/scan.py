@@ -42,18 +42,23 @@ def deletes_real_data(line: Column) -> Column:
     return ~line.rlike(shape) | (F.size(targets) == 0) | F.exists(targets, lambda t: ~matches(bare(t), S.BUILD_OUTPUT, True))
 
 
-def _shell(text: Column) -> list[Column]:
-    blobs = decoded_blobs(text)
-    hidden = F.when(matches(text, S.BLOB), F.size(blobs) > 0).otherwise(False)
-    seen = F.when(hidden, F.concat(text, F.lit("\n"), F.array_join(blobs, "\n"))).otherwise(text)
-    out = [F.when(hidden, FN.finding(F.lit("Base64-encoded shell / RCE payload"), "CRITICAL", "shell", None))]
-    for s in S.SHELL:
-        hit = matches(seen, s.pattern, s.fold)
-        if s.name == S.FORCE_DELETE:
-            hit = hit & _any_real_delete(seen, s)
-        here = matches(text, s.pattern, s.fold)
-        out.append(F.when(hit & here, _at(s.name, s.severity, "shell", text, s.pattern, s.fold)).when(hit, FN.finding(F.lit(s.name), s.severity, "shell", None)))
-    return out
+def _shell(text: Column) -> Column:
+    """The findings in the text and in what its base64 runs hide, which is decoded once a row."""
+    hidden = F.when(matches(text, S.BLOB), F.array_join(decoded_blobs(text), "\n")).otherwise("")
+
+    def hit(seen: Column, s: S.Signal) -> Column:
+        found = matches(seen, s.pattern, s.fold)
+        return found & _any_real_delete(seen, s) if s.name == S.FORCE_DELETE else found
+
+    def found(blobs: Column) -> Column:
+        out = [F.when(blobs != "", FN.finding(F.lit("Base64-encoded shell / RCE payload"), "CRITICAL", "shell", None))]
+        for s in S.SHELL:
+            placed = _at(s.name, s.severity, "shell", text, s.pattern, s.fold)
+            both = F.when(hit(F.concat(text, F.lit("\n"), blobs), s), F.when(matches(text, s.pattern, s.fold), placed).otherwise(FN.finding(F.lit(s.name), s.severity, "shell", None)))
+            out.append(F.when(blobs == "", F.when(hit(text, s), placed)).otherwise(both))
+        return F.array_compact(F.array(*out))
+
+    return F.transform(F.array(hidden), found)[0]
 
 
 def _any_real_delete(text: Column, s: S.Signal) -> Column:
@@ -163,14 +168,14 @@ def _egress(text: Column) -> list[Column]:
     return [F.when(host.isNotNull(), FN.finding(F.concat(F.lit("Exfiltration sink host: "), host), "HIGH", "egress", prefix))]
 
 
-_DETECTORS = {"shell": _shell, "injection": _injection, "secret": _secret, "pii": _pii, "config": _config, "egress": _egress}
+_DETECTORS = {"injection": _injection, "secret": _secret, "pii": _pii, "config": _config, "egress": _egress}
 
 
 def scan(text: Column, categories: tuple[str, ...] = DEFAULT) -> Column:
     """The findings of a text, in the order of the catalogue (null: none)."""
     text = F.coalesce(text, F.lit(""))
-    parts = [p for c in CATEGORIES if c in categories for p in _DETECTORS[c](text)]
-    return FN.gather(parts)
+    rest = FN.gather([p for c in CATEGORIES if c in categories and c != "shell" for p in _DETECTORS[c](text)])
+    return F.concat(_shell(text), rest) if "shell" in categories else rest
 
 
 def scan_documents(docs: DataFrame, categories: tuple[str, ...] = DEFAULT, text: str = "text", masked: bool = True) -> DataFrame:
