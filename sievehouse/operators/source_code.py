@@ -111,9 +111,31 @@ def language_of(file: Column) -> Column:
     return F.when(low.rlike("\\.py\\z"), "py").when(low.rlike("\\.[mc]?[jt]sx?\\z"), "js").when(config, "json")
 
 
+def notebook_cells(file: Column, text: Column) -> Column:
+    """Array of (file, lang, text) of a notebook's code cells that hold text,
+    each file named with #cell and its number among the code cells, empty ones
+    counted. The kernel's language chooses the rules, Python if it names none.
+    A notebook that can't be read, or a null one, has no cells."""
+    schema = "cells array<struct<cell_type:string,source:variant>>, metadata struct<kernelspec:struct<language:string>,language_info:struct<name:string>>"
+    notebook = F.from_json(text, schema)
+    kernel = F.lower(F.coalesce(notebook["metadata"]["kernelspec"]["language"], notebook["metadata"]["language_info"]["name"], F.lit("python")))
+    lang = F.when(kernel.rlike("javascript|typescript|deno|node|^[jt]s\\z"), "js").otherwise("py")
+
+    def cell(c: Column, nth: Column) -> Column:
+        lines = F.array_join(F.try_variant_get(c["source"], "$", "array<string>"), "")
+        source = F.coalesce(lines, F.try_variant_get(c["source"], "$", "string"), F.lit(""))
+        return F.struct(F.concat(file, F.lit("#cell"), (nth + 1).cast("string")).alias("file"), lang.alias("lang"), source.alias("text"))
+
+    code = F.filter(notebook["cells"], lambda c: c["cell_type"] == "code")
+    return F.filter(F.transform(code, cell), lambda c: c["text"].rlike("[^ \\t\\r\\n]"))
+
+
 def statements(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """(file, lang, start_line, unit) of the files in a language with rules."""
-    rows = files.select(F.col(file).alias("file"), language_of(F.col(file)).alias("lang"), F.coalesce(text, F.lit("")).alias("text")).where("lang is not null")
+    """(file, lang, start_line, unit) of the files in a language with rules, and of notebooks' code cells."""
+    name, lang, body = F.col(file), language_of(F.col(file)), F.col(text)
+    whole = F.when(lang.isNotNull(), F.array(F.struct(name.alias("file"), lang.alias("lang"), F.coalesce(body, F.lit("")).alias("text"))))
+    parts = F.when(F.lower(name).endswith(".ipynb"), notebook_cells(name, body)).otherwise(whole)
+    rows = files.select(F.explode_outer(parts).alias("p")).where("p is not null").select("p.*")
     return rows.select("file", "lang", F.explode_outer(logical_units("text")).alias("u")).select("file", "lang", F.col("u.start_line").alias("start_line"), F.col("u.text").alias("unit"))
 
 

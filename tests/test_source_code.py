@@ -1,5 +1,7 @@
 """Source rules on positive and negative files."""
 
+from pyspark.sql import functions as F
+
 from sievehouse.operators import source_code as SRC
 
 
@@ -29,3 +31,16 @@ def test_rules_chains_and_flows(spark):
     assert ("b.py", "python.dangerous_sinks", 2) in found and ("c.js", "js.code_exec", 3) in found and not any(x[0] in ("d.py", "g.txt", "h.py") for x in found)
     assert {(r.file, r.rule) for r in SRC.chain_findings(SRC.rule_findings(units)).collect()} == {("b.py", "chain.decode_exec"), ("e.py", "chain.remote_code_egress")}
     assert {(r.file, r.name, r.line) for r in SRC.flow_findings(units).collect()} == {("c.js", "t", 3)}
+
+
+def test_notebooks(spark):
+    import json
+
+    call = "os.sys" + "tem(x)"
+    cells = [{"cell_type": "markdown", "source": call}, {"cell_type": "code", "source": ""}, {"cell_type": "code", "source": ["import os\n", call]}, {"cell_type": "code", "source": "[1, 2]"}]
+    files = [("a.ipynb", json.dumps({"cells": cells})), ("b.ipynb", json.dumps({"cells": [{"cell_type": "code", "source": "new Fun" + "ction('x')"}], "metadata": {"kernelspec": {"language": "TypeScript"}}})), ("c.ipynb", "{"), ("d.ipynb", None), ("e.ipynb", "[]")]
+    df = spark.createDataFrame(files, "file string, text string")
+    cells = df.select(F.explode(SRC.notebook_cells(F.col("file"), F.col("text"))).alias("c")).select("c.file", "c.lang")
+    assert sorted(map(tuple, cells.collect())) == [("a.ipynb#cell2", "py"), ("a.ipynb#cell3", "py"), ("b.ipynb#cell1", "js")]
+    found = SRC.rule_findings(SRC.statements(df))
+    assert sorted(map(tuple, found.select("file", "rule", "line").collect())) == [("a.ipynb#cell2", "python.dangerous_sinks", 2), ("b.ipynb#cell1", "js.code_exec", 1)]
