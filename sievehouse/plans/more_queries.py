@@ -196,8 +196,7 @@ def secret_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = overlaid(spark, sf_dir).withColumn("path", F.concat(F.lit("f"), F.col("doc_id").cast("string")))
     changed = _table(spark, sf_dir, "documents").where("doc_id % 3 < 2").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"))
     found = scan.scan_documents(acquire.changed_only(docs, changed), ("secret",), masked=False)
-    kept = F.filter("findings", lambda x: ~x["label"].contains("Database URL"))
-    return found.select("path", F.explode_outer(acquire.report_results(F.col("path"), kept)).alias("result")).where("result is not null")
+    return found.select("path", F.explode_outer(acquire.report_results(F.col("path"), F.col("findings"))).alias("result")).where("result is not null")
 
 
 def _report_sql() -> str:

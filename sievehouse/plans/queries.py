@@ -130,7 +130,8 @@ def force_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(SC.scan_documents(overlaid(spark, sf_dir), ("secret",), masked=False)).where(~F.col("label").contains("Database URL"))
+    """Every credential of the catalogue. The SQL lacks database addresses with a password, whose lookahead RE2 can't write."""
+    return _exploded(SC.scan_documents(overlaid(spark, sf_dir), ("secret",), masked=False))
 
 
 def _secret_parts() -> list[str]:
@@ -196,8 +197,7 @@ _GRADED = ("secret", "pii", "egress")
 
 
 def _graded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = SC.scan_documents(overlaid(spark, sf_dir), _GRADED, masked=False)
-    return docs.withColumn("findings", F.filter("findings", lambda x: ~x["label"].contains("Database URL")))
+    return SC.scan_documents(overlaid(spark, sf_dir), _GRADED, masked=False)
 
 
 def doc_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,63 @@
+"""Registered queries on small tables, against brute force in Python: nothing of the job may be left out."""
+
+import json
+import re
+
+import pytest
+
+from sievehouse.plans import more_queries, queries
+from sievehouse.plans import signals as S
+
+#: Ids whose documents get no snippet.
+FREE = [i for i in range(4 * queries.SLOTS) if i % queries.SLOTS >= len(queries.OVERLAY)]
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    """Writes documents, on free ids in order, and returns the folder and the texts by id as the queries see them."""
+
+    def write(texts):
+        rows = list(zip(FREE, texts, strict=False))
+        spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+        labels = [(i, 1, 0) for i, _ in rows]
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+        return str(tmp_path), {i: t + "\n" for i, t in rows}
+
+    return write
+
+
+def first_match(s, text):
+    return re.search(s.pattern, text, re.ASCII | (re.IGNORECASE if s.fold else 0))
+
+
+def line_of(text, m):
+    return text.count("\n", 0, m.start()) + 1
+
+
+DATABASE_URL = next(s for s in S.SECRETS if s.name == "Database URL with password")
+URLS = [
+    "postgres://svc:" + "hunter22@db/x",
+    "mysql://root:" + "password@h first\nREDIS://app:" + "s3cr3tpw@cache",
+    "postgres://user:" + "pass@db",
+    "amqp://app:" + "changeme@q",
+    "mongodb+srv://svc:" + "abc@h",
+    "nothing here",
+]
+
+
+def test_database_urls_are_in_every_credential_query(spark, table):
+    sf_dir, docs = table(URLS)
+    label = f"Live credential: {DATABASE_URL.name}"
+    want = {}
+    for i, t in docs.items():
+        m = first_match(DATABASE_URL, t)
+        if m and not any(re.search(p, m.group().lower()) for p in S.PLACEHOLDERS):
+            want[i] = line_of(t, m)
+    assert want == {FREE[0]: 1, FREE[1]: 2}
+    assert {(r.doc_id, r.label, r.severity, r.line) for r in queries.secret_scan(spark, sf_dir).collect()} == {(i, label, "CRITICAL", n) for i, n in want.items()}
+    graded = {r.doc_id: (r.verdict, r.risk_score, r.n_findings) for r in queries.doc_verdict(spark, sf_dir).collect()}
+    assert graded == {i: ("BLOCK", 70, 1) if i in want else ("ALLOW", 0, 0) for i in docs}
+    assert {(r.doc_id, r.label) for r in queries.top_finding(spark, sf_dir).collect()} == {(i, label) for i in want}
+    assert {(r.verdict, r.n, r.risk) for r in queries.verdict_by_label(spark, sf_dir).collect()} == {("BLOCK", 2, 140), ("ALLOW", 4, 0)}
+    reported = [json.loads(r.result) for r in more_queries.secret_report(spark, sf_dir).collect()]
+    assert {x["message"]["text"] for x in reported} == {label}
