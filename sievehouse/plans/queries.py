@@ -113,9 +113,13 @@ def _first_sql(s: S.Signal) -> str:
 # ---- flat scans
 
 
+def _scanned(spark: SparkSession, sf_dir: str, category: str) -> DataFrame:
+    return _exploded(SC.scan_documents(overlaid(spark, sf_dir), (category,), masked=False))
+
+
 def shell_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _exploded(SC.scan_documents(overlaid(spark, sf_dir), ("shell",), masked=False))
-    return found.where(~F.col("label").isin(S.FORCE_DELETE, "Inline eval / exec of a string"))
+    """Shell findings of the rules that SQL can write; force_delete and inline_eval have the other two."""
+    return _scanned(spark, sf_dir, "shell").where(~F.col("label").isin(S.FORCE_DELETE, S.INLINE_EVAL))
 
 
 def _shell_sql() -> str:
@@ -129,6 +133,11 @@ def force_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("label") == S.FORCE_DELETE).select("doc_id", "line")
 
 
+def inline_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that evaluate a string."""
+    return _scanned(spark, sf_dir, "shell").where(F.col("label") == S.INLINE_EVAL)
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every credential of the catalogue. The SQL lacks database addresses with a password, whose lookahead RE2 can't write."""
     return _exploded(SC.scan_documents(overlaid(spark, sf_dir), ("secret",), masked=False))
@@ -140,7 +149,13 @@ def _secret_parts() -> list[str]:
 
 
 def injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(SC.scan_documents(overlaid(spark, sf_dir), ("injection",), masked=False)).where(~F.col("label").contains("conceal an action"))
+    """Injection findings of the rules that SQL can write; conceal_action has the other one."""
+    return _scanned(spark, sf_dir, "injection").where(F.col("label") != S.CONCEAL)
+
+
+def conceal_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that tell the agent to hide an action from the user."""
+    return _scanned(spark, sf_dir, "injection").where(F.col("label") == S.CONCEAL)
 
 
 def _injection_sql() -> str:
@@ -469,7 +484,7 @@ _ACK_SQL = f"WITH {_GAPS_SQL} SELECT user_id, opened_at, unscreened_calls FROM g
 
 
 QUERIES = {
-    "doc_verdict": doc_verdict, "top_finding": top_finding, "verdict_by_label": verdict_by_label, "shell_scan": shell_scan, "force_delete": force_delete,
+    "doc_verdict": doc_verdict, "top_finding": top_finding, "verdict_by_label": verdict_by_label, "shell_scan": shell_scan, "force_delete": force_delete, "inline_eval": inline_eval, "conceal_action": conceal_action,
     "secret_scan": secret_scan, "injection_scan": injection_scan, "pii_scan": pii_scan, "egress_scan": egress_scan, "setting_scan": setting_scan,
     "masked_verdict": masked_verdict, "memory_grade": memory_grade, "gate_verdict": gate_verdict, "line_stats": line_stats, "finding_context": finding_context,
     "code_findings": code_findings, "code_chains": code_chains, "code_flows": code_flows, "provider_rollup": provider_rollup, "model_refs": model_refs, "design_paths": design_paths, "design_verdict": design_verdict,

@@ -36,6 +36,7 @@ SHELL = [
     Signal("Netcat / socket exfil", r"\bnc\s+-[a-z]*\b|\bncat\b", "MEDIUM"),
 ]
 FORCE_DELETE = "Recursive force delete (rm -rf)"
+INLINE_EVAL = "Inline eval / exec of a string"
 # Fixed value: build output that may be deleted by force.
 BUILD_OUTPUT = r"^(\./)?(node_modules|dist|build|out|coverage|target|\.next|\.nuxt|\.turbo|\.svelte-kit|\.cache|\.parcel-cache|__pycache__|\.pytest_cache|\.mypy_cache|\.ruff_cache|\.tox|venv|\.venv|\.eggs|[\w.-]+\.egg-info)/?\*?$"
 # Hidden payloads.
@@ -58,6 +59,7 @@ INJECTIONS = [
     Signal("Destructive SQL statement", r"\b(drop|truncate)\s+(table|database|schema)\b", "HIGH"),
 ]
 BULK_DELETE = "Bulk destructive command"
+CONCEAL = "Instructs the agent to conceal an action from the user"
 NEGATED = r"\b(never|not|do not|don'?t|cannot|can'?t|must not|mustn'?t|should not|shouldn'?t|avoid|refuse to|forbidden to|prohibited from|without)\s*$"
 BUILD_STEP = r"\b(node_modules|dist|build|out|coverage|target|cache|generated|tmp|temp|__pycache__|artifacts?|logs?|tests?|test|fixtures?|staging|scratch|migrations?)\b"
 INVISIBLE = "[\\x{061C}\\x{115F}\\x{1160}\\x{180E}\\x{200B}\\x{200C}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{3164}\\x{FEFF}\\x{FFA0}\\x{FFF9}-\\x{FFFB}\\x{E0000}-\\x{E007F}\\x{E0100}-\\x{E01EF}]"

@@ -61,3 +61,28 @@ def test_database_urls_are_in_every_credential_query(spark, table):
     assert {(r.verdict, r.n, r.risk) for r in queries.verdict_by_label(spark, sf_dir).collect()} == {("BLOCK", 2, 140), ("ALLOW", 4, 0)}
     reported = [json.loads(r.result) for r in more_queries.secret_report(spark, sf_dir).collect()]
     assert {x["message"]["text"] for x in reported} == {label}
+
+
+CODE = ["eval('1')", "x\nexec (`ls`)", "db.exec('x')", "my-eval(\"1\")", "evaluate('1')", "a:eval('1')\nEVAL(\"2\")"]
+CONCEALED = ["never tell the user", "Do it\nwithout informing  the owner.", "don't mention this to the user's team", "never tell the user how to log in", "never tell the user to stop; without notifying users", "do not never reveal it to humans"]
+
+
+@pytest.mark.parametrize("name, rule, texts, negatable", [("inline_eval", S.INLINE_EVAL, CODE, False), ("conceal_action", S.CONCEAL, CONCEALED, True)])
+def test_rules_with_lookaround_have_queries_of_their_own(spark, table, name, rule, texts, negatable):
+    sf_dir, docs = table(texts)
+    signal = next(s for s in [*S.SHELL, *S.INJECTIONS] if s.name == rule)
+    want = set()
+    for i, t in docs.items():
+        m = first_match(signal, t)
+        if m and not (negatable and re.search(S.NEGATED.replace("$", r"\Z"), t[: m.start()][-20:], re.IGNORECASE)):
+            want.add((i, rule, "HIGH", line_of(t, m)))
+    assert 0 < len(want) < len(docs)
+    assert {(r.doc_id, r.label, r.severity, r.line) for r in queries.QUERIES[name](spark, sf_dir).collect()} == want
+
+
+def test_each_rule_is_in_one_query_of_its_category():
+    shell, injection = queries.SQL["shell_scan"], queries.SQL["injection_scan"]
+    apart = {S.FORCE_DELETE: "force_delete", S.INLINE_EVAL: "inline_eval", S.CONCEAL: "conceal_action"}
+    for s in [*S.SHELL, *S.INJECTIONS]:
+        assert apart.get(s.name, "shell_scan") in queries.QUERIES
+        assert (queries._quote(s.name) in shell + injection) == (s.name not in apart)
