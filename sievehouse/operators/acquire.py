@@ -64,6 +64,12 @@ def changed_only(docs: DataFrame, changed: DataFrame, path: str = "path") -> Dat
     return docs.join(changed.select(path).distinct(), path, "left_semi")
 
 
+def mark_changed(rows: DataFrame, changed: DataFrame, path: str = "path") -> DataFrame:
+    """rows with changed: whether their path is among the changed ones; null paths never are."""
+    listed = changed.select(path).distinct().withColumn("changed", F.lit(True))
+    return rows.join(listed, path, "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+
+
 def report_results(file: Column, found: Column) -> Column:
     """The findings of a file as result objects of a static-analysis report, one JSON text each, in order."""
     level = lambda x: F.when(x["severity"].isin("CRITICAL", "HIGH"), "error").when(x["severity"] == "MEDIUM", "warning").otherwise("note")

@@ -191,24 +191,40 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acquire.corpus_summary(acquire.screen_corpus(docs))
 
 
-def secret_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Credentials in documents that changed (ids that leave 0 or 1 of 3), as results of a report."""
-    docs = overlaid(spark, sf_dir).withColumn("path", F.concat(F.lit("f"), F.col("doc_id").cast("string")))
-    changed = _table(spark, sf_dir, "documents").where("doc_id % 3 < 2").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"))
-    found = scan.scan_documents(acquire.changed_only(docs, changed), ("secret",), masked=False)
+def _report_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as files, and the list of changed ones (ids that leave 0 or 1 of 3)."""
+    path = F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path")
+    return overlaid(spark, sf_dir).withColumn("path", path), _table(spark, sf_dir, "documents").where("doc_id % 3 < 2").select(path)
+
+
+def _report(docs: DataFrame) -> DataFrame:
+    found = scan.scan_documents(docs, ("secret",), masked=False)
     return found.select("path", F.explode_outer(acquire.report_results(F.col("path"), F.col("findings"))).alias("result")).where("result is not null")
 
 
+def secret_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials in changed documents alone, as results of a report; secret_report_all has those of all."""
+    return _report(acquire.changed_only(*_report_files(spark, sf_dir)))
+
+
+def secret_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials in all documents, as results of a report, and whether their document changed."""
+    docs, changed = _report_files(spark, sf_dir)
+    return acquire.mark_changed(_report(docs), changed).select("path", "changed", "result")
+
+
 def _report_sql() -> str:
     text = """'{"ruleId":"secret","level":"' || CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END || '","message":{"text":"' || label
   || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"f' || doc_id || '"},"region":{"startLine":' || line || '}}}]}'"""
     return f"WITH {Q._DOCS_SQL}, s AS ({' UNION ALL '.join(Q._secret_parts())}) SELECT 'f' || doc_id AS path, {text} AS result FROM s WHERE doc_id % 3 < 2"
 
 
+_REPORT_ALL_SQL = _report_sql().replace(" AS path, ", " AS path, doc_id % 3 < 2 AS changed, ").removesuffix(" WHERE doc_id % 3 < 2")
+
 QUERIES = {
     "reply_pairs": reply_pairs, "listing_screen": listing_screen, "result_screen": result_screen, "call_screen": call_screen, "connections": connections,
     "dependency_rollup": dependency_rollup, "local_models": local_models, "artifact_catalogues": artifact_catalogues, "skill_files": skill_files, "posture_merge": posture_merge,
-    "package_verdicts": package_verdicts, "model_status": model_status, "corpus_screen": corpus_screen, "corpus_totals": corpus_totals, "secret_report": secret_report,
+    "package_verdicts": package_verdicts, "model_status": model_status, "corpus_screen": corpus_screen, "corpus_totals": corpus_totals, "secret_report": secret_report, "secret_report_all": secret_report_all,
 }
 
 SQL = {
@@ -220,4 +236,5 @@ SQL = {
     "posture_merge": _POSTURE_SQL,
     "package_verdicts": _VERDICTS_SQL,
     "secret_report": _report_sql(),
+    "secret_report_all": _REPORT_ALL_SQL,
 }

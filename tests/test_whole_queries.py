@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from sievehouse.operators import acquire
 from sievehouse.plans import more_queries, queries
 from sievehouse.plans import signals as S
 
@@ -86,3 +87,17 @@ def test_each_rule_is_in_one_query_of_its_category():
     for s in [*S.SHELL, *S.INJECTIONS]:
         assert apart.get(s.name, "shell_scan") in queries.QUERIES
         assert (queries._quote(s.name) in shell + injection) == (s.name not in apart)
+
+
+def test_report_of_all_documents(spark, table):
+    sf_dir, docs = table([URLS[0]] * 6)
+    assert {i % 3 for i in docs} == {0, 1, 2}
+    got = {(r.path, r.changed, json.loads(r.result)["level"]) for r in more_queries.secret_report_all(spark, sf_dir).collect()}
+    assert got == {(f"f{i}", i % 3 < 2, "error") for i in docs}
+
+
+def test_marks_of_changed_files(spark):
+    files = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "path string")
+    changed = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "path string")
+    got = acquire.mark_changed(files, changed).collect()
+    assert sorted((r.path or "", r.changed) for r in got) == [("", False), ("a", True), ("a", True), ("b", False)]
