@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.regexes import java, matches
@@ -106,8 +107,16 @@ def _filter_specs(p: Provider) -> Column:
     return F.filter("specs", lambda s: _imported(s, p))
 
 
-def rollup(found: DataFrame) -> DataFrame:
-    """One row a provider: sightings, n_files, models, has_call, first_file, first_line, first_kind, sites (the first 60 by file, line)."""
+def first_sites(found: DataFrame, most: int = MOST_SITES) -> DataFrame:
+    """(provider, label, category, nth, file, line, ord, kind, via, code,
+    model): each provider's first sightings by file, line and ord. They are
+    ranked before they are gathered, so a provider that all use is no large group."""
+    nth = F.row_number().over(W.partitionBy("provider", "label", "category").orderBy("file", "line", "ord"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= most).select("provider", "label", "category", "nth", "file", "line", "ord", "kind", "via", "code", "model")
+
+
+def totals(found: DataFrame) -> DataFrame:
+    """One row a provider: sightings, n_files, models, has_call, first_file, first_line, first_kind."""
     place = F.struct("file", "line", "ord", "kind", "via", "code", "model")
     best = F.min_by(place, F.struct((F.col("kind") != "call").cast("int").alias("c"), "file", "line", "ord"))
     rolled = found.groupBy("provider", "label", "category").agg(
@@ -115,3 +124,11 @@ def rollup(found: DataFrame) -> DataFrame:
         F.bool_or(F.col("kind") == "call").alias("has_call"), best.alias("first"),
     )
     return rolled.select("provider", "label", "category", "sightings", "n_files", F.array_join("models", ",").alias("models"), "has_call", F.col("first.file").alias("first_file"), F.col("first.line").alias("first_line"), F.col("first.kind").alias("first_kind"))
+
+
+def rollup(found: DataFrame) -> DataFrame:
+    """The totals of each provider with its sites, the first 60 by file and line."""
+    by = ["provider", "label", "category"]
+    site = F.struct("nth", "file", "line", "kind", "via", "code", "model")
+    sites = first_sites(found).groupBy(*by).agg(F.array_sort(F.collect_list(site)).alias("sites"))
+    return totals(found).join(sites, by)

@@ -313,10 +313,19 @@ SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(greatest(1, line - 3) AS INTE
 # ---- catalogues over lines
 
 
-def provider_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = overlaid(spark, sf_dir)
+def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".ts"))
-    return usage.rollup(usage.sightings(docs.withColumn("file", file)))
+    return usage.sightings(overlaid(spark, sf_dir).withColumn("file", file))
+
+
+def provider_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of each provider; provider_sites has its places."""
+    return usage.totals(_sightings(spark, sf_dir))
+
+
+def provider_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 60 sightings of each provider by file and line, one row each."""
+    return usage.first_sites(_sightings(spark, sf_dir)).select("provider", "nth", "file", "line", "kind", "model")
 
 
 def _provider_sql() -> str:
@@ -341,6 +350,11 @@ SELECT provider, label, category, count(*) AS sightings, count(DISTINCT file) AS
 FROM u GROUP BY ALL"""
 
 
+def _sites_sql() -> str:
+    uses = _provider_sql().partition("\nSELECT provider, label")[0]
+    return f"{uses}\nSELECT provider, CAST(row_number() OVER (PARTITION BY provider ORDER BY file, line, ord) AS INTEGER) AS nth, file, CAST(line AS INTEGER) AS line, kind, model FROM u QUALIFY nth <= {usage.MOST_SITES}"
+
+
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as source files: Python and script by turns of their id."""
     docs = overlaid(spark, sf_dir)
@@ -487,7 +501,7 @@ QUERIES = {
     "doc_verdict": doc_verdict, "top_finding": top_finding, "verdict_by_label": verdict_by_label, "shell_scan": shell_scan, "force_delete": force_delete, "inline_eval": inline_eval, "conceal_action": conceal_action,
     "secret_scan": secret_scan, "injection_scan": injection_scan, "pii_scan": pii_scan, "egress_scan": egress_scan, "setting_scan": setting_scan,
     "masked_verdict": masked_verdict, "memory_grade": memory_grade, "gate_verdict": gate_verdict, "line_stats": line_stats, "finding_context": finding_context,
-    "code_findings": code_findings, "code_chains": code_chains, "code_flows": code_flows, "provider_rollup": provider_rollup, "model_refs": model_refs, "design_paths": design_paths, "design_verdict": design_verdict,
+    "code_findings": code_findings, "code_chains": code_chains, "code_flows": code_flows, "provider_rollup": provider_rollup, "provider_sites": provider_sites, "model_refs": model_refs, "design_paths": design_paths, "design_verdict": design_verdict,
     "package_look_alikes": package_look_alikes, "url_risk": url_risk, "asset_clamp": asset_clamp,
     "gap_windows": gap_windows, "gap_compact": gap_compact, "gap_acknowledged": gap_acknowledged,
 }
@@ -504,6 +518,7 @@ SQL = {
     "line_stats": _STATS_SQL,
     "finding_context": _context_sql(),
     "provider_rollup": _provider_sql(),
+    "provider_sites": _sites_sql(),
     "design_paths": _paths_sql(),
     "design_verdict": _design_sql(),
     "package_look_alikes": _PACKAGES_SQL,

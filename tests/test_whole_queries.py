@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from sievehouse.operators import acquire
+from sievehouse.operators import acquire, usage
 from sievehouse.plans import more_queries, queries
 from sievehouse.plans import signals as S
 
@@ -101,3 +101,13 @@ def test_marks_of_changed_files(spark):
     changed = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "path string")
     got = acquire.mark_changed(files, changed).collect()
     assert sorted((r.path or "", r.changed) for r in got) == [("", False), ("a", True), ("a", True), ("b", False)]
+
+
+def test_rollup_has_the_first_sites(spark):
+    rows = [(f"f{i % 7}.py", i // 7 + 1, 1, "openai" if i % 9 else "cohere", "import" if i % 2 else "call") for i in range(140)]
+    found = spark.createDataFrame(rows, "file string, line int, ord int, provider string, kind string").selectExpr("*", "'L' as label", "'c' as category", "'v' as via", "'x' as code", "null as model")
+    out = {r.provider: r for r in usage.rollup(found).collect()}
+    for p in ("openai", "cohere"):
+        want = sorted((f, n, k) for f, n, _, q, k in rows if q == p)
+        assert out[p].sightings == len(want)
+        assert [(x.file, x.line, x.kind) for x in out[p].sites] == want[:60]
