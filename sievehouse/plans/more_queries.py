@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import regexes as R
+from ..functions import text as X
 from ..operators import acquire, inventory, models, scan, urls
 from ..streaming import channels
 from . import prose as P
@@ -70,11 +71,15 @@ _KNOWN = [("npm", "openai"), ("npm", "langchain"), ("npm", "@anthropic-ai/sdk"),
 
 
 def dependency_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest for each document, of npm by even ids and pip by odd ones."""
+    """Documents as manifests, of npm by even ids and pip by odd ones. Each gets a
+    snippet on lines of its own; the lines of npm that begin an object are read, and all of pip."""
     even = F.col("doc_id") % 2 == 0
     pick = lambda parts: F.element_at(F.array(*map(F.lit, parts)), (F.floor(F.col("doc_id") / 2) % len(parts) + 1).cast("int"))
     path = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.when(even, "/package.json").otherwise("/requirements.txt"))
-    files = _table(spark, sf_dir, "documents").select(path.alias("path"), F.when(even, F.concat(F.lit("{"), pick(_MANIFEST_PARTS), F.lit("}"))).otherwise(pick(_REQUIREMENTS)).alias("text"))
+    snippet = F.when(even, F.concat(F.lit("{"), pick(_MANIFEST_PARTS), F.lit("}"))).otherwise(pick(_REQUIREMENTS))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", snippet).alias("text"))
+    objects = F.filter(X.lines_of(F.col("text")), lambda line: F.ltrim(line).startswith("{"))
+    files = docs.select(path.alias("path"), F.explode(F.when(even, objects).otherwise(F.array("text"))).alias("text"))
     return inventory.dependency_assets(files, spark.createDataFrame(_KNOWN, "ecosystem string, package string"))
 
 

@@ -111,3 +111,17 @@ def test_rollup_has_the_first_sites(spark):
         want = sorted((f, n, k) for f, n, _, q, k in rows if q == p)
         assert out[p].sightings == len(want)
         assert [(x.file, x.line, x.kind) for x in out[p].sites] == want[:60]
+
+
+def test_dependencies_are_read_from_the_text(spark, table):
+    own = ['prose\n{"dependencies": {"langchain": "1"}}\nopenai', "prose of torch\ntorch==2\n# transformers", "nothing", "nothing"]
+    sf_dir, docs = table(own)
+    even = [i for i in docs if i % 2 == 0]
+    want = {("npm", "langchain", f"{even[0]:012d}/package.json"), ("pip", "torch", f"{FREE[1]:012d}/requirements.txt")}
+    for i in docs:
+        where = f"{i:012d}/" + ("package.json" if i % 2 == 0 else "requirements.txt")
+        for slot, known in ((0, ["openai"]), (1, ["langchain"] if i % 2 == 0 else ["langchain", "openai"]), (2, ["openai", "@anthropic-ai/sdk"] if i % 2 == 0 else ["transformers"])):
+            want |= {("npm" if i % 2 == 0 else "pip", k, where) for k in known if i // 2 % 4 == slot}
+    got = more_queries.dependency_rollup(spark, sf_dir).collect()
+    assert {(r.ecosystem, r.package, m) for r in got for m in r.manifests.split(",")} == want
+    assert all(r.n_manifests == len(r.manifests.split(",")) for r in got)
