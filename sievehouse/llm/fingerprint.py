@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +13,22 @@ from .common import let, shingle_hashes
 BINS, BITS = 128, 4
 
 
+#: So many places are drawn for an empty bin one by one; then the full bins are asked which comes first.
+DRAWS = 8
+
+
+def _draws(bins: int) -> tuple[list[int], list[int]]:
+    """Where each bin's sequence of draws starts and its odd step: the k-th
+    draw of bin i is (start + step * k) mod bins, which meets every bin once."""
+
+    def hashed(i: int, salt: int) -> int:
+        """Spark's xxhash64 of the two ints."""
+        seed = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 42)
+        return xxhash.xxh64_intdigest(salt.to_bytes(4, "little"), seed)
+
+    return [hashed(i, 1) & (bins - 1) for i in range(bins)], [hashed(i, 2) & (bins - 1) | 1 for i in range(bins)]
+
+
 def fingerprint(text: Column, size: int = 5, bins: int = BINS, bits: int = BITS) -> Column:
     """The packed fingerprint of a whole text as lower-case hex.
 
@@ -29,23 +46,32 @@ def fingerprint(text: Column, size: int = 5, bins: int = BINS, bits: int = BITS)
     last = [(b << shift) | ((1 << shift) - 1) for b in range(bins)]
     void = F.array(*[F.lit(x - (1 << 64) if x >= 1 << 63 else x) for x in last])
     place = lambda h: F.shiftrightunsigned(h, shift)
-    is_void = lambda h: F.shiftrightunsigned(F.bitwise_not(h).bitwiseAND(F.lit((1 << shift) - 1)), 0) == 0
+    is_void = lambda h: h.bitwiseOR(F.lit(-(1 << shift))) == -1
+    starts, steps = _draws(bins)
+    ints = lambda values: F.array(*[F.lit(x) for x in values])
+    drawn = [ints([(a + b * k) % bins for a, b in zip(starts, steps, strict=True)]) for k in range(DRAWS)]
+    start_of, inverse_of = ints(starts), ints([pow(b, -1, bins) for b in steps])
 
     def least(h: Column) -> Column:
-        return F.filter(h, lambda x, i: (i == 0) | (place(x) != place(F.get(h, i - 1))))
+        """The least hash of each bin, null for an empty one, in the order of signed longs."""
+        firsts = F.filter(h, lambda x, i: (i == 0) | (place(x) != place(F.get(h, i - 1))))
+        return F.transform(firsts, lambda x: F.when(~is_void(x), x))
 
     def dense(m: Column) -> Column:
-        full = F.exists(m, lambda x: ~is_void(x))
-
-        def draw(i: Column) -> Column:
-            start = F.xxhash64(i, F.lit(1)).bitwiseAND(F.lit(bins - 1)).cast("int")
-            step = F.xxhash64(i, F.lit(2)).bitwiseAND(F.lit(bins - 1)).bitwiseOR(F.lit(1)).cast("int")
-            drawn = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.get(m, (start + step * k).bitwiseAND(F.lit(bins - 1))))
-            return F.get(F.filter(drawn, lambda x: ~is_void(x)), F.lit(0))
-
-        values = F.when(F.exists(m, is_void), F.transform(m, lambda x, i: F.when(is_void(x), draw(i)).otherwise(x))).otherwise(m)
-        digits = F.transform(values, lambda x, i: F.substring(F.lit("0123456789abcdef"), F.xxhash64(x, i).bitwiseAND(F.lit(15)).cast("int") + 1, F.lit(1)))
-        return F.when(full, F.array_join(digits, "")).otherwise(F.lit("0" * bins))
+        def by_hand(full: Column) -> Column:
+            def first_full(i: Column) -> Column:
+                """The full bin whose place comes first among the draws of bin i."""
+                turn = lambda x, j: ((place(x).cast("int") + bins // 2 - F.get(start_of, i) + bins) * F.get(inverse_of, i)).bitwiseAND(F.lit(bins - 1)) * bins + j
+                return F.get(full, F.array_min(F.transform(full, turn)).bitwiseAND(F.lit(bins - 1)))
+
+            draw = lambda i: [F.get(m, F.get(d, i)) for d in drawn]
+            many = F.transform(m, lambda x, i: F.coalesce(x, *draw(i), first_full(i)))
+            few = F.transform(m, lambda x, i: F.coalesce(x, first_full(i)))
+            values = F.when(F.size(full) == bins, m).when(F.size(full) >= bins // DRAWS, many).otherwise(few)
+            digits = F.transform(values, lambda x, i: F.hex(F.xxhash64(x, i).bitwiseAND(F.lit(15))))
+            return F.when(F.size(full) > 0, F.lower(F.array_join(digits, ""))).otherwise(F.lit("0" * bins))
+
+        return let(F.array_compact(m), by_hand)
 
     return let(let(F.sort_array(F.concat(shingle_hashes(text, size), void)), least), dense)
 
