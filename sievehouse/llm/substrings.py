@@ -12,9 +12,9 @@ anchor's count is never below that of a window.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,40 +134,42 @@ def _estimated_repeated(bitmaps: list[np.ndarray], values: np.ndarray) -> np.nda
 
 
 def _candidates(docs: DataFrame, window: int, bitmaps, text: str) -> DataFrame:
-    """(h1, h2, doc, at, n) for windows that may be repeated: two hashes of
-    the words, a hash of the text, the first word's place. Of the equal windows
+    """(h1, h2, doc, crc, at, n) for windows that may be repeated: two hashes
+    of the words, two of the text, the first word's place. Of the equal windows
     of one batch one is sent with n = 2, and the others' places, which need no
     more counting, as rows with h1 null."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmaps)
-    names = ["h1", "h2", "doc", "at", "n"]
+    names = ["h1", "h2", "doc", "crc", "at", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = sent.value
 
-        def out(parts: list[tuple], copies: dict[int, int]) -> Iterator[pa.RecordBatch]:
+        def out(parts: list[tuple], copies: dict[tuple[int, int], int]) -> Iterator[pa.RecordBatch]:
             if not parts:
                 return
-            doc = np.concatenate([np.full(len(at), d, np.uint64) for d, at, _, _ in parts])
+            doc = np.concatenate([np.full(len(at), d[0], np.uint64) for d, at, _, _ in parts])
+            crc = np.concatenate([np.full(len(at), d[1], np.uint32) for d, at, _, _ in parts])
             at, h1, h2 = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
             many = np.concatenate([np.full(len(p[1]), copies[p[0]] > 1) for p in parts])
             order = np.lexsort((h2, h1))
-            doc, at, h1, h2, many = (x[order] for x in (doc, at, h1, h2, many))
+            doc, crc, at, h1, h2, many = (x[order] for x in (doc, crc, at, h1, h2, many))
             fresh = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
             begin = np.flatnonzero(fresh)
             twice = (np.diff(np.append(begin, len(h1))) > 1) | np.logical_or.reduceat(many, begin)
             again = np.flatnonzero(~fresh)
-            rows = [np.concatenate([x[begin], x[again]]) for x in (h1, h2, doc, at)]
+            rows = [np.concatenate([x[begin], x[again]]) for x in (h1, h2, doc, crc, at)]
             n = np.concatenate([np.where(twice, 2, 1), np.full(len(again), 2)]).astype(np.int8)
             nulls = np.concatenate([np.zeros(len(begin), bool), np.ones(len(again), bool)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0].view(np.int64), mask=nulls), pa.array(rows[1].view(np.int64), mask=nulls), pa.array(rows[2].view(np.int64)), pa.array(rows[3]), pa.array(n)], names
+                [pa.array(rows[0].view(np.int64), mask=nulls), pa.array(rows[1].view(np.int64), mask=nulls), pa.array(rows[2].view(np.int64)), pa.array(rows[3].view(np.int32)), pa.array(rows[4]), pa.array(n)], names
             )
 
         parts, copies, size = [], {}, 0
         for batch in batches:
             for value in batch.column(0):
                 value = value.as_py() or ""
-                doc = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"), 42)
+                raw = value.encode("utf-8", "surrogatepass")
+                doc = xxhash.xxh64_intdigest(raw, 42), zlib.crc32(raw)
                 if doc in copies:
                     copies[doc] += 1
                     continue
@@ -185,11 +187,11 @@ def _candidates(docs: DataFrame, window: int, bitmaps, text: str) -> DataFrame:
                     parts, copies, size = [], {}, 0
         yield from out(parts, copies)
 
-    return docs.select(text).mapInArrow(run, "h1 bigint, h2 bigint, doc bigint, at int, n tinyint")
+    return docs.select(text).mapInArrow(run, "h1 bigint, h2 bigint, doc bigint, crc int, at int, n tinyint")
 
 
 def _repeated(candidates: DataFrame) -> DataFrame:
-    """(doc, at) of the windows that occur twice or more, by runs of equal
+    """(doc, crc, at) of the windows that occur twice or more, by runs of equal
     hashes. A task holds one Arrow batch and one row of a run that goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +199,10 @@ def _repeated(candidates: DataFrame) -> DataFrame:
         for batch in batches:
             known = np.asarray(batch.column(0).is_null())
             rows = [np.asarray(c.fill_null(0)) for c in batch.columns]
-            done = [rows[2][known], rows[3][known]]
-            h1, h2, doc, at, n = (x[~known] for x in rows)
+            done = [x[known] for x in rows[2:5]]
+            h1, h2, doc, crc, at, n = (x[~known] for x in rows)
             if waiting is not None:
-                h1, h2, doc, at, n = (np.concatenate([[w], x]).astype(x.dtype) for w, x in zip(waiting, (h1, h2, doc, at, n), strict=True))
+                h1, h2, doc, crc, at, n = (np.concatenate([[w], x]).astype(x.dtype) for w, x in zip(waiting, (h1, h2, doc, crc, at, n), strict=True))
                 waiting = None
             if len(h1):
                 begin = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
@@ -211,22 +213,23 @@ def _repeated(candidates: DataFrame) -> DataFrame:
                 last = slice(int(begin[-1]), None)
                 key = (h1[-1], h2[-1])
                 if not many[-1]:
-                    waiting = tuple(x[last][0] for x in (h1, h2, doc, at, n))
+                    waiting = tuple(x[last][0] for x in (h1, h2, doc, crc, at, n))
                     key = None
                 keep = np.repeat(many, sizes)
-                done = [np.concatenate([done[0], doc[keep]]), np.concatenate([done[1], at[keep]])]
-            yield pa.RecordBatch.from_arrays([pa.array(done[0].astype(np.int64)), pa.array(done[1].astype(np.int32))], ["doc", "at"])
+                done = [np.concatenate([x, y[keep]]) for x, y in zip(done, (doc, crc, at), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(done, (np.int64, np.int32, np.int32), strict=True)], ["doc", "crc", "at"])
 
-    spread = F.coalesce("h1", F.xxhash64("doc", "at"))
+    spread = F.coalesce("h1", F.xxhash64("doc", "crc", "at"))
     rows = candidates.withColumn("spread", spread).repartition("spread").sortWithinPartitions("h1", "h2").drop("spread")
-    return rows.mapInArrow(run, "doc bigint, at int")
+    return rows.mapInArrow(run, "doc bigint, crc int, at int")
 
 
 def repeated_windows(docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
-    """(doc, places): for each text that holds a repeated window, the XXH64 of
-    the text (seed 42) and the first words' places."""
+    """(doc, crc, places): for each text that holds a repeated window, the
+    XXH64 of the text (seed 42), its CRC-32 as a signed integer, and the first
+    words' places."""
     found = _repeated(_candidates(docs, window, sketch(docs, window, text), text))
-    return written(found.groupBy("doc").agg(F.collect_set("at").alias("places")), "repeated-windows")
+    return written(found.groupBy("doc", "crc").agg(F.collect_set("at").alias("places")), "repeated-windows")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_kept: bool = True) -> DataFrame:
@@ -238,12 +241,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_k
     the input. Words are unchanged runs of anything but space and U+0009 to
     U+000D. A null text has no words; repeated rows are copies of each other;
     other columns stay, those with the new names are replaced. Texts are
-    identified by a 64-bit hash, words by 64 bits, windows by 128.
+    identified by 96 bits of two hashes, words by 64 bits, windows by 128.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept")
     places = repeated_windows(docs, window, text)
-    places = places.select(F.col("doc").alias("__found"), F.col("places").alias("__places"))
-    joined = docs.withColumn("__doc", F.xxhash64(F.coalesce(text, F.lit("")))).join(places, F.col("__doc") == F.col("__found"), "left").drop("__doc", "__found")
+    places = places.select(F.col("doc").alias("__found"), F.col("crc").alias("__found_crc"), F.col("places").alias("__places"))
+    whole = F.coalesce(text, F.lit(""))
+    signed = F.crc32(whole.cast("binary")).bitwiseXOR(F.lit(1 << 31)) - (1 << 31)
+    keyed = docs.withColumns({"__doc": F.xxhash64(whole), "__crc": signed.cast("int")})
+    joined = keyed.join(places, (F.col("__doc") == F.col("__found")) & (F.col("__crc") == F.col("__found_crc")), "left").drop("__doc", "__crc", "__found", "__found_crc")
     at, names = docs.columns.index(text), [*docs.columns, "n_words", "n_removed", "kept_sha256", *(["kept"] if with_kept else [])]
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([*docs.schema.fields, *fields, *([T.StructField("kept", T.StringType())] if with_kept else [])])
