@@ -67,11 +67,18 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = 0, page: str = "page_i
     )
 
 
+#: (largest payload, most records of one archive) by classes of payloads: an archive holds some
+#: 256 MB at most, or eight of the records above the last class.
+SIZES = [(1 << 14, 1 << 14), (1 << 20, 1 << 8), (1 << 31, 1 << 3)]
+
+
 def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> str:
     """Writes gzipped WARC/1.1 files, one or more a task, and returns the folder.
 
     A revisit holds the HTTP header but no payload. The text sink writes the
-    records; its line separator is the blank lines that end each record.
+    records; its line separator is the blank lines that end each record. Each
+    class of payload sizes has a subfolder, so that archives are bounded by
+    bytes; classes without a record are not written, but for the first.
     """
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     revisit = F.col("record_type") == "revisit"
@@ -90,8 +97,12 @@ def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:0
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), length, F.lit(END),
     )
     text = F.concat(header, http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    options = {"lineSep": END, "compression": "gzip", "maxRecordsPerFile": "20000", "zlib.compress.level": "BEST_SPEED"}
-    records.select(text.alias("value")).write.options(**options).text(folder)
+    bytes_kept = F.when(revisit, 0).otherwise(F.col("payload_bytes"))
+    size_class = sum((bytes_kept > most).cast("int") for most, _ in SIZES[:-1])
+    there = {0} | {r[0] for r in records.select(size_class.alias("k")).distinct().collect()}
+    for k in sorted(there):
+        options = {"lineSep": END, "compression": "gzip", "maxRecordsPerFile": str(SIZES[k][1]), "zlib.compress.level": "BEST_SPEED"}
+        records.where(size_class == k).select(text.alias("value")).write.options(**options).text(f"{folder}/size-{k}")
     return folder
 
 
@@ -120,8 +131,7 @@ def read_archives(spark, folder: str) -> DataFrame:
     """One row for each record: page_id, record_type, payload_digest,
     payload_bytes (null for revisits), refers_to. Digest and length of a
     response are taken from the payload itself. An archive is held whole by
-    the task that reads it; its size is bounded by that of the writing task's
-    input and 20,000 records."""
+    the task that reads it; write_archives bounds it by bytes."""
 
     def number(uri: str | None) -> int | None:
         value = (uri or "").rpartition(":")[2].rstrip(">")
@@ -141,7 +151,7 @@ def read_archives(spark, folder: str) -> DataFrame:
                 columns = zip(*rows, strict=True) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(folder)
     return files.select("content").mapInArrow(run, HEADERS)
 
 

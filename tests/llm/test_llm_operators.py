@@ -112,8 +112,8 @@ def test_archives_round_trip_and_resolve_revisits(spark):
         again = p is None or p > least[h or ""]
         want.append((p, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", least[h or ""] if again else None))
     assert got == sorted(want, key=str)
-    blocks = [b for f in glob.glob(folder.removeprefix("file:") + "/*.gz") for _, b in warc.parse_archive(open(f, "rb").read())]
-    assert len(blocks) == len(rows) and gzip.decompress(open(glob.glob(folder.removeprefix("file:") + "/*.gz")[0], "rb").read()).startswith(b"WARC/1.1\r\n")
+    blocks = [b for f in glob.glob(folder.removeprefix("file:") + "/size-*/*.gz") for _, b in warc.parse_archive(open(f, "rb").read())]
+    assert len(blocks) == len(rows) and gzip.decompress(open(glob.glob(folder.removeprefix("file:") + "/size-*/*.gz")[0], "rb").read()).startswith(b"WARC/1.1\r\n")
     assert warc.deduplicate_archives(spark.createDataFrame([], "page_id bigint, url string, html string"))[1].count() == 0
 
 
