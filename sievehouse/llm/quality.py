@@ -178,10 +178,11 @@ def fit_additive_model(x: np.ndarray, y: np.ndarray, cycles: int = 120, pair_cyc
 def train_quality_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 20_000) -> AdditiveModel | None:
     """Fits on a bounded sample, at most `most` labelled rows by the order of a
     hash of key and label; None without a labelled text. Null keys and labels
-    are left out, repeated rows are repeated examples. The sample's keys are
-    broadcast, their number being bounded."""
-    rows = labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).where("key is not null and y is not null")
-    rows = written(rows.orderBy(F.xxhash64("key", "y"), "key").limit(most), "quality-sample")
+    are left out, repeated label rows count once. Of documents with one key
+    that with the least features stands for all, so the driver gets `most`
+    rows at most. The sample's keys are broadcast, their number being bounded."""
+    rows = labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).where("key is not null and y is not null").distinct()
+    rows = written(rows.orderBy(F.xxhash64("key", "y"), "key", "y").limit(most), "quality-sample")
     chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(rows), "key").select("key", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,8 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
             found = [features(v.as_py()) for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["key", "y", "x"])
 
-    got = chosen.mapInArrow(run, T.StructType([chosen.schema["key"], T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))])).toPandas()
+    found = chosen.mapInArrow(run, T.StructType([chosen.schema["key"], T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    got = found.groupBy("key", "y").agg(F.min("x").alias("x")).toPandas()
     if got.empty:
         return None
     got = got.sort_values(["key", "y"], kind="stable")
@@ -198,8 +200,10 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
 
 def score_quality(docs: DataFrame, model: AdditiveModel | None, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 is likelier) and predicted (1 if
-    the score reaches threshold). Null texts are scored as empty ones; without
-    a model every score is 0.5. Existing columns of these names are replaced."""
+    the score reaches threshold). Null texts are scored as empty ones, and equal
+    texts alike, each row for itself; a score is that of the whole text, however
+    long. Without a model every score is 0.5, and so is a tie of both labels.
+    Existing columns of these names are replaced."""
     docs = docs.drop("score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
