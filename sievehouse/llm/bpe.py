@@ -126,7 +126,7 @@ class MergeAutomaton:
         """The tokens of pre-split words. What a word's run through the tables
         shares with the run of the word before is not run again, so sorted
         words are the fastest."""
-        arcs, behind, near, width = self._arcs, self.behind, self._near, self.NEAR
+        arcs, behind, near, width, ends, made = self._arcs, self.behind, self._near, self.NEAR, self._ends, self._token
         states, tokens, starts, before, out = [self.START], [-1], [0], b"", []
         for word in words:
             shared, most = 0, min(len(word), len(before))
@@ -142,8 +142,14 @@ class MergeAutomaton:
                         near.clear()
                     known = near[context] = self._endings(word, end, start)
                 found, node = known
-                if start and node >= 0 and node << 8 | word[start - 1] in self._ends:
-                    found = self._endings(word, end, 0)[0]
+                if start and node >= 0:
+                    at, longer = start, []
+                    while at and (node := ends.get(node << 8 | word[at - 1], -1)) >= 0:
+                        at -= 1
+                        if made[node] >= 0:
+                            longer.append((end - at, made[node]))
+                    if longer:
+                        found = longer[::-1] + found
                 for length, token in found:
                     state = states[end - length]
                     allowed = arcs.get(state << 20 | token)
