@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,25 +20,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as
-    in local tests, a temporary folder takes its place.
+    The cluster names it in spark.checkpoint.dir. Where that is unset, only a
+    session of one machine, as in tests, gets a temporary folder; any other fails.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sievehouse-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: The tables that this process wrote and hasn't dropped, by the folder they are in.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and
-    a lost executor costs no more than the tasks that ran on it."""
+    a lost executor costs no more than the tasks that ran on it. It stays until
+    drop_written is called."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that written made in this process, and returns their
+    number. Call it once the results that read them are saved."""
+    paths, _WRITTEN[:] = list(_WRITTEN), []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
+def text_key(text: Column) -> Column:
+    """What stands for a whole text (null: empty) in a join: 96 bits of two
+    different hashes and its length, so that different texts don't meet at any size of corpus."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"), F.length(text).alias("n"))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

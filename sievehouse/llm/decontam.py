@@ -16,7 +16,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, written
+from .common import shingle_hashes, text_key, written
 
 SIZE, CONTAINED = 5, Fraction(4, 5)
 
@@ -44,22 +44,26 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     empty, is in no pair. Repeated rows give one pair; equal texts are
     candidates together. The sketches are joined by their hash: Spark
     broadcasts them only if the table written for them is below its threshold,
-    else it shuffles both sides and splits hot shingles.
+    else it shuffles both sides and splits hot shingles. Texts that are no
+    candidate are left out before texts meet items; the list of candidates is
+    a written table too, so whole texts move only where it is above the threshold.
     """
-    of_docs = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    of_docs = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_key", text_key(F.col("text")))
     sketches = written(item_sketches(items.select(F.col(item).alias("item"), F.col(text).alias("text")), "item", "text", size, least), "item-sketches")
     probes = written(sketches.select(F.explode("sketch").alias("h"), "item"), "item-probes")
-    shingles = of_docs.select("text_hash", F.explode(shingle_hashes(F.col("text"), size)).alias("h"))
-    candidates = written(shingles.join(probes, "h").select("text_hash", "item").distinct(), "item-candidates")
+    shingles = of_docs.select("text_key", F.explode(shingle_hashes(F.col("text"), size)).alias("h"))
+    candidates = written(shingles.join(probes, "h").select("text_key", "item").distinct(), "item-candidates")
+    texts = written(candidates.select("text_key").distinct(), "candidate-texts")
     both = candidates.join(sketches.select("item", "shingles", "n_item"), "item")
-    found = of_docs.join(both, "text_hash").withColumn("n_shared", F.size(F.array_intersect(shingle_hashes(F.col("text"), size), F.col("shingles"))))
+    found = of_docs.join(texts, "text_key", "left_semi").join(both, "text_key").withColumn("n_shared", F.size(F.array_intersect(shingle_hashes(F.col("text"), size), F.col("shingles"))))
     found = found.where(_enough(F.col("n_shared"), F.col("n_item"), least))
     return found.select(F.col("doc").alias(key), F.col("item").alias(item), F.col("n_shared").cast("long").alias("n_shared"), F.col("n_item").cast("long").alias("n_item"), (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """docs without those that contain an item. Columns are unchanged."""
-    texts = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("doc"), F.col(text).alias("text"))
+    """docs without those that contain an item. Columns are unchanged. A null or
+    empty text contains none and stays; equal texts, repeated rows included, stay or go together."""
+    texts = docs.select(text_key(F.col(text)).alias("doc"), F.col(text).alias("text"))
     found = written(contained_items(texts, items.select(F.col(item).alias(item), F.col(text).alias("text")), "doc", "text", item).select(F.col("doc").alias("__found")).distinct(), "contaminated")
-    marked = docs.withColumn("__doc", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    marked = docs.withColumn("__doc", text_key(F.col(text)))
     return marked.join(found, F.col("__doc") == F.col("__found"), "left_anti").select(*docs.columns)
