@@ -44,6 +44,18 @@ def portable(pattern: str) -> bool:
     return not any(x in pattern for x in ("(?=", "(?!", "(?<=", "(?<!", "\\1"))
 
 
+def holds(low: Column, needs: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether a lower-cased text holds one literal of each group. Plain search
+    is many times faster than a pattern, so it goes before one."""
+    out = None
+    for group in needs:
+        some = None
+        for x in group:
+            some = F.contains(low, F.lit(x)) if some is None else some | F.contains(low, F.lit(x))
+        out = some if out is None else out & some
+    return F.lit(True) if out is None else out
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     return text.rlike(java(pattern, ignore_case))
 
@@ -56,3 +68,8 @@ def first(text: Column, pattern: str, ignore_case: bool = False, group: int = 0)
 def before_first(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     """The text before the first match (all of it without a match)."""
     return F.split(text, java(pattern, ignore_case), 2)[0]
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]

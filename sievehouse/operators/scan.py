@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regexes import before_first, first, java, matches
+from ..functions import regexes as R
+from ..functions.regexes import before_first, java, matches
 from ..functions.text import mark_at, mask_of
 from ..plans import signals as S
 from . import findings as FN
@@ -16,10 +17,6 @@ CATEGORIES = ("shell", "injection", "secret", "pii", "config", "egress")
 DEFAULT = ("shell", "injection", "secret", "config", "egress")
 
 
-def _at(label: str, severity: str, category: str, text: Column, pattern: str, fold: bool) -> Column:
-    return FN.finding(F.lit(label), severity, category, before_first(text, pattern, fold))
-
-
 def decoded_blobs(text: Column) -> Column:
     """Texts hidden in long base64 runs that read like a payload."""
 
@@ -42,23 +39,34 @@ def deletes_real_data(line: Column) -> Column:
     return ~line.rlike(shape) | (F.size(targets) == 0) | F.exists(targets, lambda t: ~matches(bare(t), S.BUILD_OUTPUT, True))
 
 
-def _shell(text: Column) -> Column:
-    """The findings in the text and in what its base64 runs hide, which is decoded once a row."""
-    hidden = F.when(matches(text, S.BLOB), F.array_join(decoded_blobs(text), "\n")).otherwise("")
+def _hit(text: Column, low: Column, s: S.Signal) -> Column:
+    """Whether the text matches: what every match holds is looked for first, as
+    the patterns with their word boundaries are slow."""
+    gate = text.rlike(s.gate) if s.gate else R.holds(low, s.needs)
+    return gate & matches(text, s.pattern, s.fold)
 
-    def hit(seen: Column, s: S.Signal) -> Column:
-        found = matches(seen, s.pattern, s.fold)
-        return found & _any_real_delete(seen, s) if s.name == S.FORCE_DELETE else found
+
+def _placed(label: Column, severity: str, category: str, prefix: Column) -> Column:
+    return R.let(prefix, lambda p: FN.finding(label, severity, category, p))
+
+
+def _shell(text: Column, low: Column) -> list[Column]:
+    """The findings in the text and in what its base64 runs hide, which is decoded once a row."""
+    loose_blob = text.rlike("[A-Za-z0-9+/]{32}")
+    hidden = F.when(loose_blob & matches(text, S.BLOB), F.array_join(decoded_blobs(text), "\n")).otherwise("")
 
     def found(blobs: Column) -> Column:
-        out = [F.when(blobs != "", FN.finding(F.lit("Base64-encoded shell / RCE payload"), "CRITICAL", "shell", None))]
-        for s in S.SHELL:
-            placed = _at(s.name, s.severity, "shell", text, s.pattern, s.fold)
-            both = F.when(hit(F.concat(text, F.lit("\n"), blobs), s), F.when(matches(text, s.pattern, s.fold), placed).otherwise(FN.finding(F.lit(s.name), s.severity, "shell", None)))
-            out.append(F.when(blobs == "", F.when(hit(text, s), placed)).otherwise(both))
-        return F.array_compact(F.array(*out))
+        """(decoded, signals): what is in the blobs alone has no place."""
+        none = lambda s: FN.finding(F.lit(s.name), s.severity, "shell", None)
+        here = lambda s: _placed(F.lit(s.name), s.severity, "shell", before_first(text, s.pattern, s.fold))
+        real = lambda x, s: _any_real_delete(x, s) if s.name == S.FORCE_DELETE else F.lit(True)
+        plain = [F.when(_hit(text, low, s) & real(text, s), here(s)) for s in S.SHELL]
+        both = F.concat(text, F.lit("\n"), blobs)
+        mixed = [F.when(matches(both, s.pattern, s.fold) & real(both, s), F.when(matches(text, s.pattern, s.fold), here(s)).otherwise(none(s))) for s in S.SHELL]
+        decoded = FN.finding(F.lit("Base64-encoded shell / RCE payload"), "CRITICAL", "shell", None)
+        return F.when(blobs == "", FN.gather(plain)).otherwise(FN.gather([decoded, *mixed]))
 
-    return F.transform(F.array(hidden), found)[0]
+    return R.let(hidden, found)
 
 
 def _any_real_delete(text: Column, s: S.Signal) -> Column:
@@ -69,68 +77,79 @@ def _negated(prefix: Column) -> Column:
     return matches(F.right(prefix, F.lit(20)), S.NEGATED, True)
 
 
-def _injection(text: Column) -> list[Column]:
-    low = F.lower(text)
+def _injection(text: Column, low: Column) -> Column:
     phrase = None
     for p in S.PHRASES:
         prefix = F.left(text, F.instr(low, p) - 1)
-        hit = (F.instr(low, p) > 0) & ~_negated(prefix)
-        value = FN.finding(F.lit(f'Injected instruction: "{p}"'), "HIGH", "injection", prefix)
+        value = _placed(F.lit(f'Injected instruction: "{p}"'), "HIGH", "injection", prefix)
+        hit = F.contains(low, F.lit(p)) & ~_negated(prefix)
         phrase = F.when(hit, value) if phrase is None else phrase.when(hit, value)
     out = [phrase]
     for s in S.INJECTIONS:
-        hit = matches(text, s.pattern, s.fold) & ~_negated(before_first(text, s.pattern, s.fold))
+        hit = _hit(text, low, s) & ~_negated(before_first(text, s.pattern, s.fold))
         if s.name == S.BULK_DELETE:
             hit = hit & ~matches(F.regexp_substr(text, F.lit(java(s.pattern, s.fold))), S.BUILD_STEP, True)
-        out.append(F.when(hit, _at(s.name, s.severity, "injection", text, s.pattern, s.fold)))
-    out.append(F.when(text.rlike(S.INVISIBLE), FN.finding(F.lit("Invisible / zero-width characters"), "MEDIUM", "injection", F.split(text, S.INVISIBLE, 2)[0])))
-    return out
+        out.append(F.when(hit, _placed(F.lit(s.name), s.severity, "injection", before_first(text, s.pattern, s.fold))))
+    invisible = text.rlike("[^\\x{0}-\\x{61B}]") & text.rlike(S.INVISIBLE)
+    out.append(F.when(invisible, _placed(F.lit("Invisible / zero-width characters"), "MEDIUM", "injection", F.split(text, S.INVISIBLE, 2)[0])))
+    return FN.gather(out)
 
 
 def is_placeholder(value: Column) -> Column:
     """Sample words, masks, runs of one character and trivial sequences are no credentials."""
-    low, tail = F.lower(value), F.regexp_replace(value, "^\\w{1,10}[-_]", "")
-    out = F.lit(False)
-    for p in S.PLACEHOLDERS:
-        out = out | matches(low, p)
-    return out | matches(tail, S.PLACEHOLDER_TAILS[0]) | matches(tail, S.PLACEHOLDER_TAILS[1], True)
 
+    def of(value: Column) -> Column:
+        low, tail = F.lower(value), F.regexp_replace(value, "^\\w{1,10}[-_]", "")
+        out = F.lit(False)
+        for p in S.PLACEHOLDERS:
+            out = out | matches(low, p)
+        return out | matches(tail, S.PLACEHOLDER_TAILS[0]) | matches(tail, S.PLACEHOLDER_TAILS[1], True)
+
+    return R.let(value, of)
 
-def _secret(text: Column) -> list[Column]:
+
+def _secret(text: Column, low: Column) -> Column:
     out = []
     for s in S.SECRETS:
-        hit = matches(text, s.pattern, s.fold) & ~is_placeholder(F.regexp_substr(text, F.lit(java(s.pattern, s.fold))))
-        out.append(F.when(hit, _at(f"Live credential: {s.name}", s.severity, "secret", text, s.pattern, s.fold)))
-    return out
+        hit = _hit(text, low, s) & ~is_placeholder(F.regexp_substr(text, F.lit(java(s.pattern, s.fold))))
+        out.append(F.when(hit, _placed(F.lit(f"Live credential: {s.name}"), s.severity, "secret", before_first(text, s.pattern, s.fold))))
+    return FN.gather(out)
 
 
 def luhn_valid(value: Column) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    ok = F.aggregate(
-        F.sequence(F.lit(0), F.length(digits) - 1),
-        F.lit(0),
-        lambda s, i: s + F.when(i % 2 == 0, F.substring(digits, F.length(digits) - i, F.lit(1)).cast("int")).otherwise(
-            F.element_at(F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), F.substring(digits, F.length(digits) - i, F.lit(1)).cast("int") + 1)
-        ),
-    )
-    return F.when(F.length(digits).between(13, 19), ok % 10 == 0).otherwise(F.lit(False))
+    def checked(digits: Column) -> Column:
+        def worth(i: Column) -> Column:
+            d = F.substring(digits, F.length(digits) - i, F.lit(1)).cast("int")
+            return F.when(i % 2 == 0, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0))
+
+        total = F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), lambda s, i: s + worth(i))
+        return F.when(F.length(digits).between(13, 19), total % 10 == 0).otherwise(F.lit(False))
+
+    return R.let(F.regexp_replace(value, "[^0-9]", ""), checked)
 
 
 def personal_value(text: Column, s: S.Signal) -> Column:
     """The first match of a personal-data signal, or null if it is vetoed. Only the first match is looked at."""
-    value = F.regexp_substr(text, F.lit(java(s.pattern, s.fold)))
-    if s.name == "Credit card number":
-        return F.when(luhn_valid(value), value)
-    if s.name == "IPv4 address":
-        context = F.right(before_first(text, s.pattern, s.fold), F.lit(12))
-        return F.when(~matches(value, S.RESERVED_IP) & ~matches(context, S.VERSION_BEFORE, True), value)
-    if s.name == "Phone number":
-        return F.when(~value.rlike("^[0-9]+\\z"), value)
-    return value
 
+    def kept(value: Column) -> Column:
+        if s.name == "Credit card number":
+            return F.when(luhn_valid(value), value)
+        if s.name == "IPv4 address":
+            context = F.right(before_first(text, s.pattern, s.fold), F.lit(12))
+            return F.when(~matches(value, S.RESERVED_IP) & ~matches(context, S.VERSION_BEFORE, True), value)
+        if s.name == "Phone number":
+            return F.when(~value.rlike("^[0-9]+\\z"), value)
+        return value
+
+    return R.let(F.regexp_substr(text, F.lit(java(s.pattern, s.fold))), kept)
 
-def _pii(text: Column) -> list[Column]:
-    return [F.when(personal_value(text, s).isNotNull(), _at(f"Personal data: {s.name}", s.severity, "pii", text, s.pattern, s.fold)) for s in S.PERSONAL]
+
+def _pii(text: Column, low: Column) -> Column:
+    parts = [
+        F.when(_hit(text, low, s), F.when(personal_value(text, s).isNotNull(), _placed(F.lit(f"Personal data: {s.name}"), s.severity, "pii", before_first(text, s.pattern, s.fold))))
+        for s in S.PERSONAL
+    ]
+    return FN.gather(parts)
 
 
 def setting_pattern(marker: str) -> str:
@@ -139,14 +158,14 @@ def setting_pattern(marker: str) -> str:
     return f"(?<!\\w)(?:(?<=(?:^|\\s)--?[\\w-]{{0,20}}){word}(?!\\w)|{word}(?!\\w)(?=[\"'`\\]]?\\s{{0,10}}[:=])|(?<=[:=]\\s{{0,8}}[\"'`\\[]?\\s{{0,8}}){word}(?!\\w))"
 
 
-def _config(text: Column) -> list[Column]:
+def _config(text: Column, low: Column) -> Column:
     out = None
     for m in S.SETTINGS:
-        p = setting_pattern(m)
-        value = FN.finding(F.lit(f'Risky setting: "{m}"'), "MEDIUM", "config", F.split(text, "(?i)" + p, 2)[0])
-        hit = text.rlike("(?i)" + p)
+        p = "(?i)" + setting_pattern(m)
+        value = _placed(F.lit(f'Risky setting: "{m}"'), "MEDIUM", "config", F.split(text, p, 2)[0])
+        hit = F.contains(low, F.lit(m)) & text.rlike(p)
         out = F.when(hit, value) if out is None else out.when(hit, value)
-    return [out]
+    return FN.gather([out])
 
 
 def host_pattern(host: str) -> str:
@@ -155,27 +174,36 @@ def host_pattern(host: str) -> str:
 
 def egress_host(text: Column) -> Column:
     """The first listed sink host that the text names, or null."""
-    low, out = F.lower(text), None
+    return R.let(F.lower(text), _host_in)
+
+
+def _host_in(low: Column) -> Column:
+    out = None
     for h in S.HOSTS:
-        hit = (F.instr(low, h) > 0) & matches(low, host_pattern(h))
+        hit = F.contains(low, F.lit(h)) & matches(low, host_pattern(h))
         out = F.when(hit, F.lit(h)) if out is None else out.when(hit, F.lit(h))
     return out
 
 
-def _egress(text: Column) -> list[Column]:
-    host = egress_host(text)
-    prefix = F.left(text, F.instr(F.lower(text), host) - 1)
-    return [F.when(host.isNotNull(), FN.finding(F.concat(F.lit("Exfiltration sink host: "), host), "HIGH", "egress", prefix))]
+def _egress(text: Column, low: Column) -> Column:
+    def found(host: Column) -> Column:
+        prefix = F.left(text, F.instr(low, host) - 1)
+        return FN.gather([F.when(host.isNotNull(), _placed(F.concat(F.lit("Exfiltration sink host: "), host), "HIGH", "egress", prefix))])
+
+    return R.let(_host_in(low), found)
 
 
-_DETECTORS = {"injection": _injection, "secret": _secret, "pii": _pii, "config": _config, "egress": _egress}
+_DETECTORS = {"shell": _shell, "injection": _injection, "secret": _secret, "pii": _pii, "config": _config, "egress": _egress}
 
 
 def scan(text: Column, categories: tuple[str, ...] = DEFAULT) -> Column:
     """The findings of a text, in the order of the catalogue (null: none)."""
+
+    def of(pair: Column) -> Column:
+        return F.concat(*[_DETECTORS[c](pair["text"], pair["low"]) for c in CATEGORIES if c in categories])
+
     text = F.coalesce(text, F.lit(""))
-    rest = FN.gather([p for c in CATEGORIES if c in categories and c != "shell" for p in _DETECTORS[c](text)])
-    return F.concat(_shell(text), rest) if "shell" in categories else rest
+    return R.let(F.struct(text.alias("text"), F.lower(text).alias("low")), of)
 
 
 def scan_documents(docs: DataFrame, categories: tuple[str, ...] = DEFAULT, text: str = "text", masked: bool = True) -> DataFrame:
