@@ -80,9 +80,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df, dealt anew if it has fewer splits than there are cores, that is if
+    it is small: a scan costs far more than moving so few rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of all documents with the overlay's snippet on lines of its own."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _dealt(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     snippets = F.array(*map(F.lit, OVERLAY))
     extra = F.coalesce(F.get(snippets, F.pmod("doc_id", F.lit(SLOTS)).cast("int")), F.lit(""))
     return docs.select("doc_id", F.concat("text", F.lit("\n"), extra).alias("text"))
