@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.regexes import before_first, java, matches
+from ..functions.regexes import before_first, java, let, matches
 from ..functions.text import line_after
 
 MOST_LINES = 40
@@ -54,11 +54,22 @@ CONFIG = [
     ("json.custom_pipeline", "HIGH", "remote-code", 0.8, r'"custom_pipelines?"\s*:\s*[{"]', False, False),
 ]
 LANGUAGES = {"py": PYTHON, "js": SCRIPT, "json": CONFIG}
-#: (id, one of these, and one of these, where it is shown)
+# Fixed values: (id, one of these, and one of these, where it is shown: at the first finding of these rules).
 CHAINS = [
-    ("chain.decode_exec", ["python.encoded_payload", "js.decode_and_run"], ["python.dangerous_sinks", "js.code_exec", "python.dynamic_import"]),
-    ("chain.remote_code_egress", ["python.trust_remote_code", "python.torch_remote_code", "json.automodel_usage", "json.autotokenizer_usage"], ["python.network_egress", "js.network_egress"]),
+    (
+        "chain.decode_exec",
+        ["python.encoded_payload", "js.decode_and_run"],
+        ["python.dangerous_sinks", "js.code_exec", "python.dynamic_import"],
+        ["python.dangerous_sinks", "js.code_exec", "python.encoded_payload", "js.decode_and_run"],
+    ),
+    (
+        "chain.remote_code_egress",
+        ["python.trust_remote_code", "python.torch_remote_code", "json.automodel_usage", "json.autotokenizer_usage"],
+        ["python.network_egress", "js.network_egress"],
+        ["python.network_egress", "js.network_egress", "python.trust_remote_code", "python.torch_remote_code"],
+    ),
 ]
+# Calls of models, sinks of their output, assignments.
 MODEL_CALL = {
     "py": r"\.(a?generate|a?predict|a?invoke|a?run|complete|acomplete|chat|stream|__call__|predict_messages)\s*\(|\.(chat\.)?completions\.create\s*\(|\.messages\.create\s*\(|\bllm\s*\(",
     "js": r"\.(generate|invoke|run|complete|stream|predict|call)\s*\(|\.chat\.completions\.create\s*\(|\.messages\.create\s*\(|\.create(Chat)?Completion\s*\(",
@@ -69,6 +80,9 @@ FLOW_SINK = {
 }
 ASSIGN = r"^\s*(?:export\s+)?(?:const|let|var|await\s+)?\s*([A-Za-z_$][\w$]*(?:\s*,\s*[A-Za-z_$][\w$]*)*)\s*(?::[^=\n]+?)?=(?![=>])\s*([\s\S]+)$"
 
+FLOW_RULE = {"py": "python.llm_output_to_sink", "js": "js.llm_output_to_sink"}
+COMMENT = r"^(#|//|\*|/\*)"
+
 _TOKEN = re.compile(r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)|(["'`].*)|(\#.*|//.*)|([(\[{])|([)\]}])""")
 _UNITS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start_line", T.IntegerType())]))
 
@@ -130,18 +144,25 @@ def notebook_cells(file: Column, text: Column) -> Column:
     return F.filter(F.transform(code, cell), lambda c: c["text"].rlike("[^ \\t\\r\\n]"))
 
 
-def statements(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """(file, lang, start_line, unit) of the files in a language with rules, and of notebooks' code cells."""
+def source_files(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """(file, lang, units) of the files in a language with rules, and of
+    notebooks' code cells; units holds (text, start_line) of each statement."""
     name, lang, body = F.col(file), language_of(F.col(file)), F.col(text)
     whole = F.when(lang.isNotNull(), F.array(F.struct(name.alias("file"), lang.alias("lang"), F.coalesce(body, F.lit("")).alias("text"))))
     parts = F.when(F.lower(name).endswith(".ipynb"), notebook_cells(name, body)).otherwise(whole)
     rows = files.select(F.explode_outer(parts).alias("p")).where("p is not null").select("p.*")
-    return rows.select("file", "lang", F.explode_outer(logical_units("text")).alias("u")).select("file", "lang", F.col("u.start_line").alias("start_line"), F.col("u.text").alias("unit"))
+    return rows.select("file", "lang", logical_units("text").alias("units"))
+
+
+def statements(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """(file, lang, start_line, unit), one row a statement of source_files."""
+    return source_files(files, file, text).select("file", "lang", F.explode_outer("units").alias("u")).select("file", "lang", F.col("u.start_line").alias("start_line"), F.col("u.text").alias("unit"))
 
 
 def rule_findings(units: DataFrame) -> DataFrame:
-    """(file, rule, severity, category, confidence, line): the first match of
-    each rule in each statement, outside comment lines; a rule once a line."""
+    """(file, rule, severity, category, confidence, line, start_line, ord): the
+    first match of each rule in each statement, outside comment lines; a rule
+    once a line. start_line and ord (place of the rule) give the order of findings."""
     unit, out = F.col("unit"), []
     for lang, rules in LANGUAGES.items():
         for i, (rule, severity, category, confidence, pattern, fold, code_only) in enumerate(rules):
@@ -152,36 +173,100 @@ def rule_findings(units: DataFrame) -> DataFrame:
     nth = line_after(F.col("prefix"))
     shown = F.trim(F.get(F.split("unit", "\\r?\\n"), nth - 1))
     kept = hits.withColumns({"line": F.col("start_line") + nth - 1, "quoted": _in_string(F.when(F.col("code_only"), F.col("prefix")))})
-    kept = kept.where(~(F.col("code_only") & F.col("quoted")) & (shown != "") & ~shown.rlike("^(#|//|\\*|/\\*)"))
-    return kept.groupBy("file", "rule", "line").agg(F.first("severity").alias("severity"), F.first("category").alias("category"), F.first("confidence").alias("confidence"))
+    kept = kept.where(~(F.col("code_only") & F.col("quoted")) & (shown != "") & ~shown.rlike(COMMENT))
+    same = ("severity", "category", "confidence", "ord")
+    return kept.groupBy("file", "rule", "line").agg(*[F.first(c).alias(c) for c in same], F.min("start_line").alias("start_line"))
 
 
 def chain_findings(found: DataFrame) -> DataFrame:
-    """(file, rule, line): files whose rules meet both sides of a chain, at their first finding among its parts."""
+    """(file, rule, line): files whose rules meet both sides of a chain, at the
+    first finding, by statement and then rule, of those that the chain is shown at; at line 1 if there is none."""
     out = []
-    for name, left, right in CHAINS:
+    for name, left, right, shown in CHAINS:
         has = lambda ids: F.bool_or(F.col("rule").isin(*ids))
-        rolled = found.where(F.col("rule").isin(*left, *right)).groupBy("file").agg(has(left).alias("l"), has(right).alias("r"), F.min("line").alias("line"))
+        first = F.min(F.when(F.col("rule").isin(*shown), F.struct("start_line", "ord", "line")))
+        rolled = found.where(F.col("rule").isin(*left, *right, *shown)).groupBy("file").agg(has(left).alias("l"), has(right).alias("r"), F.coalesce(first["line"], F.lit(1)).alias("line"))
         out.append(rolled.where("l and r").select("file", F.lit(name).alias("rule"), "line"))
     return out[0].unionByName(out[1])
 
 
-def flow_findings(units: DataFrame) -> DataFrame:
-    """(file, rule, name, line): sinks whose arguments name a variable that is
-    assigned from a model call, or from such a variable (two rounds)."""
-    code = units.where("lang != 'json'")
-    names = F.transform(F.split(F.regexp_extract("unit", java(ASSIGN), 1), ","), F.trim)
-    calls = F.when(F.col("lang") == "py", matches(F.regexp_extract("unit", java(ASSIGN), 2), MODEL_CALL["py"])).otherwise(matches(F.regexp_extract("unit", java(ASSIGN), 2), MODEL_CALL["js"]))
-    assigned = code.where(matches(F.col("unit"), ASSIGN)).select("file", "start_line", names.alias("names"), F.regexp_extract("unit", java(ASSIGN), 2).alias("rhs"), calls.alias("calls"))
-    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z_$][\\w$]*"), F.lit(0)))
-    tainted = assigned.where("calls").select("file", F.explode("names").alias("name")).distinct()
-    uses = assigned.select("file", "names", F.explode(words(F.col("rhs"))).alias("name"))
-    for _ in range(2):
-        grown = uses.join(tainted, ["file", "name"]).select("file", F.explode("names").alias("name"))
-        tainted = tainted.unionByName(grown).distinct()
-    sink = F.when(F.col("lang") == "py", F.regexp_substr("unit", F.lit(java(FLOW_SINK["py"])))).otherwise(F.regexp_substr("unit", F.lit(java(FLOW_SINK["js"]))))
-    at = F.instr("unit", F.col("sink"))
-    calls = code.withColumn("sink", sink).where("sink is not null")
-    calls = calls.select("file", "lang", (F.col("start_line") + line_after(F.left("unit", at - 1)) - 1).alias("line"), F.explode(words(F.substring(F.col("unit"), at + F.length("sink"), F.length("unit")))).alias("name"))
-    hit = calls.join(tainted, ["file", "name"]).groupBy("file", "lang", "line").agg(F.min("name").alias("name"))
-    return hit.select("file", F.when(F.col("lang") == "py", "python.llm_output_to_sink").otherwise("js.llm_output_to_sink").alias("rule"), "name", "line")
+def _names(text: Column) -> Column:
+    """What a name may match as a whole word of a text."""
+    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit("\\w+"), F.lit(0)), F.regexp_extract_all(text, F.lit("[\\w$]+"), F.lit(0))))
+
+
+def _tainted(units: Column, calls: str) -> Column:
+    """Names assigned from a model call or from such a name, in the order in
+    which they are met: two passes over the statements, as an assignment may
+    stand before that of the name it takes. A name that begins or ends with a
+    dollar is never a whole word."""
+
+    def assignment(u: Column) -> Column:
+        right = F.regexp_extract(u["text"], java(ASSIGN), 2)
+        names = F.filter(F.transform(F.split(F.regexp_extract(u["text"], java(ASSIGN), 1), ","), lambda t: F.trim(t)), lambda n: n != "")
+        return F.struct(names.alias("names"), matches(right, calls).alias("calls"), _names(right).alias("uses"))
+
+    def step(known: Column, a: Column) -> Column:
+        return F.when(a["calls"] | F.arrays_overlap(known, a["uses"]), F.array_union(known, a["names"])).otherwise(known)
+
+    assigned = F.transform(F.filter(units, lambda u: matches(u["text"], ASSIGN)), assignment)
+    return let(assigned, lambda a: F.aggregate(F.concat(a, a), F.array().cast("array<string>"), step))
+
+
+def _sinks(unit: Column, pattern: str) -> Column:
+    """Array of (sink, nth, shown, uses) of all sinks of a statement: the
+    match, the number of its line within the statement and that line, and the words after its bracket."""
+    text = unit["text"]
+
+    def of(found: Column, gaps: Column) -> Column:
+        def sink(value: Column, i: Column) -> Column:
+            before = F.array_join(F.zip_with(F.slice(gaps, F.lit(1), i + 1), F.slice(found, F.lit(1), i), lambda g, f: F.concat(g, F.coalesce(f, F.lit("")))), "")
+
+            def placed(prefix: Column) -> Column:
+                rest = F.substring(text, F.length(prefix) + 1, F.length(text))
+                nth = line_after(prefix)
+                inside = F.when(F.instr(rest, "(") > 0, F.substring(rest, F.instr(rest, "("), F.length(rest))).otherwise("")
+                name = F.left(F.trim(F.regexp_replace(value, "\\s*\\($", "")), F.lit(120))
+                return F.struct(name.alias("sink"), nth.alias("nth"), F.trim(F.get(F.split(text, "\\r?\\n"), nth - 1)).alias("shown"), _names(inside).alias("uses"))
+
+            return let(before, placed)
+
+        return F.transform(found, sink)
+
+    found = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
+    return let(found, lambda f: let(F.split(text, java(pattern), -1), lambda g: of(f, g)))
+
+
+def flow_findings(files: DataFrame) -> DataFrame:
+    """(file, rule, name, sink, line) over source_files: sinks outside comment
+    lines whose arguments name a variable that is assigned from a model call
+    or from such a variable. name is the first one met; a line is reported
+    once. A file is one row, and nothing is shuffled."""
+    out = []
+    for lang in ("py", "js"):
+        calls, sink = MODEL_CALL[lang], FLOW_SINK[lang]
+        some = F.exists("units", lambda u: matches(u["text"], calls)) & F.exists("units", lambda u: matches(u["text"], sink))
+        mine = files.where((F.col("lang") == lang) & some).withColumn("tainted", _tainted(F.col("units"), calls)).where("size(tainted) > 0")
+        rows = mine.select("file", "tainted", F.posexplode("units").alias("u", "unit"))
+        rows = rows.select("file", "tainted", F.col("unit.start_line").alias("start_line"), F.posexplode(_sinks(F.col("unit"), sink)).alias("s", "sink"))
+        via = F.get(F.filter("tainted", lambda t: F.array_contains(F.col("sink.uses"), t)), F.lit(0))
+        shown = F.col("sink.shown")
+        rows = rows.select("file", "start_line", "s", via.alias("name"), F.col("sink.sink").alias("sink"), shown.alias("shown"), (F.col("start_line") + F.col("sink.nth") - 1).alias("line"))
+        rows = rows.where((F.col("name").isNotNull()) & (F.col("shown") != "") & ~F.col("shown").rlike(COMMENT))
+        first = rows.groupBy("file", "line").agg(F.min_by(F.struct("name", "sink"), F.struct("start_line", "s")).alias("f"))
+        out.append(first.select("file", F.lit(FLOW_RULE[lang]).alias("rule"), F.col("f.name").alias("name"), F.col("f.sink").alias("sink"), "line"))
+    return out[0].unionByName(out[1])
+
+
+def scan_source(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """(file, rule, severity, category, confidence, line): the findings of the
+    rules, the flows and the chains of source files, together."""
+    parsed = source_files(files, file, text)
+    units = parsed.select("file", "lang", F.explode_outer("units").alias("u")).select("file", "lang", F.col("u.start_line").alias("start_line"), F.col("u.text").alias("unit"))
+    rules = rule_findings(units)
+    flat = lambda df, severity, category, confidence: df.select("file", "rule", F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), "line")
+    return (
+        rules.select("file", "rule", "severity", "category", "confidence", "line")
+        .unionByName(flat(flow_findings(parsed), "HIGH", "taint-heuristic", 0.5))
+        .unionByName(flat(chain_findings(rules), "CRITICAL", "chain", 0.6))
+    )

@@ -70,7 +70,7 @@ def import_specifiers(line: Column) -> Column:
     quoted = F.when(line.rlike("['\"]"), F.regexp_extract_all(line, F.lit(java(SPEC)), F.lit(1))).otherwise(F.array().cast("array<string>"))
     from_py = F.regexp_extract(line, java(r"^\s*from\s+([A-Za-z_][\w.]*)\s+import\b"), 1)
     import_py = F.regexp_extract(line, java(r"^\s*import\s+([A-Za-z_][\w.]*(?:\s*,\s*[A-Za-z_][\w.]*)*)"), 1)
-    return F.filter(F.transform(F.concat(quoted, F.array(from_py), F.split(import_py, ",")), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.concat(quoted, F.array(from_py), F.split(import_py, ",")), lambda t: F.trim(t)), lambda s: s != "")
 
 
 def _imported(spec: Column, p: Provider) -> Column:

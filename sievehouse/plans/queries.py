@@ -446,22 +446,26 @@ def _sites_sql() -> str:
     return f"{uses}\nSELECT provider, CAST(row_number() OVER (PARTITION BY provider ORDER BY file, line, ord) AS INTEGER) AS nth, file, CAST(line AS INTEGER) AS line, kind, model FROM u QUALIFY nth <= {usage.MOST_SITES}"
 
 
-def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents read as source files: Python and script by turns of their id."""
-    docs = overlaid(spark, sf_dir)
-    return SRC.statements(docs.withColumn("file", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 < 2, ".py").otherwise(".js"))))
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source files: Python and script by turns of their id."""
+    return overlaid(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 < 2, ".py").otherwise(".js")))
 
 
 def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SRC.rule_findings(_statements(spark, sf_dir))
+    return SRC.rule_findings(SRC.statements(_sources(spark, sf_dir))).drop("start_line", "ord")
 
 
 def code_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SRC.chain_findings(SRC.rule_findings(_statements(spark, sf_dir)))
+    return SRC.chain_findings(SRC.rule_findings(SRC.statements(_sources(spark, sf_dir))))
 
 
 def code_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SRC.flow_findings(_statements(spark, sf_dir))
+    return SRC.flow_findings(SRC.source_files(_sources(spark, sf_dir)))
+
+
+def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of rules, flows and chains over documents read as source files."""
+    return SRC.scan_source(_sources(spark, sf_dir))
 
 
 def model_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -592,7 +596,7 @@ QUERIES = {
     "doc_verdict": doc_verdict, "top_finding": top_finding, "verdict_by_label": verdict_by_label, "shell_scan": shell_scan, "force_delete": force_delete, "inline_eval": inline_eval, "conceal_action": conceal_action,
     "secret_scan": secret_scan, "injection_scan": injection_scan, "pii_scan": pii_scan, "egress_scan": egress_scan, "setting_scan": setting_scan,
     "masked_verdict": masked_verdict, "memory_grade": memory_grade, "gate_verdict": gate_verdict, "line_stats": line_stats, "finding_context": finding_context,
-    "code_findings": code_findings, "code_chains": code_chains, "code_flows": code_flows, "provider_rollup": provider_rollup, "provider_sites": provider_sites, "model_refs": model_refs, "design_paths": design_paths, "design_verdict": design_verdict,
+    "code_findings": code_findings, "code_chains": code_chains, "code_flows": code_flows, "source_scan": source_scan, "provider_rollup": provider_rollup, "provider_sites": provider_sites, "model_refs": model_refs, "design_paths": design_paths, "design_verdict": design_verdict,
     "package_look_alikes": package_look_alikes, "url_risk": url_risk, "asset_clamp": asset_clamp,
     "gap_windows": gap_windows, "gap_compact": gap_compact, "gap_acknowledged": gap_acknowledged,
 }

@@ -30,7 +30,9 @@ def test_rules_chains_and_flows(spark):
     assert {x for x in found if x[0] == "a.py"} == {("a.py", "python.pickle_deserialization", 2)}
     assert ("b.py", "python.dangerous_sinks", 2) in found and ("c.js", "js.code_exec", 3) in found and not any(x[0] in ("d.py", "g.txt", "h.py") for x in found)
     assert {(r.file, r.rule) for r in SRC.chain_findings(SRC.rule_findings(units)).collect()} == {("b.py", "chain.decode_exec"), ("e.py", "chain.remote_code_egress")}
-    assert {(r.file, r.name, r.line) for r in SRC.flow_findings(units).collect()} == {("c.js", "t", 3)}
+    assert {(r.file, r.name, r.line) for r in SRC.flow_findings(SRC.source_files(df)).collect()} == {("c.js", "t", 3)}
+    whole = {(r.file, r.rule, r.line) for r in SRC.scan_source(df).collect()}
+    assert whole == found | {("b.py", "chain.decode_exec", 1), ("e.py", "chain.remote_code_egress", 1), ("c.js", "js.llm_output_to_sink", 3)}
 
 
 def test_notebooks(spark):
@@ -44,3 +46,50 @@ def test_notebooks(spark):
     assert sorted(map(tuple, cells.collect())) == [("a.ipynb#cell2", "py"), ("a.ipynb#cell3", "py"), ("b.ipynb#cell1", "js")]
     found = SRC.rule_findings(SRC.statements(df))
     assert sorted(map(tuple, found.select("file", "rule", "line").collect())) == [("a.ipynb#cell2", "python.dangerous_sinks", 2), ("b.ipynb#cell1", "js.code_exec", 1)]
+
+
+def flows_by_hand(text):
+    """(line, name): two passes over the statements in order, then every sink."""
+    import re
+
+    units, known = SRC.units_of(text), []
+    whole = lambda name, where: re.search(rf"(?<!\w){re.escape(name)}(?!\w)", where)
+    for _ in range(2):
+        for unit, _ in units:
+            if m := re.match(SRC.ASSIGN.removesuffix("$") + r"\Z", unit):
+                names = [x.strip() for x in m[1].split(",")]
+                if re.search(SRC.MODEL_CALL["py"], m[2]) or any(whole(k, m[2]) for k in known):
+                    known += [x for x in names if x not in known]
+    out, lines = {}, text.split("\n")
+    for unit, start in units:
+        for m in re.finditer(SRC.FLOW_SINK["py"], unit):
+            at = start + unit[: m.start()].count("\n")
+            rest = unit[m.start() :]
+            via = next((k for k in known if whole(k, rest[rest.index("(") :])), None)
+            if via and lines[at - 1].strip() and not re.match(SRC.COMMENT, lines[at - 1].strip()):
+                out.setdefault(at, via)
+    return sorted(out.items())
+
+
+def test_flows_equal_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    names = ["r", "a", "b", "c", "out", "text"]
+    pieces = lambda: r.choice([
+        f"{r.choice(names)} = llm(x)", f"{r.choice(names)} = client.messages.create(\n  {r.choice(names)})", f"{r.choice(names)} = {r.choice(names)}", f"{r.choice(names)}, {r.choice(names)} = {r.choice(names)}.parts",
+        f"exec({r.choice(names)})", f"# exec({r.choice(names)})", f"eval(1); exec({r.choice(names)})", f"os.system(\n  {r.choice(names)})", f"print({r.choice(names)})", "x = 1",
+    ])
+    texts = {"chain": "r=llm(x)\na=r\nb=a\nc=b\nexec(c)", "comment": "r = llm(x)\n# exec(r)", "second": "r = llm(x)\neval(1); exec(r)\nexec(1)", "first": "z = llm(x)\na = z\nexec(a, z)", "clean": "exec(x)", "empty": ""}
+    texts |= {f"t{i}": "\n".join(pieces() for _ in range(r.randrange(1, 14))) for i in range(150)}
+    df = spark.createDataFrame([(f"{k}.py", v) for k, v in texts.items()], "file string, text string")
+    got = {}
+    for row in SRC.flow_findings(SRC.source_files(df)).collect():
+        got.setdefault(row.file.removesuffix(".py"), []).append((row.line, row.name))
+    assert {k: sorted(v) for k, v in got.items()} == {k: f for k, v in texts.items() if (f := flows_by_hand(v))}
+    assert got["chain"] == [(5, "c")] and got["second"] == [(2, "r")] and got["first"] == [(3, "z")] and "comment" not in got
+
+
+def test_chains_are_shown_at_their_own_rules(spark):
+    df = files(spark, a_py="importlib.import_module(x)\ny = base64.b64decode(z)\nexec(y)")
+    assert [(r.rule, r.line) for r in SRC.chain_findings(SRC.rule_findings(SRC.statements(df))).collect()] == [("chain.decode_exec", 2)]
