@@ -153,8 +153,9 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, text: str =
     """docs with lang_pred and score (the calibrated probability).
 
     A text that is null or has no letter, and any text without a model, is
-    und with score 0. Existing columns of these names are replaced. The model
-    has a fixed size for each language and is broadcast.
+    und with score 0. Of languages that tie the first by name is taken; equal
+    texts get equal results, each row for itself. Existing columns of these
+    names are replaced. The model has a fixed size for each language and is broadcast.
     """
     docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -217,7 +217,9 @@ def _estimate(table: dict[str, dict[tuple[int, ...], float]], model: SpanModel,
 def train_span_model(docs: DataFrame, text: str = "text", rounds: int = 25, epochs: int = 300) -> SpanModel:
     """Votes on the candidates of all texts are counted by pattern (kind, votes,
     length class), so the driver gets 4 * 3^5 * 4 rows at most. The classifier,
-    a logistic regression for each kind, is fitted to the estimated labels."""
+    a logistic regression for each kind, is fitted to the estimated labels.
+    Null texts have no candidates, repeated rows count again, and without a
+    candidate of a kind no span of it is added. The first guess of a tie of votes is one half."""
     spans = docs.select(F.explode(candidates(F.coalesce(F.col(text), F.lit("")))).alias("s"))
     pattern = spans.select(F.col("s.kind").alias("kind"), *[v.alias(f"v{j}") for j, v in enumerate(votes(F.col("s")))], _shape(F.col("s")).alias("shape"))
     rows = pattern.groupBy(*pattern.columns).count().collect()
@@ -264,15 +266,17 @@ def spans_text(spans: Column) -> Column:
 
 def detect(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     """docs with found, the array of spans of the whole text. A null or empty
-    text has none; other columns are kept, one named found is replaced."""
+    text has none; repeated rows have the same; of spans that tie in start the
+    kind as listed decides; other columns are kept, one named found is replaced."""
     return docs.withColumn("found", find_spans(F.coalesce(F.col(text), F.lit("")), model))
 
 
 def redact(docs: DataFrame, model: SpanModel, text: str = "text", chars: str | None = "n_chars") -> DataFrame:
     """docs with each span replaced by its kind in brackets; of overlapping
     spans the first stands, up to the end of the last. chars, if there, is
-    counted anew. Null texts stay null."""
-    marked = detect(docs, model, text)
+    counted anew. Null texts stay null; each row, repeated ones too, is
+    redacted for itself; all other columns stay, whatever their names."""
+    marked = docs.withColumn("__spans", find_spans(F.coalesce(F.col(text), F.lit("")), model))
     x = F.col(text)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -283,8 +287,8 @@ def redact(docs: DataFrame, model: SpanModel, text: str = "text", chars: str | N
             F.when(fresh, F.concat(s["out"], F.substring(x, s["at"] + 1, span["start"] - s["at"]), F.lit("["), F.upper(span["kind"]), F.lit("]"))).otherwise(s["out"]).alias("out"),
         )
 
-    clean = F.aggregate("found", zero, step, lambda s: F.concat(s["out"], F.substring(x, s["at"] + 1, F.length(x))))
-    out = marked.withColumn(text, F.when(F.size("found") > 0, clean).otherwise(x))
+    clean = F.aggregate("__spans", zero, step, lambda s: F.concat(s["out"], F.substring(x, s["at"] + 1, F.length(x))))
+    out = marked.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(x))
     if chars and chars in docs.columns:
-        out = out.withColumn(chars, F.when(F.size("found") > 0, F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
+        out = out.withColumn(chars, F.when(F.size("__spans") > 0, F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
     return out.select(*docs.columns)

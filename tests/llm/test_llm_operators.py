@@ -328,3 +328,152 @@ def test_quality_model_on_held_out_rows(spark):
     assert all(0 <= x.score <= 1 for x in out.values()) and len(out) == 603
     none = quality.train_quality_model(df, label_df.limit(0))
     assert none is None and quality.score_quality(df, none).where("score = 0.5").count() == 603
+
+
+# ---- the methods by hand
+
+
+def fingerprint_by_hand(text, size=5, bins=128):
+    def h64(data, seed=42):
+        return xxhash.xxh64_intdigest(data, seed)
+
+    def chained(values, seed=42):
+        for v in values:
+            seed = h64((v % (1 << 64)).to_bytes(8, "little"), seed)
+        return seed
+
+    words = [h64(w.encode()) for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+    if not words:
+        return "0" * bins
+    if len(words) < size:
+        total = 7
+        for w in words:
+            total = chained([total, w])
+        hashes = [total]
+    else:
+        hashes = [chained(words[i : i + size]) for i in range(len(words) - size + 1)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    least = {}
+    for x in map(signed, hashes):
+        at = (x >> 57) + 64  # bins in the order of signed longs
+        least[at] = min(x, least.get(at, x))
+    out = []
+    for i in range(bins):
+        small = lambda salt, i=i: h64(salt.to_bytes(4, "little"), h64(i.to_bytes(4, "little")))
+        start, step = small(1) % bins, small(2) % bins | 1
+        value = least.get(i)
+        k = 0
+        while value is None:
+            value = least.get((start + step * k) % bins)
+            k += 1
+        out.append("%x" % (h64(i.to_bytes(4, "little"), h64((value % (1 << 64)).to_bytes(8, "little"))) & 15))
+    return "".join(out)
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark):
+    texts = [*enumerate(AWKWARD), *((100 + i, prose(i, i, 5000)) for i in (1, 4, 5, 6, 8, 12, 18, 24, 40, 90, 200, 900))]
+    df = docs_of(spark, texts)
+    got = {x.doc_id: x.f for x in df.select("doc_id", fingerprint.fingerprint(F.col("text")).alias("f")).collect()}
+    assert got == {i: fingerprint_by_hand(t) for i, t in texts}
+    a, b = got[100 + 200], got[100 + 900]
+    raw = sum(x == y for x, y in zip(a, b, strict=True)) / 128
+    near = spark.range(1).select(fingerprint.likeness(F.lit(a), F.lit(b)).alias("x"), fingerprint.likeness(F.lit(a), F.lit(a)).alias("y")).first()
+    assert abs(near.x - min(1.0, max(0.0, (raw - 1 / 16) / (15 / 16)))) < 1e-12 and near.y == 1
+
+
+def test_follow_the_leader_equals_brute_force():
+    r = random.Random(8)
+    idf = np.ones(langid.BUCKETS)
+    examples = [(np.array(sorted(r.sample(range(9), 4))), np.array([r.randrange(1, 5) for _ in range(4)]), r.randrange(3)) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.01
+    model = langid._fit(examples, ["a", "b", "c"], idf, 2, alpha, beta, l1, l2)
+    z = {(j, k): 0.0 for j in [*range(9), "bias"] for k in range(3)}
+    n = dict(z)
+
+    def weight(j, k):
+        lasso = 0.0 if j == "bias" else l1
+        if abs(z[j, k]) <= lasso:
+            return 0.0
+        return ((lasso if z[j, k] > 0 else -lasso) - z[j, k]) / ((beta + n[j, k] ** 0.5) / alpha + l2)
+
+    for _ in range(2):
+        for i, (found, counts, y) in enumerate(examples):
+            if i % 5 == 0:
+                continue
+            x = [1 + np.log(c) for c in counts]
+            norm = sum(v * v for v in x) ** 0.5
+            x = {**{int(j): v / norm for j, v in zip(found, x, strict=True)}, "bias": 1.0}
+            s = [sum(v * weight(j, k) for j, v in x.items()) for k in range(3)]
+            p = [np.exp(v) / sum(np.exp(u) for u in s) for v in s]
+            for j, v in x.items():
+                for k in range(3):
+                    g, w = v * (p[k] - (k == y)), weight(j, k)
+                    z[j, k] += g - ((n[j, k] + g * g) ** 0.5 - n[j, k] ** 0.5) / alpha * w
+                    n[j, k] += g * g
+    for k in range(3):
+        assert abs(model.bias[k] - weight("bias", k)) < 1e-9
+        for j in range(9):
+            assert abs(model.weights[j, k] - weight(j, k)) < 1e-9
+    assert model.temperature > 0
+
+
+def test_document_frequencies_cover_all_rows(spark):
+    rows = [(i, prose(i, 5 + i), "aa" if i % 2 else "bb") for i in range(30)] + [(90, None, "aa"), (91, "x" * 40_000, "bb"), (91, "x" * 40_000, "bb")]
+    model = langid.train_language_model(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    seen = np.zeros(langid.BUCKETS)
+    for _, t, _ in rows:
+        if t:
+            seen[langid.ngram_counts(t)[0]] += 1
+    assert np.allclose(model.idf, np.log(33 / (1 + seen)) + 1)
+
+
+def test_reliabilities_equal_brute_force():
+    """Expectation-maximisation over single spans in place of counted patterns."""
+    r = random.Random(6)
+    spans = [tuple(r.choice((-1, 0, 1)) if r.random() < 0.2 else (1 if y else -1) for _ in pii.VOTES) for y in (r.random() < 0.4 for _ in range(120))]
+    counts = {}
+    for v in spans:
+        counts[v] = counts.get(v, 0) + 1
+    model = pii.SpanModel()
+    known = pii._estimate({"phone": counts}, model, 10)
+    p = [min(0.95, max(0.05, 0.5 + 0.15 * sum(v))) for v in spans]
+    for _ in range(10):
+        says = {}
+        for j in range(len(pii.VOTES)):
+            for y in (0, 1):
+                mass = [0.5 + sum((q if y else 1 - q) for v, q in zip(spans, p, strict=True) if v[j] == x) for x in (-1, 0, 1)]
+                says.update({(j, y, x): m / sum(mass) for x, m in zip((-1, 0, 1), mass, strict=True)})
+        prior = (1 + sum(p)) / (2 + len(p))
+        likely = lambda v, y, says=says: np.prod([says[j, y, x] for j, x in enumerate(v)])
+        p = [prior * likely(v, 1) / (prior * likely(v, 1) + (1 - prior) * likely(v, 0)) for v in spans]
+    assert abs(model.prior["phone"] - prior) < 1e-9
+    assert all(abs(known["phone", v] - q) < 1e-9 for v, q in zip(spans, p, strict=True))
+
+
+def test_scores_are_sums_of_table_entries():
+    r = np.random.default_rng(1)
+    x = np.round(r.normal(size=(300, 4)), 1)  # with ties
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = quality.fit_additive_model(x, y, cycles=10, pair_cycles=20, pairs=2, bins=8)
+    for row, score in zip(x, model.score(x), strict=True):
+        at = [sum(float(v) >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        z = model.base + sum(t[b] for t, b in zip(model.tables, at, strict=True)) + sum(t[at[i], at[j]] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-12
+    for j, edges in enumerate(model.edges):
+        assert list(edges) == sorted(set(np.quantile(x[:, j], np.arange(1, 8) / 8)))
+    assert (0, 1) in model.pairs and np.mean((model.score(x) > 0.5) == (y > 0.5)) > 0.9
+
+
+def test_quality_of_repeated_keys_long_texts_and_ties(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, None), (2, "x" * 100_000), (3, " ".join(["word"] * 30_000)), (4, "a b")]
+    df = docs_of(spark, rows)
+    model = quality.train_quality_model(df, spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 1), (4, 0)], "doc_id bigint, quality int"))
+    out = quality.score_quality(df, model).collect()
+    assert len(out) == len(rows) and len({x.score for x in out if x.text == "a b"}) == 1
+
+
+def test_shared_folder_and_written_tables(spark):
+    from sievehouse.llm import common
+
+    df = common.written(spark.range(3), "drop-me")
+    assert df.count() == 3 and common.drop_written(spark) >= 1 and common.drop_written(spark) == 0

@@ -35,3 +35,22 @@ def test_stages_take_effect(spark, tmp_path):
     assert {x.doc_id: x.ids_sha256 for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {k: v.ids_sha256 for k, v in last.items()}
     clash = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumn("score", F.lit("clash"))
     assert "score" in corpus_pipeline.STAGES[0][1](spark, clash, str(tmp_path)).columns
+
+
+def test_stages_take_awkward_rows(spark, tmp_path):
+    """Empty tables, null and repeated ids, ties, very long texts, clashing columns."""
+    rows = [(None, prose(1, 90)), (7, prose(2, 90)), (7, prose(2, 90)), (8, prose(3, 20_000, 5000)), (9, None), (10, ""), (11, "x" * 60_000), (None, prose(1, 90))]
+    spark.createDataFrame([(1, None), (2, ""), (3, prose(77, 20, 5000))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = docs_of(spark, rows, extra=True)
+    sizes = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, str(tmp_path)), "awkward")
+        assert out.columns == docs.columns and out.where("score != 'clash' or found != 'clash'").count() == 0
+        docs = out
+        sizes.append(docs.count())
+    assert sizes[0] == 6 and sizes[1] == sizes[2] == sizes[3] == 4
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted((x.doc_id for x in last), key=str) == [11, 7, 8, None] and all(x.n_tokens == len(x.token_ids) > 0 for x in last)
+    none = docs_of(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
