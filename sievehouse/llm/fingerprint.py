@@ -86,14 +86,19 @@ def likeness(a: Column, b: Column, bits: int = BITS) -> Column:
 
 
 def _range_of(key: Column, cuts: list[int]) -> Column:
-    """The number of cuts (ascending) at or below key, less one, by blocks of cuts."""
+    """(bucket, cut): the number of cuts (ascending) at or below key, less one,
+    and the last of them. Cuts are asked by blocks, so a row meets about twice the root of their number."""
     width = max(1, int(len(cuts) ** 0.5))
     blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
     longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
     below = lambda values: F.size(F.filter(values, lambda c: c <= key)) - 1
-    nested = F.transform(F.split(F.lit(";".join(",".join(map(str, b)) for b in blocks)), ";"), lambda b: F.split(b, ",").cast("array<bigint>"))
-    block = below(longs([b[0] for b in blocks]))
-    return block * width + below(F.get(nested, block))
+    nested = F.split(F.lit(";".join(",".join(map(str, b)) for b in blocks)), ";")
+
+    def within(block: Column) -> Column:
+        inner = F.split(F.get(nested, block), ",").cast("array<bigint>")
+        return let(inner, lambda x: let(below(x), lambda i: F.struct((block * width + i).alias("bucket"), F.get(x, i).alias("cut"))))
+
+    return let(below(longs([b[0] for b in blocks])), within)
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_each: int = 1500) -> DataFrame:
@@ -113,12 +118,10 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_eac
     at = [i / parts for i in range(parts)]
     found = rows.agg(F.min("k").alias("low"), F.percentile_approx("k", at, 4 * parts + 100).alias("cuts")).first()
     cuts = sorted({found.low, *found.cuts}) if count else [0]
-    bucket = _range_of(F.col("k"), cuts)
-    begins = F.array_contains(F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>"), F.col("k"))
+    rows = rows.withColumn("r", _range_of(F.col("k"), cuts)).select("*", F.col("r.bucket").alias("b"), (F.col("k") == F.col("r.cut")).alias("begins"))
     here = lambda b, copy, place: F.struct(b.cast("int").alias("bucket"), F.lit(copy).alias("copy"), place.alias("place"))
-    rows = rows.withColumn("b", bucket)
     before = F.pmod(F.col("b") - 1, F.lit(len(cuts)))
-    spots = F.when(begins, F.array(here(F.col("b"), False, F.lit(0)), here(before, True, (F.col("b") == 0).cast("int")))).otherwise(F.array(here(F.col("b"), False, F.lit(0))))
+    spots = F.when(F.col("begins"), F.array(here(F.col("b"), False, F.lit(0)), here(before, True, (F.col("b") == 0).cast("int")))).otherwise(F.array(here(F.col("b"), False, F.lit(0))))
     dealt = rows.select("k", key, "text", F.explode(spots).alias("spot")).select("k", key, "text", "spot.*")
     return dealt.withColumn("next_text", F.lead("text").over(successor()))
 
