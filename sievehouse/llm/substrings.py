@@ -134,12 +134,14 @@ def _estimated_repeated(bitmaps: list[np.ndarray], values: np.ndarray) -> np.nda
 
 
 def _candidates(docs: DataFrame, window: int, bitmaps, text: str) -> DataFrame:
-    """(h1, h2, doc, crc, at, n) for windows that may be repeated: two hashes
-    of the words, two of the text, the first word's place. Of the equal windows
-    of one batch one is sent with n = 2, and the others' places, which need no
-    more counting, as rows with h1 null."""
+    """(h1, h2crc, doc, place) for windows that may be repeated, packed because
+    they are most of what is shuffled: 96 bits of two hashes of the words, 96
+    bits of two of the text, and in place the first word's place, times two,
+    plus one if the window is known to occur twice. Of the equal windows of one
+    batch one is sent so, and the others' places, which need no more counting,
+    as rows with h1 null."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmaps)
-    names = ["h1", "h2", "doc", "crc", "at", "n"]
+    names = ["h1", "h2crc", "doc", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = sent.value
@@ -148,21 +150,18 @@ def _candidates(docs: DataFrame, window: int, bitmaps, text: str) -> DataFrame:
             if not parts:
                 return
             doc = np.concatenate([np.full(len(at), d[0], np.uint64) for d, at, _, _ in parts])
-            crc = np.concatenate([np.full(len(at), d[1], np.uint32) for d, at, _, _ in parts])
+            crc = np.concatenate([np.full(len(at), d[1], np.uint64) for d, at, _, _ in parts])
             at, h1, h2 = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
             many = np.concatenate([np.full(len(p[1]), copies[p[0]] > 1) for p in parts])
             order = np.lexsort((h2, h1))
             doc, crc, at, h1, h2, many = (x[order] for x in (doc, crc, at, h1, h2, many))
             fresh = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            begin = np.flatnonzero(fresh)
+            begin, again = np.flatnonzero(fresh), np.flatnonzero(~fresh)
             twice = (np.diff(np.append(begin, len(h1))) > 1) | np.logical_or.reduceat(many, begin)
-            again = np.flatnonzero(~fresh)
-            rows = [np.concatenate([x[begin], x[again]]) for x in (h1, h2, doc, crc, at)]
-            n = np.concatenate([np.where(twice, 2, 1), np.full(len(again), 2)]).astype(np.int8)
             nulls = np.concatenate([np.zeros(len(begin), bool), np.ones(len(again), bool)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0].view(np.int64), mask=nulls), pa.array(rows[1].view(np.int64), mask=nulls), pa.array(rows[2].view(np.int64)), pa.array(rows[3].view(np.int32)), pa.array(rows[4]), pa.array(n)], names
-            )
+            h1, h2crc, doc, place = (np.concatenate([x[begin], x[again]]) for x in (h1, h2 << np.uint64(32) | crc, doc, 2 * at))
+            place[: len(begin)] += twice
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64), mask=nulls), *(pa.array(x.view(np.int64)) for x in (h2crc, doc, place))], names)
 
         parts, copies, size = [], {}, 0
         for batch in batches:
@@ -179,15 +178,15 @@ def _candidates(docs: DataFrame, window: int, bitmaps, text: str) -> DataFrame:
                 copies[doc] = 1
                 at = np.flatnonzero(_estimated_repeated(bitmaps, anchors(hashes, window)[0]))
                 if len(at):
-                    h1, h2 = _ROLL(hashes, window)[at], _ROLL2(_mixed(hashes), window)[at]
-                    parts.append((doc, at.astype(np.int32), h1, h2))
+                    h1, h2 = _ROLL(hashes, window)[at], _ROLL2(_mixed(hashes), window)[at] >> np.uint64(32)
+                    parts.append((doc, at, h1, h2))
                     size += len(at)
-                if size > 1_500_000 or len(copies) > 200_000:
+                if size > 1_000_000 or len(copies) > 200_000:
                     yield from out(parts, copies)
                     parts, copies, size = [], {}, 0
         yield from out(parts, copies)
 
-    return docs.select(text).mapInArrow(run, "h1 bigint, h2 bigint, doc bigint, crc int, at int, n tinyint")
+    return docs.select(text).mapInArrow(run, "h1 bigint, h2crc bigint, doc bigint, place bigint")
 
 
 def _repeated(candidates: DataFrame) -> DataFrame:
@@ -199,29 +198,29 @@ def _repeated(candidates: DataFrame) -> DataFrame:
         for batch in batches:
             known = np.asarray(batch.column(0).is_null())
             rows = [np.asarray(c.fill_null(0)) for c in batch.columns]
-            done = [x[known] for x in rows[2:5]]
-            h1, h2, doc, crc, at, n = (x[~known] for x in rows)
+            done = [x[known] for x in rows[1:]]
+            h1, h2crc, doc, place = (x[~known] for x in rows)
             if waiting is not None:
-                h1, h2, doc, crc, at, n = (np.concatenate([[w], x]).astype(x.dtype) for w, x in zip(waiting, (h1, h2, doc, crc, at, n), strict=True))
+                h1, h2crc, doc, place = (np.concatenate([[w], x]) for w, x in zip(waiting, (h1, h2crc, doc, place), strict=True))
                 waiting = None
             if len(h1):
+                h2 = h2crc >> 32
                 begin = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
                 sizes = np.diff(np.append(begin, len(h1)))
-                many = np.add.reduceat(n.astype(np.int64), begin) > 1
+                many = np.add.reduceat(1 + (place & 1), begin) > 1
                 if key == (h1[0], h2[0]):
                     many[0] = True
-                last = slice(int(begin[-1]), None)
                 key = (h1[-1], h2[-1])
                 if not many[-1]:
-                    waiting = tuple(x[last][0] for x in (h1, h2, doc, crc, at, n))
+                    waiting = tuple(x[begin[-1]] for x in (h1, h2crc, doc, place))
                     key = None
                 keep = np.repeat(many, sizes)
-                done = [np.concatenate([x, y[keep]]) for x, y in zip(done, (doc, crc, at), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(done, (np.int64, np.int32, np.int32), strict=True)], ["doc", "crc", "at"])
+                done = [np.concatenate([x, y[keep]]) for x, y in zip(done, (h2crc, doc, place), strict=True)]
+            crc, at = done[0].astype(np.uint32).view(np.int32), (done[2] >> 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(done[1]), pa.array(crc), pa.array(at)], ["doc", "crc", "at"])
 
-    spread = F.coalesce("h1", F.xxhash64("doc", "crc", "at"))
-    rows = candidates.withColumn("spread", spread).repartition("spread").sortWithinPartitions("h1", "h2").drop("spread")
-    return rows.mapInArrow(run, "doc bigint, crc int, at int")
+    spread = F.coalesce("h1", F.xxhash64("doc", "place"))
+    return candidates.repartition(spread).sortWithinPartitions("h1", "h2crc").mapInArrow(run, "doc bigint, crc int, at int")
 
 
 def repeated_windows(docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
@@ -241,7 +240,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_k
     the input. Words are unchanged runs of anything but space and U+0009 to
     U+000D. A null text has no words; repeated rows are copies of each other;
     other columns stay, those with the new names are replaced. Texts are
-    identified by 96 bits of two hashes, words by 64 bits, windows by 128.
+    and windows are identified by 96 bits of two hashes, words by 64 bits.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept")
     places = repeated_windows(docs, window, text)
