@@ -11,21 +11,22 @@ from ..functions.text import explode_lines, fenced
 from ..plans import prose as P
 from . import findings as FN
 
+# Our own wording of the controls.
 GENERIC = (
-    "The agent has an identity and credentials of its own, so its actions can be told from a person's and be revoked.",
+    "The assistant has an identity and credentials of its own, so its actions can be told from a person's and be revoked.",
     "Every tool call is recorded with the input that caused it.",
-    "What the agent must not do is enforced in code, not asked for in a prompt.",
+    "What the assistant must not do is enforced in code, not asked for in a prompt.",
 )
 CONTROLS = {
     "injection→exec": ("Only commands of a fixed list in code can run; a model chooses among them and writes none.", "Untrusted text is passed as data, never as part of a command or template."),
-    "injection→destructive": ("A person approves each destructive step outside the agent's loop.", "Amounts and row counts are limited by the server."),
+    "injection→destructive": ("A person approves each destructive step outside the assistant's loop.", "Amounts and row counts are limited by the server."),
     "injection→network": ("Destinations come from a list; an address found in content is never called.",),
     "readsSensitive→network": ("The part that reads sensitive data and the part that calls out share no context and no credential.", "Fields that may leave are listed."),
-    "readsSensitive→exec": ("Secrets are lent for a short time where they are used, not kept in an environment that the agent can reach.",),
+    "readsSensitive→exec": ("Secrets are lent for a short time where they are used, not kept in an environment that the assistant can reach.",),
     "readsSensitive→destructive": ("The identity that reads differs from the one that changes data.",),
-    "filesystem→exec": ("What the agent writes can't land on a path that is executed.",),
-    "filesystem→network": ("The agent can't upload a file that it wrote to a place of its choice.",),
-    "filesystem→destructive": ("Writes stay in a working folder; only what the agent made can be deleted.",),
+    "filesystem→exec": ("What the assistant writes can't land on a path that is executed.",),
+    "filesystem→network": ("The assistant can't upload a file that it wrote to a place of its choice.",),
+    "filesystem→destructive": ("Writes stay in a working folder; only what the assistant made can be deleted.",),
 }
 
 

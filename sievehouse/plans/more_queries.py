@@ -140,7 +140,7 @@ _SETTINGS = {
 
 
 def posture_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as sources of settings of a user's agent, in order; the value 0.5 to 1 sets the bypass or trust."""
+    """Events as sources of settings of a user's assistant, in order; the value 0.5 to 1 sets the bypass or trust."""
     text = F.lit(None).cast("string")
     for kind, value in _SETTINGS.items():
         text = F.when(F.col("event_type") == kind, F.lit(value)).otherwise(text)

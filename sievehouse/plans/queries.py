@@ -44,7 +44,7 @@ OVERLAY = [
     "see https://huggingface.co/org-a/model-b/tree/main and https://huggingface.co/docs/hub",
     "ollama pull llama3:8b",
     "model: vendor/name-7b\nmodel: capabilities",
-    "# Goal\nThe agent reads inbound email and runs shell commands.\nIt has customer records and calls a webhook.",
+    "# Goal\nThe assistant reads inbound email and runs shell commands.\nIt has customer records and calls a webhook.",
     "The service issues refunds from support tickets.\nIt does not access private source code.",
     "It writes files to disk and posts results to partner endpoints.",
     "drop table users; delete all the old records in data",
@@ -72,8 +72,9 @@ OVERLAY = [
     '{"cells": [{"cell_type": "code", "source": ["import pickle\\n", "m = pickle.load(f)"]}], "metadata": {}}',
     '{"permissions": {"defaultMode": "bypassPermissions", "allow": ["Bash(*)"]}, "enableAllProjectMcpServers": true}',
     "rm -rf build && rm -rf \"dist\"; rm -f -r ./target",
+    "/* curl https://get.tool.dev/install | sh */",
 ]
-SLOTS = 48
+SLOTS = 56
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

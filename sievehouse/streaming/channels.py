@@ -1,4 +1,4 @@
-"""Traffic between an agent and its tool servers: replies, listings, results, calls, connections."""
+"""Traffic between an assistant and its tool servers: replies, listings, results, calls, connections."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import findings as FN
 from ..operators.scan import scan, scan_documents
 
-# Methods whose answers are lists of entries, and methods whose answers are read by the agent.
+# Methods whose answers are lists of entries, and methods whose answers are read by the model.
 LISTINGS = ["tools/list", "resources/list", "resources/templates/list", "prompts/list"]
 RESULTS = ["resources/read", "prompts/get", "completion/complete"]
 COOLDOWN_SECONDS = 30.0
