@@ -130,35 +130,6 @@ s AS (SELECT * FROM h UNION ALL SELECT * FROM b WHERE dir NOT IN (SELECT dir FRO
 o AS (SELECT path, arg_min(dir, row(ord, dir)) AS dir FROM (SELECT DISTINCT path FROM p) f JOIN s ON starts_with(path, dir || '/') GROUP BY path)
 SELECT dir, path, CAST(row_number() OVER (PARTITION BY dir ORDER BY path) AS INTEGER) AS nth FROM o QUALIFY nth <= 20"""
 
-_SETTINGS = {
-    "view": '{"permissions": {"defaultMode": "acceptEdits", "allow": ["Read", "Bash(ls)"], "ask": ["Web"]}}',
-    "click": '{"allowedTools": ["Read", "Edit"], "enableAllProjectMcpServers": false}',
-    "signup": '{"permissions": {"defaultMode": "default", "deny": ["Bash(rm)"]}}',
-    "error": '{"permissions": ',
-    "purchase": None,
-}
-
-
-def posture_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as sources of settings of a user's assistant, in order; the value 0.5 to 1 sets the bypass or trust."""
-    text = F.lit(None).cast("string")
-    for kind, value in _SETTINGS.items():
-        text = F.when(F.col("event_type") == kind, F.lit(value)).otherwise(text)
-    text = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 23 == 0), '{"defaultMode": "bypassPermissions"}').when((F.col("event_type") == "click") & (F.col("event_id") % 29 == 0), '{"enableAllProjectMcpServers": true}').otherwise(text)
-    return inventory.merge_postures(_table(spark, sf_dir, "events").select(F.col("user_id").alias("vendor"), F.col("event_id").alias("ord"), text.alias("text")))
-
-
-_POSTURE_SQL = """WITH e AS (SELECT user_id AS vendor, event_id AS ord, event_type AS k, event_type = 'signup' AND event_id % 23 = 0 AS bypass, event_type = 'click' AND event_id % 29 = 0 AS trust FROM events),
-m AS (SELECT *, CASE WHEN bypass THEN 'bypassPermissions' WHEN k = 'view' THEN 'acceptEdits' WHEN k = 'signup' THEN 'default' END AS mode FROM e),
-r(k, list, place, rule) AS (VALUES ('view', 'allow', 0, 'Read'), ('view', 'allow', 1, 'Bash(ls)'), ('view', 'ask', 0, 'Web'), ('click', 'allow', 0, 'Read'), ('click', 'allow', 1, 'Edit'), ('signup', 'deny', 0, 'Bash(rm)')),
-f AS (SELECT vendor, list, rule, min(row(ord, place)) AS spot FROM m JOIN r USING (k) WHERE NOT bypass AND NOT trust GROUP BY ALL),
-l AS (SELECT vendor, string_agg(rule, ',' ORDER BY spot) FILTER (list = 'allow') AS allow, string_agg(rule, ',' ORDER BY spot) FILTER (list = 'deny') AS deny, string_agg(rule, ',' ORDER BY spot) FILTER (list = 'ask') AS ask FROM f GROUP BY vendor),
-g AS (SELECT vendor, count(*) AS sources, count(*) FILTER (k = 'error') AS n_unreadable, count(*) FILTER (k IN ('view', 'click', 'signup')) AS n_read,
-  CASE WHEN bool_or(bypass) THEN 'bypassPermissions' ELSE arg_min(mode, ord) FILTER (mode IS NOT NULL) END AS mode,
-  CASE WHEN bool_or(trust) THEN true WHEN bool_or(k = 'click') THEN false END AS trust_all FROM m GROUP BY vendor)
-SELECT vendor, sources, n_unreadable, mode, coalesce(allow, '') AS allow, coalesce(deny, '') AS deny, coalesce(ask, '') AS ask, trust_all,
-  CASE WHEN n_read > 0 AND n_unreadable = 0 THEN 'complete' ELSE 'floor' END AS claim FROM g LEFT JOIN l USING (vendor)"""
-
 
 # ---- acquisition
 
@@ -228,7 +199,7 @@ _REPORT_ALL_SQL = _report_sql().replace(" AS path, ", " AS path, doc_id % 3 < 2
 
 QUERIES = {
     "reply_pairs": reply_pairs, "listing_screen": listing_screen, "result_screen": result_screen, "call_screen": call_screen, "connections": connections,
-    "dependency_rollup": dependency_rollup, "local_models": local_models, "artifact_catalogues": artifact_catalogues, "skill_files": skill_files, "posture_merge": posture_merge,
+    "dependency_rollup": dependency_rollup, "local_models": local_models, "artifact_catalogues": artifact_catalogues, "skill_files": skill_files,
     "package_verdicts": package_verdicts, "model_status": model_status, "corpus_screen": corpus_screen, "corpus_totals": corpus_totals, "secret_report": secret_report, "secret_report_all": secret_report_all,
 }
 
@@ -238,7 +209,6 @@ SQL = {
     "local_models": _LOCAL_SQL,
     "artifact_catalogues": _CATALOGUE_SQL,
     "skill_files": _SKILLS_SQL,
-    "posture_merge": _POSTURE_SQL,
     "package_verdicts": _VERDICTS_SQL,
     "secret_report": _report_sql(),
     "secret_report_all": _REPORT_ALL_SQL,
