@@ -8,18 +8,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STALE_SECONDS, MOST_GAPS = 6 * 3600, 50
-
-
-def gap_windows(events: DataFrame, machine: str, ts: str, order: str, unscreened: Column, local: Column, closes: Column) -> DataFrame:
+SPAN_SECONDS = 3600
+
+
+def _islands(rows: DataFrame, machine: str, ts: str, order: str, span: int) -> DataFrame:
+    """rows with island: how many closes (c) of their machine come before them.
+    A machine's rows are cut into spans of time, so no window holds all of one
+    machine: closes before a span come from a table with a row a span, and only
+    those within it are counted in order. Rows without a time come first."""
+    since = F.col(ts) - F.lit("1970-01-01").cast("timestamp_ntz")
+    wall = F.extract(F.lit("DAY"), since) * 86_400 + F.extract(F.lit("HOUR"), since) * 3_600 + F.extract(F.lit("MINUTE"), since) * 60
+    # A time without a zone must not go through the session's, where clocks are set back.
+    seconds = wall if isinstance(rows.schema[ts].dataType, T.TimestampNTZType) else F.unix_micros(ts) / 1_000_000
+    block = F.coalesce(F.floor(seconds / span), F.lit(-(2**62)))
+    rows = rows.withColumn("__block", block).withColumn("__machine", F.struct(F.col(machine)))
+    spans = rows.groupBy("__machine", "__block").agg(F.sum("c").alias("__n"))
+    earlier = F.sum("__n").over(W.partitionBy("__machine").orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.select("__machine", "__block", F.coalesce(earlier, F.lit(0)).alias("__before"))
+    inside = W.partitionBy("__machine", "__block").orderBy(ts, order).rowsBetween(W.unboundedPreceding, -1)
+    out = rows.join(spans, ["__machine", "__block"]).withColumn("island", F.col("__before") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    return out.drop("__machine", "__block", "__before")
+
+
+def gap_windows(events: DataFrame, machine: str, ts: str, order: str, unscreened: Column, local: Column, closes: Column, span: int = SPAN_SECONDS) -> DataFrame:
     """(machine, island, opened_at, closed_at, unscreened_calls,
     locally_decided_calls, state). The first call after a close opens a window,
     the next close ends it; windows without a call are dropped, one not yet
-    closed is open, and one older than six hours has no known end."""
-    w = W.partitionBy(machine).orderBy(ts, order)
-    rows = events.select(machine, ts, order, unscreened.cast("int").alias("u"), local.cast("int").alias("l"), closes.cast("int").alias("c"))
-    rows = rows.withColumn("island", F.coalesce(F.sum("c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    closed is open, and one older than six hours has no known end. Conditions
+    that are null don't hold; rows without a machine are those of one. span, in
+    seconds, changes no result: it bounds what is sorted together."""
+    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    rows = events.select(machine, ts, order, flag(unscreened).alias("u"), flag(local).alias("l"), flag(closes).alias("c"))
+    rows = _islands(rows, machine, ts, order, span)
     call = (F.col("u") == 1) | (F.col("l") == 1)
     rolled = rows.groupBy(machine, "island").agg(
         F.min(F.when(call, F.col(ts))).alias("opened_at"), F.max(F.when(F.col("c") == 1, F.col(ts))).alias("end"), F.sum("u").alias("unscreened_calls"), F.sum("l").alias("locally_decided_calls")
@@ -32,11 +55,21 @@ def gap_windows(events: DataFrame, machine: str, ts: str, order: str, unscreened
 
 
 def compact(gaps: DataFrame, machine: str, most: int = MOST_GAPS) -> DataFrame:
-    """At most `most` gaps a machine: the oldest beyond that are merged into one, whose end is known only if all theirs are."""
-    w = W.partitionBy(machine)
-    ranked = gaps.withColumn("rank", F.row_number().over(w.orderBy("opened_at", "island"))).withColumn("n", F.count("*").over(w))
-    bucket = F.when((F.col("n") > most) & (F.col("rank") <= F.col("n") - most + 1), 0).otherwise(F.col("rank"))
-    return ranked.groupBy(machine, bucket.alias("bucket")).agg(
+    """At most `most` gaps a machine: the oldest beyond that are merged into
+    one, whose end is known only if all theirs are. Gaps are ordered by opening
+    time, then island; bucket counts them from the newest, which is 1. Only the
+    newest are ranked, which Spark limits before it moves rows; the merged ones
+    are summed before they are moved."""
+    newest = F.row_number().over(W.partitionBy(machine).orderBy(F.desc("opened_at"), F.desc("island")))
+    at = F.struct("opened_at", "island")
+    cut = gaps.withColumn("__nth", newest).where(F.col("__nth") <= most)
+    cut = cut.select(F.struct(F.col(machine)).alias("__machine"), F.col("__nth"), at.alias("__at"))
+    # The first of what is merged: the gap before which most - 1 newer ones stand alone.
+    oldest = cut.where(F.col("__nth") == most).select("__machine", F.col("__at").alias("__last"))
+    marked = gaps.withColumn("__machine", F.struct(F.col(machine))).withColumn("__at", at).join(oldest, "__machine", "left")
+    own = marked.where(F.col("__last").isNull() | (F.col("__at") > F.col("__last"))).join(cut.select("__machine", "__at", "__nth"), ["__machine", "__at"])
+    merged = marked.where(F.col("__at") <= F.col("__last")).withColumn("__nth", F.lit(most))
+    return own.select(*gaps.columns, "__nth").unionByName(merged.select(*gaps.columns, "__nth")).groupBy(machine, F.col("__nth").alias("bucket")).agg(
         F.min("opened_at").alias("opened_at"), F.when(F.count("closed_at") == F.count("*"), F.max("closed_at")).alias("closed_at"),
         F.sum("unscreened_calls").alias("unscreened_calls"), F.sum("locally_decided_calls").alias("locally_decided_calls"), F.count("*").alias("windows"),
     )

@@ -1,6 +1,7 @@
 """Signals, grading and gates on pairs of hostile and harmless texts. Payloads are put together from parts."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,30 @@ def test_stream_of_gaps_equals_batch(spark, tmp_path):
     key = lambda r: (r[0], r[1])
     assert sorted(got, key=key) == sorted(want, key=key) and len(got) == 3
     assert ledger.compact(batch, "machine", 2).where("machine = 1").count() == 2
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_gaps_of_cut_machines_equal_brute_force(spark, kind):
+    random.seed(3)
+    at = lambda m: dt.datetime(1969, 12, 31, 20) + dt.timedelta(minutes=m)
+    events = [(random.choice([1, 1, 1, 2, None]), at(random.randrange(1000)) if random.random() < 0.97 else None, i, random.choice(["unscreened", "local", "close", "other", None])) for i in range(600)]
+    df = spark.createDataFrame(events, "machine bigint, ts timestamp, seq bigint, kind string").withColumn("ts", F.col("ts").cast(kind))
+    of = lambda k: F.col("kind") == k
+    want = []
+    for machine in (1, 2, None):
+        opened, counts, island = None, [0, 0], 0
+        for _, ts, _, k in sorted((e for e in events if e[0] == machine), key=lambda e: (e[1] is not None, e[1] or 0, e[2])):
+            if k in ("unscreened", "local"):
+                opened, counts = opened or ts, [counts[0] + (k == "unscreened"), counts[1] + (k == "local")]
+            elif k == "close":
+                want += [(machine, island, opened, *counts)] if any(counts) else []
+                opened, counts, island = None, [0, 0], island + 1
+        want += [(machine, island, opened, *counts)] if any(counts) else []
+    for span in (60, 3600, 10**7):
+        gaps = ledger.gap_windows(df, "machine", "ts", "seq", of("unscreened"), of("local"), of("close"), span)
+        got = [tuple(r) for r in gaps.select("machine", "island", "opened_at", "unscreened_calls", "locally_decided_calls").collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    few = ledger.compact(gaps, "machine", 4)
+    sizes = {m: sum(w[0] == m for w in want) for m in (1, 2, None)}
+    assert sorted(((r["machine"], r["bucket"], r["windows"]) for r in few.collect()), key=repr) == sorted(((m, b, 1 if b < 4 else n - 3) for m, n in sizes.items() for b in range(1, min(n, 4) + 1)), key=repr)
+    assert ledger.gap_windows(df.limit(0), "machine", "ts", "seq", of("unscreened"), of("local"), of("close")).count() == 0
