@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Folders that are never looked into, and names that route a file.
@@ -10,7 +11,9 @@ IGNORED = ["node_modules", ".git", "dist", "build", "out", "coverage", "target",
 SERVERS = [".mcp.json", "mcp.json", "mcp_config.json", "claude_desktop_config.json"]
 MANIFESTS = ["package.json", "requirements.txt", "pyproject.toml"]
 RULES = ["claude.md", "agents.md", "agent.md", "gemini.md", "llms.txt", ".cursorrules", ".windsurfrules", ".clinerules", "copilot-instructions.md"]
-VECTORS = ["index.faiss", "index.pkl", "chroma.sqlite3"]
+VECTORS = ["index.faiss", "index.pkl", "chroma.sqlite3", "docstore.json", "default__vector_store.json", "chroma-embeddings.parquet", "chroma-collections.parquet"]
+VECTOR_ENDS = "\\.(faiss|lance|usearch)\\z"
+MOST_NAMES = 20
 
 
 def name_of(path: Column) -> Column:
@@ -22,7 +25,7 @@ def role_of(path: Column) -> Column:
     name = name_of(path)
     return (
         F.when(name.isin(*SERVERS), "mcp").when(name.isin(*RULES), "rules").when(name.isin(*MANIFESTS), "manifest")
-        .when(name.rlike("^\\.env(\\..+)?\\z"), "env").when(name.isin(*VECTORS) | name.rlike("\\.(faiss|annoy|hnsw|lance)\\z"), "vector")
+        .when(name.rlike("^\\.env(\\..+)?\\z"), "env").when(name.isin(*VECTORS) | name.rlike(VECTOR_ENDS), "vector")
         .when(name.rlike("\\.(py|ipynb|[mc]?[jt]sx?|java|kt|go|rb|php|cs|rs|scala)\\z"), "source")
     )
 
@@ -68,9 +71,18 @@ def environment_entries(text: Column) -> Column:
 
 
 def vector_stores(files: DataFrame, path: str = "path") -> DataFrame:
-    """(folder, engine, files): a pickled index counts only beside its data."""
-    rows = files.select(F.col(path).alias("path"), F.regexp_replace(path, "/[^/]*\\z", "").alias("folder"), name_of(F.col(path)).alias("name"))
-    rolled = rows.groupBy("folder").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    has = lambda n: F.array_contains("names", n)
-    engine = F.when(has("index.faiss"), "faiss").when(has("chroma.sqlite3"), "chroma")
-    return rolled.select("folder", engine.alias("engine"), F.filter("names", lambda n: n.isin(*VECTORS)).alias("files")).where("engine is not null")
+    """(folder, engine, pickle_backed, files) of the folders that hold an index,
+    with its first files by name: a pickled index counts only beside its data.
+    Names are ranked before they are gathered. Null paths lie in no folder."""
+    rows = files.select(F.regexp_replace(path, "/[^/]*\\z", "").alias("folder"), name_of(F.col(path)).alias("name"))
+    rows = rows.where((F.col("name").isin(*VECTORS) | F.col("name").rlike(VECTOR_ENDS)) & F.col("folder").isNotNull()).distinct()
+    name = F.col("name")
+    has = lambda c: F.bool_or(c)
+    engine = (
+        F.when(has((name == "chroma.sqlite3") | name.startswith("chroma-")), "chroma").when(has(name == "index.faiss"), "faiss").when(has(name.endswith(".lance")), "lancedb")
+        .when(has(name.endswith(".usearch")), "usearch").when(has(name.isin("docstore.json", "default__vector_store.json")), "llamaindex")
+    )
+    engines = rows.groupBy("folder").agg(engine.alias("engine"), has(name == "index.pkl").alias("__pickle")).where("engine is not null")
+    firsts = rows.withColumn("nth", F.row_number().over(W.partitionBy("folder").orderBy("name"))).where(F.col("nth") <= MOST_NAMES)
+    listed = firsts.groupBy("folder").agg(F.array_sort(F.collect_list("name")).alias("files"))
+    return engines.join(listed, "folder").select("folder", "engine", ((F.col("engine") == "faiss") & F.col("__pickle")).alias("pickle_backed"), "files")

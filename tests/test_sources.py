@@ -23,3 +23,7 @@ def test_settings_and_vectors(spark):
     assert [[(x.name, x.value) for x in r.e] for r in env] == [[("A_KEY", "v"), ("C", "x y")], []]
     paths = spark.createDataFrame([("/d/index.faiss",), ("/d/index.pkl",), ("/e/index.pkl",), ("/f/chroma.sqlite3",)], "path string")
     assert {(r.folder, r.engine, tuple(r.files)) for r in files.vector_stores(paths).collect()} == {("/d", "faiss", ("index.faiss", "index.pkl")), ("/f", "chroma", ("chroma.sqlite3",))}
+    more = [("/g/Docstore.json",), ("/g/x.py",), ("/h/t.lance",), ("/h/chroma-embeddings.parquet",), ("/i/other.faiss",), (None,), *((f"/j/{i:03}.usearch",) for i in range(30)), ("/j/000.usearch",)]
+    found = {r.folder: r for r in files.vector_stores(paths.union(spark.createDataFrame(more, "path string"))).collect()}
+    assert {k: (r.engine, r.pickle_backed) for k, r in found.items()} == {"/d": ("faiss", True), "/f": ("chroma", False), "/g": ("llamaindex", False), "/h": ("chroma", False), "/j": ("usearch", False)}
+    assert found["/j"].files == [f"{i:03}.usearch" for i in range(20)]
