@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,14 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and
-    a lost executor costs no more than the tasks that ran on it. It stays until
-    drop_written is called."""
+def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """df as a Parquet table in the shared folder, in a folder for each value
+    of the columns `by`: its lineage ends there, and a lost executor costs no
+    more than the tasks that ran on it. It stays until drop_written is called."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,11 +53,32 @@ def drop_written(spark: SparkSession) -> int:
     number. Call it once the results that read them are saved."""
     paths, _WRITTEN[:] = list(_WRITTEN), []
     for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        drop_path(spark, path)
     return len(paths)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A key with more than one in so many of all rows is hot, if it has this many rows at least.
+HOT_SHARE, HOT_ROWS = 1000, 1000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """The inner join of rows to keyed, which has each key once and in count
+    how many of the total rows have it. Hot keys, HOT_SHARE of them at most
+    whatever the input, are broadcast, so their rows stay where they are; only
+    rows of the other keys are shuffled. count is left out."""
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot, cold = keyed.where(F.col(count) > limit).drop(count), keyed.where(F.col(count) <= limit).drop(count)
+    still = rows.join(F.broadcast(hot), on)
+    moved = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return still.unionByName(moved)
+
+
 def text_key(text: Column) -> Column:
     """What stands for a whole text (null: empty) in a join: 96 bits of two
     different hashes and its length, so that different texts don't meet at any size of corpus."""

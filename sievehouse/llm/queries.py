@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprint, langid, pii, quality, simhash, substrings, warc
+from . import bpe, chat, decontam, fingerprint, langid, lines, pii, quality, repair, simhash, substrings, warc
 from .common import table
 
 
@@ -150,6 +150,78 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS place
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id"""
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edits = repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
+    return repair.report_with_digest(edits).withColumnRenamed("conv", "conv_id")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+bits AS (SELECT n, list_reduce(list_prepend(n, range(0, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(0, 256) r(n)),
+crc_table AS (SELECT list(c ORDER BY n) AS c FROM bits),
+d AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(name[i]) AS BIGINT))),
+    lambda a, b: xor(a // 256, c[1 + xor(a % 256, b)])), 4294967295) % 20 AS kind FROM k, crc_table),
+r AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM d, range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) t(copy)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM r),
+f AS (
+  SELECT *, role[1] AS i, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY p) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 't' ELSE '' END AS fault FROM o),
+s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (p > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+path AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS p, 's0' AS st, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT conv_id, p, st, cost, audit, said FROM (
+    WITH step AS (
+      SELECT x.conv_id, f.p, a.st, x.cost + a.cost + CASE WHEN f.fault = 't' AND a.edit <> 'D' THEN 1 ELSE 0 END AS cost, x.audit || a.edit AS audit,
+        CASE a.edit WHEN 'D' THEN x.said WHEN 'K' THEN list_append(x.said, f.role || ':' || f.text) ELSE list_append(x.said, CASE a.st WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text) END AS said
+      FROM (
+        SELECT conv_id, p, st, cost, audit, said FROM path
+        UNION ALL SELECT conv_id, p, CASE st WHEN 'u' THEN 'a' ELSE 'u' END, cost + 2, audit || 'I', list_append(said, CASE st WHEN 'u' THEN 'assistant:' ELSE 'user:' END) FROM path
+        UNION ALL SELECT conv_id, p, CASE st WHEN 'u' THEN 'u' ELSE 'a' END, cost + 4, audit || 'II', said || CASE st WHEN 'u' THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END FROM path) x
+      JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.p = x.p + 1
+      JOIN (VALUES ('s0', 's', 'K', 's1', 0), ('s0', 'u', 'K', 'u', 0), ('s1', 'u', 'K', 'u', 0), ('a', 'u', 'K', 'u', 0), ('u', 'a', 'K', 'a', 0),
+        ('s0', '', 'R', 'u', 2), ('s1', '', 'R', 'u', 2), ('a', '', 'R', 'u', 2), ('u', '', 'R', 'a', 2),
+        ('s0', '', 'D', 's0', 3), ('s1', '', 'D', 's1', 3), ('u', '', 'D', 'u', 3), ('a', '', 'D', 'a', 3)) a(was, i, edit, st, cost)
+      ON a.was = x.st AND (a.edit <> 'K' OR a.i = f.i) AND (a.edit = 'D' OR f.fault NOT IN ('b', 'd')))
+    SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) = 1)),
+ends AS (
+  SELECT path.conv_id, cost + CASE st WHEN 'u' THEN 2 WHEN 's1' THEN 4 ELSE 0 END AS cost, audit || CASE st WHEN 'u' THEN 'I' WHEN 's1' THEN 'II' ELSE '' END AS audit,
+    said || CASE st WHEN 'u' THEN ['assistant:'] WHEN 's1' THEN ['user:', 'assistant:'] ELSE [] END AS said
+  FROM path JOIN s ON s.conv_id IS NOT DISTINCT FROM path.conv_id AND path.p = s.n),
+done AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_language_id": op2_language_id,
@@ -161,6 +233,8 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 SQL = {
@@ -168,4 +242,6 @@ SQL = {
     "op5_chat": OP5_SQL,
     "op8_substrings": OP8_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_line_dedup": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
