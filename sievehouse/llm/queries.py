@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprint, langid, lines, pii, quality, repair, simhash, substrings, warc
+from . import bpe, chat, decontam, fingerprint, langid, lines, pii, quality, repair, simhash, substrings, trie, warc
 from .common import table
 
 
@@ -167,6 +167,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM f GROUP BY doc_id"""
 
 
+#: CTEs for CRC-32, as DuckDB has no such function, and the CRC of a text of ASCII characters.
+CRC_TABLE = """bits AS (SELECT n, list_reduce(list_prepend(n, range(0, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(0, 256) r(n)),
+crc_table AS (SELECT list(c ORDER BY n) AS crcs FROM bits),
+"""
+
+
+def crc_sql(name: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({name}) + 1), lambda i: CAST(ascii({name}[i]) AS BIGINT))),
+    lambda a, b: xor(a // 256, crcs[1 + xor(a % 256, b)])), 4294967295)"""
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
     return repair.report_with_digest(edits).withColumnRenamed("conv", "conv_id")
@@ -175,11 +186,8 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = r"""
 WITH RECURSIVE k AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
-bits AS (SELECT n, list_reduce(list_prepend(n, range(0, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(0, 256) r(n)),
-crc_table AS (SELECT list(c ORDER BY n) AS c FROM bits),
-d AS (
-  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(name[i]) AS BIGINT))),
-    lambda a, b: xor(a // 256, c[1 + xor(a % 256, b)])), 4294967295) % 20 AS kind FROM k, crc_table),
+""" + CRC_TABLE + r"""d AS (
+  SELECT conv_id, turn, role, text, """ + crc_sql("name") + r""" % 20 AS kind FROM k, crc_table),
 r AS (
   SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
     CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
@@ -222,6 +230,32 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id"""
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = """
+WITH """ + CRC_TABLE + """t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, CAST(c AS VARCHAR) AS name, list(struct_pack(k := md5(role || chr(31) || text), n := octet_length(encode(text))) ORDER BY turn NULLS FIRST, role) AS turns FROM t GROUP BY c),
+o AS (SELECT *, """ + crc_sql("name") + """ % 9 AS h FROM own, crc_table),
+r AS (SELECT o.c, coalesce(b.turns[1:o.h], []) || o.turns[o.h + 1:] AS turns FROM o LEFT JOIN own b ON b.c = o.c - o.c % 5),
+p AS (
+  SELECT c, d, len(turns) AS n, CASE WHEN d > 0 THEN turns[d].n ELSE 0 END AS bytes, md5(array_to_string(list_transform(turns[1:d], lambda x: x.k), ',')) AS k,
+    CASE WHEN d > 0 THEN md5(array_to_string(list_transform(turns[1:d - 1], lambda x: x.k), ',')) END AS up
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+v AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, max(n) = d AS leaf, any_value(bytes) AS bytes, any_value(up) AS up,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY k, d),
+s AS (
+  SELECT p.k, p.d, count(*) FILTER (v.leaf) AS n_leaves, sum((v.n_convs - 1) * v.bytes) AS saved_tokens
+  FROM v JOIN p ON p.c = v.conv_id AND p.d <= v.d GROUP BY p.k, p.d),
+n AS (SELECT up, d - 1 AS d, count(*) AS n_children FROM v WHERE d > 0 GROUP BY up, d)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (k, d) LEFT JOIN n ON n.up = v.k AND n.d = v.d LEFT JOIN v u ON u.k = v.up AND u.d = v.d - 1"""
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_language_id": op2_language_id,
@@ -235,6 +269,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_line_dedup": op11_line_dedup,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL = {
@@ -244,4 +279,5 @@ SQL = {
     "op9_decontamination": OP9_SQL,
     "op11_line_dedup": OP11_SQL,
     "op12_conversation_repair": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
