@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.brackets import in_literal
 from ..functions.regexes import before_first, java, let, matches
 from ..functions.text import line_after
+from .modules import DYNAMIC, constant_paths, loads_nothing_hidden, path_names
 
 MOST_LINES = 40
 # Fixed values: (id, severity, category, confidence, pattern, folds case, counts only outside strings).
@@ -44,6 +46,7 @@ SCRIPT = [
     ("js.command_exec", "CRITICAL", "code-exec", 0.8, r"""\bchild_process\b|require\(\s*['"]child_process['"]\s*\)|\bfrom\s+['"]child_process['"]|\b(execSync|execFileSync|spawnSync|execFile)\s*\(""", False, False),
     ("js.mcp_client", "LOW", "agentic", 0.55, r"@modelcontextprotocol/sdk/client|\b(StdioClientTransport|SSEClientTransport|StreamableHTTPClientTransport|WebSocketClientTransport)\b", False, False),
     ("js.decode_and_run", "CRITICAL", "obfuscation", 0.85, r"(?<![.\w])(eval|Function)\s*\(\s*(atob|unescape|decodeURIComponent|Buffer\.from)\b", False, False),
+    ("js.dynamic_require", "HIGH", "obfuscation", 0.6, DYNAMIC, False, False),
     ("js.network_egress", "MEDIUM", "egress", 0.5, r"""\baxios\s*\.\s*(get|post|put|request)\s*\(|\bhttps?\.request\s*\(|\bnet\.(connect|createConnection)\s*\(|\bnew\s+WebSocket\s*\(|require\(\s*['"](node-fetch|got|undici|axios)['"]""", False, False),
     ("js.hardcoded_ai_key", "MEDIUM", "secret", 0.85, _KEYS, False, False),
 ]
@@ -81,6 +84,7 @@ FLOW_SINK = {
 ASSIGN = r"^\s*(?:export\s+)?(?:const|let|var|await\s+)?\s*([A-Za-z_$][\w$]*(?:\s*,\s*[A-Za-z_$][\w$]*)*)\s*(?::[^=\n]+?)?=(?![=>])\s*([\s\S]+)$"
 
 FLOW_RULE = {"py": "python.llm_output_to_sink", "js": "js.llm_output_to_sink"}
+# Fixed value: how a comment line begins.
 COMMENT = r"^(#|//|\*|/\*)"
 
 _TOKEN = re.compile(r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)|(["'`].*)|(\#.*|//.*)|([(\[{])|([)\]}])""")
@@ -108,17 +112,6 @@ def logical_units(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else [{"text": a, "start_line": b} for a, b in units_of(t)])
 
 
-@F.pandas_udf(T.BooleanType())
-def _in_string(prefixes: pd.Series) -> pd.Series:
-    """Whether the text after a prefix of a statement is inside a string literal."""
-
-    def inside(prefix: str | None) -> bool:
-        rest = re.sub(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|\#[^\n]*\n', "", prefix or "")
-        return bool(re.search("[\"']", re.sub(r"\#[^\n]*$", "", rest)))
-
-    return prefixes.map(inside)
-
-
 def language_of(file: Column) -> Column:
     low = F.lower(file)
     config = F.substring_index(low, "/", -1).isin("config.json", "tokenizer_config.json", "generation_config.json", "preprocessor_config.json")
@@ -145,35 +138,44 @@ def notebook_cells(file: Column, text: Column) -> Column:
 
 
 def source_files(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """(file, lang, units) of the files in a language with rules, and of
-    notebooks' code cells; units holds (text, start_line) of each statement."""
+    """(file, lang, units, paths, constants) of the files in a language with
+    rules, and of notebooks' code cells; units holds (text, start_line) of each
+    statement, paths and constants the names of the path module and of fixed
+    paths in scripts that load modules by computed names, else null."""
     name, lang, body = F.col(file), language_of(F.col(file)), F.col(text)
     whole = F.when(lang.isNotNull(), F.array(F.struct(name.alias("file"), lang.alias("lang"), F.coalesce(body, F.lit("")).alias("text"))))
     parts = F.when(F.lower(name).endswith(".ipynb"), notebook_cells(name, body)).otherwise(whole)
     rows = files.select(F.explode_outer(parts).alias("p")).where("p is not null").select("p.*")
-    return rows.select("file", "lang", logical_units("text").alias("units"))
+    loads = (F.col("lang") == "js") & matches(F.col("text"), DYNAMIC)
+    rows = rows.select("file", "lang", "text", logical_units("text").alias("units"), F.when(loads, path_names(F.col("text"))).alias("paths"))
+    return rows.select("file", "lang", "units", "paths", F.when(F.col("paths").isNotNull(), constant_paths(F.col("text"), F.col("paths"))).alias("constants"))
+
+
+def _statements(parsed: DataFrame) -> DataFrame:
+    return parsed.select("file", "lang", "paths", "constants", F.explode_outer("units").alias("u")).select("file", "lang", F.col("u.start_line").alias("start_line"), F.col("u.text").alias("unit"), "paths", "constants")
 
 
 def statements(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """(file, lang, start_line, unit), one row a statement of source_files."""
-    return source_files(files, file, text).select("file", "lang", F.explode_outer("units").alias("u")).select("file", "lang", F.col("u.start_line").alias("start_line"), F.col("u.text").alias("unit"))
+    """(file, lang, start_line, unit, paths, constants), one row a statement of source_files."""
+    return _statements(source_files(files, file, text))
 
 
 def rule_findings(units: DataFrame) -> DataFrame:
     """(file, rule, severity, category, confidence, line, start_line, ord): the
-    first match of each rule in each statement, outside comment lines; a rule
-    once a line. start_line and ord (place of the rule) give the order of findings."""
+    first match of each rule in each statement, outside comment lines and, where
+    a rule says so, string literals; a rule once a line. start_line and ord (place of the rule) give the order of findings."""
     unit, out = F.col("unit"), []
     for lang, rules in LANGUAGES.items():
         for i, (rule, severity, category, confidence, pattern, fold, code_only) in enumerate(rules):
             prefix = before_first(unit, pattern, fold)
             value = F.struct(F.lit(i).alias("ord"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit(code_only).alias("code_only"), prefix.alias("prefix"))
             out.append(F.when((F.col("lang") == lang) & matches(unit, pattern, fold), value))
-    hits = units.select("file", "start_line", "unit", F.explode_outer(F.array_compact(F.array(*out))).alias("h")).where("h is not null").select("file", "start_line", "unit", "h.*")
+    hits = units.select("file", "start_line", "unit", "paths", "constants", F.explode_outer(F.array_compact(F.array(*out))).alias("h")).where("h is not null").select("file", "start_line", "unit", "paths", "constants", "h.*")
     nth = line_after(F.col("prefix"))
     shown = F.trim(F.get(F.split("unit", "\\r?\\n"), nth - 1))
-    kept = hits.withColumns({"line": F.col("start_line") + nth - 1, "quoted": _in_string(F.when(F.col("code_only"), F.col("prefix")))})
-    kept = kept.where(~(F.col("code_only") & F.col("quoted")) & (shown != "") & ~shown.rlike(COMMENT))
+    quoted = F.when(F.col("code_only"), in_literal(F.col("prefix"))).otherwise(False)
+    harmless = F.when(F.col("rule") == "js.dynamic_require", loads_nothing_hidden(F.col("unit"), F.col("prefix"), F.col("paths"), F.col("constants"))).otherwise(False)
+    kept = hits.withColumn("line", F.col("start_line") + nth - 1).where(~quoted & ~F.coalesce(harmless, F.lit(False)) & (shown != "") & ~shown.rlike(COMMENT))
     same = ("severity", "category", "confidence", "ord")
     return kept.groupBy("file", "rule", "line").agg(*[F.first(c).alias(c) for c in same], F.min("start_line").alias("start_line"))
 
@@ -262,8 +264,7 @@ def scan_source(files: DataFrame, file: str = "file", text: str = "text") -> Dat
     """(file, rule, severity, category, confidence, line): the findings of the
     rules, the flows and the chains of source files, together."""
     parsed = source_files(files, file, text)
-    units = parsed.select("file", "lang", F.explode_outer("units").alias("u")).select("file", "lang", F.col("u.start_line").alias("start_line"), F.col("u.text").alias("unit"))
-    rules = rule_findings(units)
+    rules = rule_findings(_statements(parsed))
     flat = lambda df, severity, category, confidence: df.select("file", "rule", F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), "line")
     return (
         rules.select("file", "rule", "severity", "category", "confidence", "line")
