@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import wire
+from ..functions.brackets import indented_json
 from ..sources.files import without_comments
 
 # Folders of vendors in a home (user) or a working folder (project).
@@ -71,11 +72,12 @@ def declared_name(text: Column) -> Column:
 
 
 def canonical_hooks(text: Column) -> Column:
-    """The hooks of a settings document as the only field of a JSON text, keys
-    sorted; null if it has none, or is no JSON object."""
-    hooks = F.try_variant_get(F.try_parse_json(without_comments(text)), "$.hooks", "variant")
-    body = F.to_json(hooks)
-    return F.when(body.rlike("^[\\[{][^\\]}]"), F.concat(F.lit('{"hooks":'), body, F.lit("}")))
+    """The hooks of a settings document as the only field of a JSON text, in
+    their own order and indented by two; null if it has none, or is no JSON
+    object. Numbers stand as they were written."""
+    bare = without_comments(text)
+    hooks = F.when(F.try_parse_json(bare).isNotNull(), F.get_json_object(bare, "$.hooks"))
+    return F.when(hooks.rlike("^[\\[{][^\\]}]"), indented_json(F.concat(F.lit('{"hooks":'), hooks, F.lit("}"))))
 
 
 def canonical_grant(mode: Column, allow: Column, deny: Column, ask: Column, trust_all: Column) -> Column:

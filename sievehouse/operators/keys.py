@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wire
 from ..sources.files import environment_entries
-from .inventory import MOST_MANIFESTS, npm_packages
+from .inventory import MOST_MANIFESTS, is_npm, npm_packages, pip_libraries
 
 MOST_HOSTS = 5
 
@@ -131,9 +131,8 @@ def vector_clients(manifests: DataFrame) -> DataFrame:
     """(engine, hosted, n_manifests, manifests): vector stores that manifests
     (path, text) depend on, with the first manifests by path. Of text
     manifests, any whole token counts. hosted is that of the engine's packages."""
-    npm = F.substring_index("path", "/", -1) == "package.json"
-    tokens = F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9_.-]+"), F.array(*map(F.lit, PIP_VECTOR)))
-    used = manifests.select("path", F.explode(F.when(npm, npm_packages(F.col("text"))).otherwise(tokens)).alias("package")).withColumn("v", vector_library(F.col("package")))
+    npm = is_npm(F.col("path"))
+    used = manifests.select("path", F.explode(F.when(npm, npm_packages(F.col("text"))).otherwise(pip_libraries(F.col("text"), PIP_VECTOR))).alias("package")).withColumn("v", vector_library(F.col("package")))
     rows = used.where("v is not null").select(F.col("v.a").alias("engine"), F.col("v.b").alias("hosted"), "path").distinct()
     counts = rows.groupBy("engine", "hosted").agg(F.count("*").alias("n_manifests"))
     return counts.join(_firsts(rows, "engine", "path", MOST_MANIFESTS), "engine").withColumnRenamed("path", "manifests")

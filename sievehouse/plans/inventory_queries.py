@@ -36,32 +36,42 @@ _ENV = [
     "# OPENAI_API_KEY=commented-out\nlower_key=abcdefghij",
     "  GEMINI_API_KEY = AIza-not-long\nQDRANT_API_KEY=q1\nQDRANT_HOST=Q-2.Example.Com\nZILLIZ_CLOUD_URI=https://z.cloud:19530",
 ]
-_KNOWN = [*M._KNOWN, ("npm", "chromadb"), ("pip", "faiss-cpu"), ("pip", "qdrant-client")]
+_LIST = ["dependencies = [\"openai>=1\", 'tiktoken']", "  - pip:\n    - crewai[tools]==0.1", "name = \"x\"  # vllm"]
+_NAMES = ["requirements.txt", "pyproject.toml", "environment.yml", "Pipfile", "requirements-dev.txt"]
+
+
+def _packed(head: Column, text: Column) -> Column:
+    """The JSON object head with the whole text as one more field."""
+    return F.concat(F.regexp_replace(head, "\\}\\z", ""), F.lit(', "page": '), F.to_json(F.array(text)), F.lit("}"))
+
+
+def _packed_sql(head: str, text: str) -> str:
+    return f"""regexp_replace({head}, '\\}}$', '') || ', "page": ' || CAST(to_json([{text}]) AS VARCHAR) || '}}'"""
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, text): documents as manifests and environment files by their id's
-    remainder, each with a snippet; of a package.json the first line that begins an object."""
-    third = F.pmod("doc_id", F.lit(3))
-    n = F.floor(F.col("doc_id") / 3)
-    number = F.lpad(F.col("doc_id").cast("string"), 12, "0")
-    deep = F.when(F.pmod("doc_id", F.lit(11)) == 2, F.lit("d/" * 600)).otherwise("")
-    path = F.when(third == 0, F.concat(number, F.lit("/package.json"))).when(third == 1, F.concat(number, F.lit("/requirements.txt"))).otherwise(F.concat(deep, number, F.lit("/.env")))
-    text = F.concat_ws("\n", "text", F.when(third == 0, _picked(_NPM, n)).when(third == 1, _picked(_PIP, n)).otherwise(_picked(_ENV, n)))
-    docs = _table(spark, sf_dir, "documents").select(path.alias("path"), text.alias("text"))
-    manifest = F.get(F.filter(X.lines_of(F.col("text")), lambda x: F.ltrim(x).startswith("{")), F.lit(0))
-    return docs.withColumn("text", F.when(F.col("path").endswith("/package.json"), manifest).otherwise(F.col("text")))
+    """(path, text): each document as a manifest of npm, one of Python and an
+    environment file, with its whole text and a snippet of its own."""
+    n, number = F.col("doc_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    deep = F.when(F.pmod("doc_id", F.lit(11)) == 2, F.lit(_DEEP)).otherwise("")
+    below = lambda snippet: F.concat_ws("\n", "text", snippet)
+    kinds = [
+        (F.concat(number, F.lit("/package.json")), _packed(_picked(_NPM, n), F.col("text"))),
+        (F.concat(number, F.lit("/"), _picked(_NAMES, n)), below(_picked(_PIP + _LIST, n))),
+        (F.concat(deep, number, F.lit("/.env")), below(_picked(_ENV, n))),
+    ]
+    both = F.array(*[F.struct(p.alias("path"), t.alias("text")) for p, t in kinds])
+    return _table(spark, sf_dir, "documents").select(F.explode(both).alias("f")).select("f.path", "f.text")
 
 
 _DEEP = "d/" * 600
-_FILES_SQL = f"""d AS (SELECT CASE doc_id % 3 WHEN 0 THEN lpad(CAST(doc_id AS VARCHAR), 12, '0') || '/package.json' WHEN 1 THEN lpad(CAST(doc_id AS VARCHAR), 12, '0') || '/requirements.txt'
-    ELSE CASE WHEN doc_id % 11 = 2 THEN '{_DEEP}' ELSE '' END || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '/.env' END AS path, doc_id % 3 AS third,
-  concat_ws(chr(10), text, CASE doc_id % 3 WHEN 0 THEN {_picked_sql(_NPM, 'doc_id // 3')} WHEN 1 THEN {_picked_sql(_PIP, 'doc_id // 3')} ELSE {_picked_sql(_ENV, 'doc_id // 3')} END) AS text FROM documents),
-npm AS (SELECT path, list_filter(string_split_regex(text, '\\r?\\n'), lambda x: starts_with(ltrim(x, ' '), '{{'))[1] AS text FROM d WHERE third = 0),
+_FILES_SQL = f"""d AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS number, text FROM documents),
+npm AS (SELECT number || '/package.json' AS path, {_packed_sql(_picked_sql(_NPM, 'doc_id'), 'text')} AS text FROM d),
 maps AS (SELECT path, unnest([json_extract(text, '$.dependencies'), json_extract(text, '$.devDependencies'), json_extract(text, '$.peerDependencies'), json_extract(text, '$.optionalDependencies')]) AS m FROM npm WHERE json_valid(text)),
 wanted AS (SELECT DISTINCT path, unnest(json_keys(m)) AS package FROM maps WHERE json_type(m) = 'OBJECT'),
-pip AS (SELECT path, text FROM d WHERE third = 1),
-lines AS (SELECT path, unnest(l) AS x, generate_subscripts(l, 1) AS place FROM (SELECT path, string_split_regex(text, '\\r?\\n') AS l FROM d WHERE third = 2)),
+pip AS (SELECT number || '/' || {_picked_sql(_NAMES, 'doc_id')} AS path, concat_ws(chr(10), text, {_picked_sql(_PIP + _LIST, 'doc_id')}) AS text FROM d),
+env AS (SELECT CASE WHEN doc_id % 11 = 2 THEN '{_DEEP}' ELSE '' END || number || '/.env' AS path, concat_ws(chr(10), text, {_picked_sql(_ENV, 'doc_id')}) AS text FROM d),
+lines AS (SELECT path, unnest(l) AS x, generate_subscripts(l, 1) AS place FROM (SELECT path, string_split_regex(text, '\\r?\\n') AS l FROM env)),
 parts AS (SELECT path, place, regexp_extract(x, '^\\s*(?:export\\s+)?([A-Z0-9_]+)\\s*=\\s*(.*)$', ['name', 'value']) AS p FROM lines WHERE regexp_matches(x, '^\\s*(?:export\\s+)?[A-Z0-9_]+\\s*=')),
 entries AS (SELECT path, place, p.name AS name, regexp_replace(trim(p.value), '^["'']|["'']$', '', 'g') AS value FROM parts)"""
 
@@ -106,13 +116,17 @@ def vector_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.vector_endpoints(_files(spark, sf_dir).where(F.col("path").endswith("/.env")))
 
 
+def dependency_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model libraries that manifests depend on, with how many do and the first of them."""
+    return inventory.dependency_assets(_files(spark, sf_dir).where(~F.col("path").endswith("/.env")))
+
+
 def inventory_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All assets of manifests and environment files, clamped, one row each."""
     files = _files(spark, sf_dir)
     env, manifests = files.where(F.col("path").endswith("/.env")), files.where(~F.col("path").endswith("/.env"))
     row = lambda df, kind, name, identifier, vendor: df.select(F.lit(kind).alias("type"), name.alias("name"), identifier.alias("identifier"), vendor.alias("vendor"))
-    known = spark.createDataFrame(_KNOWN, "ecosystem string, package string")
-    used = keys.without_vector(inventory.dependency_assets(manifests, known))
+    used = keys.without_vector(inventory.dependency_assets(manifests))
     engine = F.col("engine")
     return keys.assets(
         row(used, "AI_TOOL", F.format_string("%s (%s)", "package", "ecosystem"), F.format_string("dep:%s:%s", "ecosystem", "package"), F.lit("ai-sdk")),
@@ -122,11 +136,12 @@ def inventory_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PIP_LINE = "^\\s*([A-Za-z0-9][A-Za-z0-9._-]*)\\s*(?:\\[[^\\]]*\\])?\\s*(?:[=<>!~;].*)?(?:#.*)?$"
-_ASSETS_SQL = f"""WITH {_FILES_SQL}, {_KEYS_CTE}, {_CLIENTS_CTE}, {_CLOUD_CTE}, {_values('known(ecosystem, package)', _KNOWN)},
-used AS (SELECT DISTINCT 'npm' AS ecosystem, package FROM wanted UNION SELECT DISTINCT 'pip', lower(regexp_extract(unnest(string_split_regex(text, '\\r?\\n')), '{_PIP_LINE}', 1)) FROM pip),
-a AS (SELECT 'AI_TOOL' AS type, package || ' (' || ecosystem || ')' AS name, 'dep:' || ecosystem || ':' || package AS identifier, 'ai-sdk' AS vendor
-  FROM used JOIN known USING (ecosystem, package) WHERE package NOT IN (SELECT package FROM lib)
+_NPM_SQL = "(package IN (" + ", ".join(map(_quote, inventory.NPM_LIBRARIES)) + ") OR " + " OR ".join(f"starts_with(package, '{p}')" for p in inventory.NPM_PREFIXES) + ")"
+_USED_CTE = f"""used AS (SELECT DISTINCT 'npm' AS ecosystem, package, path FROM wanted WHERE {_NPM_SQL}
+  UNION SELECT DISTINCT 'pip', unnest(list_filter([{', '.join(map(_quote, inventory.PIP_LIBRARIES))}], lambda p: list_contains(string_split_regex(lower(text), '[^a-z0-9_.-]+'), p))), path FROM pip)"""
+_ASSETS_SQL = f"""WITH {_FILES_SQL}, {_KEYS_CTE}, {_CLIENTS_CTE}, {_CLOUD_CTE}, {_USED_CTE},
+a AS (SELECT DISTINCT 'AI_TOOL' AS type, package || ' (' || ecosystem || ')' AS name, 'dep:' || ecosystem || ':' || package AS identifier, 'ai-sdk' AS vendor
+  FROM used WHERE package NOT IN (SELECT package FROM lib) AND NOT starts_with(package, '@pinecone-database/') AND NOT starts_with(package, '@qdrant/')
 UNION ALL SELECT DISTINCT 'VECTOR_STORE', engine || ' client', 'vector:client:' || engine, engine FROM clients
 UNION ALL SELECT 'VECTOR_STORE', engine || ' (cloud)', 'vector:cloud:' || engine, engine FROM cloud
 UNION ALL SELECT 'MODEL_KEY', name, 'dotenv:' || path || ':' || name, vendor FROM found)
@@ -136,7 +151,7 @@ SELECT type, name, CASE WHEN length(identifier) > 1024 THEN left(identifier, 101
 
 _PLACES = ["skills/p%/SKILL.md", "settings.json", "agents/Review %.md", "commands/p%.toml", "prompts/p%.md", "chatmodes/p%.md", "notes/p%.md", "config.toml", "hooks.json", "workflows/p%.yml"]
 _FRONTS = ["---\nname: 'Deploy helper'\ntools: Bash\n---\n", "", "---\ntools: Read\n---\n", "---\nname:   \"\"\n---\n"]
-_HOOKS = ['{"hooks": {"PreToolUse": [{"command": "x", "matcher": "Bash"}]}, "page": ', '{"hooks": {}, "page": ', '{"page": ', '{"hooks": "none", "page": ']
+_HOOKS = ['{"hooks": {"PreToolUse": [{"matcher": "Bash", "command": "x, {y}"}, {}], "A": [[], "b: c"]}, "page": ', '{"hooks": {}, "page": ', '{"page": ', '{"hooks": "none", "page": ']
 
 
 def _found_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +191,8 @@ k AS (SELECT *, split_part(path, '/', -1) AS base, CASE WHEN low LIKE '%/skill.m
   WHEN (low LIKE 'commands/%.toml' OR low LIKE 'prompts/%.md') AND NOT (vendor = 'copilot' AND low NOT LIKE 'prompts/%') THEN 'command' WHEN vendor = 'copilot' AND low LIKE 'chatmodes/%.md' THEN 'subagent' END AS kind FROM fs),
 j AS (SELECT *, regexp_replace(regexp_replace(text, '/\\*[\\s\\S]*?\\*/', '', 'g'), '(^|[^:"])//[^\\n]*', '\\1', 'g') AS bare FROM k WHERE kind IS NOT NULL),
 c AS (SELECT *, CASE WHEN kind <> 'hook' THEN text WHEN json_valid(bare) AND json_type(bare, '$.hooks') IN ('OBJECT', 'ARRAY') AND CAST(json_extract(CASE WHEN json_valid(bare) THEN bare END, '$.hooks') AS VARCHAR) NOT IN ('{{}}', '[]')
-  THEN '{{"hooks":' || CAST(json_extract(CASE WHEN json_valid(bare) THEN bare END, '$.hooks') AS VARCHAR) || '}}' END AS content FROM j),
+  THEN array_to_string(list_transform(string_split(json_pretty(json_extract(CASE WHEN json_valid(bare) THEN '{{"hooks":' || CAST(json_extract(CASE WHEN json_valid(bare) THEN bare END, '$.hooks') AS VARCHAR) || '}}' END, '$')), chr(10)),
+    lambda x: repeat(' ', CAST((length(x) - length(ltrim(x, ' '))) // 2 AS INTEGER)) || ltrim(x, ' ')), chr(10)) END AS content FROM j),
 found AS (SELECT page_id, vendor, scope, kind, path, content, coalesce(nullif(regexp_replace(trim(regexp_extract(regexp_extract(content, '^---\\r?\\n([\\s\\S]*?)\\r?\\n---', 1), '(?m)^name:[ \\t]*(\\S[^\\r\\n]*)$', 1)), '^["'']|["'']$', '', 'g'), ''),
   CASE kind WHEN 'skill' THEN split_part(path, '/', -2) WHEN 'hook' THEN base || ' · hooks' ELSE regexp_replace(base, '(?i)\\.(md|toml)$', '') END) AS name FROM c WHERE content IS NOT NULL)"""
 
@@ -186,16 +202,23 @@ _SETTINGS = [
     '{"yolo": true, "editor": {"auto-approve": false}}', '{"cursor.composer.autoRun": "always", "list": [{"always_allow": ["Read", "Edit"]}, {"alwaysAllow": []}]}', "no settings here",
     '{"permissions": {"defaultMode": "acceptEdits", "allow": ["Read", "Bash(ls)"], "ask": ["Web"]}, "Auto Accept Edits": "true"}', '{"permissions": {"defaultMode": "default", "deny": ["Bash(rm)"]}, "skipPermissions": 1}', '{"permissions": ',
     '{"allowedTools": ["Read", "Edit"], "enableAllProjectMcpServers": false}', '{"a": {"b": {"c": {"no_confirm": true}}}}',
+    '{"mcpServers": {"files": {"command": "x", "autoApprove": ["read"]}, "web": {"url": "https://a.example", "alwaysAllow": ["get"], "disabled": true}}}', '{"servers": {"web": {"alwaysAllow": ["get"]}, "files": {}}, "mcp": {"servers": {"no": {}}}}',
+    '{"mcp": {"servers": {"db": {"autoApprove": [], "alwaysAllow": ["q"]}, "log": {"alwaysAllow": ["w"]}}}}',
 ]
 _RARE = ['{"defaultMode": "bypassPermissions"}', '{"enableAllProjectMcpServers": true}']
 
 
+_VENDORS = list(inventory.TIERS)
+_COMMENTS = ["", "// settings of one machine\n", "/* see https://example.org\n */"]
+
+
 def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, text): the first line of each document that begins an object, null if none does."""
+    """(doc_id, source, vendor, text): each document as a settings file, its
+    whole text one field of it, below a comment or none; every 17th is absent."""
+    n = F.col("doc_id")
     rare = F.when(F.pmod("doc_id", F.lit(233)) == 5, F.lit(_RARE[0])).when(F.pmod("doc_id", F.lit(239)) == 7, F.lit(_RARE[1]))
-    text = F.concat_ws("\n", "text", F.coalesce(rare, _picked(_SETTINGS, F.col("doc_id"))))
-    first = F.get(F.filter(X.lines_of(text), lambda x: F.ltrim(x).startswith("{")), F.lit(0))
-    return _table(spark, sf_dir, "documents").select("doc_id", "source", first.alias("text"))
+    text = F.concat(_picked(_COMMENTS, n), _packed(F.coalesce(rare, _picked(_SETTINGS, n)), F.col("text")))
+    return _table(spark, sf_dir, "documents").select("doc_id", "source", _picked(_VENDORS, F.floor(n / 8)).alias("vendor"), F.when(F.pmod("doc_id", F.lit(17)) != 3, text).alias("text"))
 
 
 def settings_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,30 +228,42 @@ def settings_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posture_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings in documents merged by the document's source, in order of ids."""
-    return inventory.merge_postures(_settings(spark, sf_dir).select(F.col("source").alias("vendor"), F.col("doc_id").alias("ord"), "text"))
+    """Settings merged by machine (the document's source) and vendor, in order of ids."""
+    return inventory.merge_postures(_settings(spark, sf_dir).withColumnsRenamed({"source": "machine", "doc_id": "ord"}), ["machine", "vendor"])
 
 
-_SETTINGS_CTE = f"""st AS (SELECT doc_id, source, list_filter(string_split_regex(concat_ws(chr(10), text, CASE WHEN doc_id % 233 = 5 THEN {_quote(_RARE[0])} WHEN doc_id % 239 = 7 THEN {_quote(_RARE[1])} ELSE {_picked_sql(_SETTINGS, 'doc_id')} END), '\\r?\\n'),
-  lambda x: starts_with(ltrim(x, ' '), '{{'))[1] AS text FROM documents),
-js AS (SELECT *, coalesce(json_valid(text), false) AS ok, CASE WHEN json_valid(text) THEN text ELSE '{{}}' END AS doc FROM st)"""
-_SWITCHES_SQL = f"""WITH {_SETTINGS_CTE}, {_values('sw(name, label, severity)', [(n, label, s) for names, label, s in artifacts.SWITCHES for n in names.split('|')])},
-t AS (SELECT doc_id, t.key AS leaf, t.fullkey AS whole, t.value AS v, t.type AS kind, t.atom AS atom FROM js, json_tree(js.doc) t WHERE t.key IS NOT NULL),
-n AS (SELECT *, regexp_replace(lower(regexp_extract(CAST(leaf AS VARCHAR), '[^.]*$')), '[_\\-\\s]', '', 'g') AS name FROM t)
-SELECT doc_id, regexp_replace(replace(regexp_replace(whole, '\\[(\\d+)\\]', '.\\1', 'g'), '"', ''), '^\\$\\.', '') AS key, label, severity,
+_SETTINGS_CTE = f"""st AS (SELECT doc_id, source, {_picked_sql(_VENDORS, 'doc_id // 8')} AS vendor, CASE WHEN doc_id % 17 <> 3 THEN {_picked_sql(_COMMENTS, 'doc_id')} || {_packed_sql(f"CASE WHEN doc_id % 233 = 5 THEN {_quote(_RARE[0])} WHEN doc_id % 239 = 7 THEN {_quote(_RARE[1])} ELSE {_picked_sql(_SETTINGS, 'doc_id')} END", 'text')} END AS raw FROM documents),
+sb AS (SELECT *, regexp_replace(regexp_replace(raw, '/\\*[\\s\\S]*?\\*/', '', 'g'), '(^|[^:"])//[^\\n]*', '\\1', 'g') AS text FROM st),
+js AS (SELECT *, coalesce(json_valid(text) AND octet_length(encode(raw)) <= {inventory.MOST_SETTINGS_BYTES}, false) AS ok, CASE WHEN json_valid(text) THEN text ELSE '{{}}' END AS doc FROM sb)"""
+_SWITCHES_CTE = f"""{_values('sw(name, label, severity)', [(n, label, s) for names, label, s in artifacts.SWITCHES for n in names.split('|')])},
+t AS (SELECT doc_id, t.id AS place, t.key AS leaf, t.fullkey AS whole, t.value AS v, t.type AS kind FROM js, json_tree(js.doc) t WHERE t.key IS NOT NULL),
+n AS (SELECT *, regexp_replace(lower(regexp_extract(CAST(leaf AS VARCHAR), '[^.]*$')), '[_\\-\\s]', '', 'g') AS name FROM t),
+on_ AS (SELECT doc_id, place, regexp_replace(replace(regexp_replace(whole, '\\[(\\d+)\\]', '.\\1', 'g'), '"', ''), '^\\$\\.', '') AS key, label, severity,
   CASE WHEN kind = 'ARRAY' THEN json_array_length(v) || ' entries' ELSE replace(CAST(v AS VARCHAR), '"', '') END AS value
-FROM n JOIN sw USING (name) WHERE (kind = 'BOOLEAN' AND CAST(v AS VARCHAR) = 'true') OR (kind = 'VARCHAR' AND CAST(v AS VARCHAR) IN ('"true"', '"always"')) OR (kind = 'ARRAY' AND json_array_length(v) > 0)"""
-_POSTURE_SQL = f"""WITH {_SETTINGS_CTE},
-m AS (SELECT source AS vendor, doc_id AS ord, text, ok, doc, coalesce(json_extract_string(doc, '$.permissions.defaultMode'), json_extract_string(doc, '$.defaultMode')) AS mode, CAST(json_extract(doc, '$.enableAllProjectMcpServers') AS BOOLEAN) AS trust FROM js),
-e AS (SELECT vendor, ord, 'allow' AS list, coalesce(json_extract(doc, '$.permissions.allow'), json_extract(doc, '$.allowedTools')) AS rules FROM m UNION ALL SELECT vendor, ord, 'deny', json_extract(doc, '$.permissions.deny') FROM m
-  UNION ALL SELECT vendor, ord, 'ask', json_extract(doc, '$.permissions.ask') FROM m),
-u AS (SELECT vendor, ord, list, unnest(CAST(rules AS VARCHAR[])) AS rule, generate_subscripts(CAST(rules AS VARCHAR[]), 1) AS place FROM e WHERE rules IS NOT NULL),
-f AS (SELECT vendor, list, rule, min(row(ord, place)) AS spot FROM u GROUP BY ALL),
-l AS (SELECT vendor, string_agg(rule, ',' ORDER BY spot) FILTER (list = 'allow') AS allow, string_agg(rule, ',' ORDER BY spot) FILTER (list = 'deny') AS deny, string_agg(rule, ',' ORDER BY spot) FILTER (list = 'ask') AS ask FROM f GROUP BY vendor),
-g AS (SELECT vendor, count(*) AS sources, count(*) FILTER (NOT ok AND text IS NOT NULL) AS n_unreadable, count(*) FILTER (ok) AS n_read,
-  coalesce(arg_max(mode, ord) FILTER (lower(mode) = 'bypasspermissions'), arg_min(mode, ord) FILTER (mode IS NOT NULL)) AS mode, bool_or(trust) AS trust_all FROM m GROUP BY vendor)
-SELECT g.vendor, sources, n_unreadable, mode, coalesce(allow, '') AS allow, coalesce(deny, '') AS deny, coalesce(ask, '') AS ask, trust_all,
-  CASE WHEN n_read > 0 AND n_unreadable = 0 THEN 'complete' ELSE 'floor' END AS claim FROM g LEFT JOIN l ON l.vendor IS NOT DISTINCT FROM g.vendor"""
+FROM n JOIN sw USING (name) WHERE (kind = 'BOOLEAN' AND CAST(v AS VARCHAR) = 'true') OR (kind = 'VARCHAR' AND CAST(v AS VARCHAR) IN ('"true"', '"always"')) OR (kind = 'ARRAY' AND json_array_length(v) > 0))"""
+_SWITCHES_SQL = f"WITH {_SETTINGS_CTE}, {_SWITCHES_CTE} SELECT doc_id, key, label, severity, value FROM on_"
+_LISTS = ("allow", "deny", "ask", "switches", "servers", "self_approved")
+_POSTURE_SQL = f"""WITH {_SETTINGS_CTE}, {_SWITCHES_CTE}, {_values('tiers(vendor, tier)', list(inventory.TIERS.items()))},
+m AS (SELECT source AS machine, vendor, tier, doc_id AS ord, raw, ok, CASE WHEN ok THEN doc ELSE '{{}}' END AS doc FROM js JOIN tiers USING (vendor)),
+o AS (SELECT *, coalesce(json_extract_string(doc, '$.permissions.defaultMode'), json_extract_string(doc, '$.defaultMode')) AS mode, CAST(json_extract(doc, '$.enableAllProjectMcpServers') AS BOOLEAN) AS trust FROM m),
+e AS (SELECT machine, vendor, ord, 'allow' AS list, coalesce(json_extract(doc, '$.permissions.allow'), json_extract(doc, '$.allowedTools')) AS rules FROM m UNION ALL SELECT machine, vendor, ord, 'deny', json_extract(doc, '$.permissions.deny') FROM m
+  UNION ALL SELECT machine, vendor, ord, 'ask', json_extract(doc, '$.permissions.ask') FROM m),
+u AS (SELECT machine, vendor, ord, list, unnest(CAST(rules AS VARCHAR[])) AS rule, generate_subscripts(CAST(rules AS VARCHAR[]), 1) AS place FROM e WHERE rules IS NOT NULL),
+f AS (SELECT machine, vendor, list, rule, min(row(ord, place)) AS spot FROM u GROUP BY ALL),
+sv AS (SELECT machine, vendor, ord, k.key AS name, k.id AS place, coalesce(json_array_length(coalesce(json_extract(k.value, '$.autoApprove'), json_extract(k.value, '$.alwaysAllow'))) > 0, false) AS approves,
+    coalesce(CAST(json_extract(k.value, '$.disabled') AS BOOLEAN), false) AS disabled FROM m, json_each(coalesce(json_extract(doc, '$.mcpServers'), json_extract(doc, '$.servers'), json_extract(doc, '$.mcp.servers'))) k),
+s1 AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY machine, vendor, name ORDER BY ord, place) = 1),
+a AS (SELECT machine, vendor, list, rule, row_number() OVER (PARTITION BY machine, vendor, list ORDER BY spot) AS nth FROM f
+  UNION ALL SELECT machine, vendor, 'switches', key || '=' || value, row_number() OVER (PARTITION BY machine, vendor ORDER BY ord, place) FROM on_ JOIN m ON m.ord = on_.doc_id WHERE tier = 'flag'
+  UNION ALL SELECT machine, vendor, 'servers', name, row_number() OVER (PARTITION BY machine, vendor ORDER BY ord, place) FROM s1
+  UNION ALL SELECT machine, vendor, 'self_approved', name, row_number() OVER (PARTITION BY machine, vendor ORDER BY ord, place) FROM s1 WHERE approves AND NOT disabled),
+l AS (SELECT machine, vendor, {', '.join(f"string_agg(rule, ',' ORDER BY nth) FILTER (list = '{k}') AS {k}" for k in _LISTS)} FROM a
+  WHERE nth <= CASE list WHEN 'switches' THEN {inventory.MOST_SWITCHES} WHEN 'servers' THEN 1000000 WHEN 'self_approved' THEN 1000000 ELSE {inventory.MOST_RULES} END GROUP BY machine, vendor),
+g AS (SELECT machine, vendor, any_value(tier) AS tier, count(*) AS sources, count(*) FILTER (NOT ok AND raw IS NOT NULL) AS n_unreadable, count(*) FILTER (ok) AS n_read,
+  coalesce(arg_max(mode, ord) FILTER (lower(mode) = 'bypasspermissions'), arg_min(mode, ord) FILTER (mode IS NOT NULL)) AS mode, bool_or(trust) AS trust_all FROM o GROUP BY machine, vendor)
+SELECT g.machine, g.vendor, sources, n_unreadable, mode, {', '.join(f"coalesce({k}, '') AS {k}" for k in _LISTS)}, trust_all,
+  CASE WHEN tier = 'declared' AND n_read > 0 AND n_unreadable = 0 THEN 'complete' ELSE 'floor' END AS claim
+FROM g LEFT JOIN l ON l.vendor = g.vendor AND l.machine IS NOT DISTINCT FROM g.machine"""
 
 # ---- policies
 
@@ -271,12 +306,13 @@ w AS (SELECT doc_id, max(CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4
 SELECT (SELECT count(*) FROM documents) AS scanned, count(*) FILTER (worst = 5) AS blocked, count(*) FILTER (worst IN (3, 4)) AS flagged FROM w"""
 
 QUERIES = {
-    "environment_keys": environment_keys, "vector_clients": vector_clients, "vector_endpoints": vector_endpoints, "inventory_assets": inventory_assets,
+    "dependency_rollup": dependency_rollup, "environment_keys": environment_keys, "vector_clients": vector_clients, "vector_endpoints": vector_endpoints, "inventory_assets": inventory_assets,
     "artifact_inventory": artifact_inventory, "artifact_kinds": artifact_kinds, "artifact_caps": artifact_caps, "settings_switches": settings_switches, "posture_merge": posture_merge,
     "policy_findings": policy_findings, "policy_totals": policy_totals,
 }
 
 SQL = {
+    "dependency_rollup": f"WITH {_FILES_SQL}, {_USED_CTE} SELECT ecosystem, package, count(*) AS n_manifests, array_to_string(list_sort(list(path))[1:10], ',') AS manifests FROM used GROUP BY ALL",
     "environment_keys": f"WITH {_FILES_SQL}, {_KEYS_CTE} SELECT * FROM found",
     "vector_clients": f"WITH {_FILES_SQL}, {_CLIENTS_CTE} SELECT * FROM clients",
     "vector_endpoints": f"WITH {_FILES_SQL}, {_CLOUD_CTE} SELECT * FROM cloud",

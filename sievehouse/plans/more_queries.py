@@ -65,31 +65,6 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- inventories
 
-_MANIFEST_PARTS = ['"dependencies": {"openai": "4", "left-pad": "1"}', '"devDependencies": {"langchain": "0.3"}', '"peerDependencies": {"openai": "5"}, "dependencies": {"@anthropic-ai/sdk": "1"}', '"name": "x"']
-_REQUIREMENTS = ["openai==1.2\n# torch\nrequests", "langchain>=0.1 # chains\nOpenAI", "flask\n-e .\ntransformers[torch]==4", ""]
-_KNOWN = [("npm", "openai"), ("npm", "langchain"), ("npm", "@anthropic-ai/sdk"), ("pip", "openai"), ("pip", "langchain"), ("pip", "transformers"), ("pip", "torch")]
-
-
-def dependency_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as manifests, of npm by even ids and pip by odd ones. Each gets a
-    snippet on lines of its own; the lines of npm that begin an object are read, and all of pip."""
-    even = F.col("doc_id") % 2 == 0
-    pick = lambda parts: F.element_at(F.array(*map(F.lit, parts)), (F.floor(F.col("doc_id") / 2) % len(parts) + 1).cast("int"))
-    path = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.when(even, "/package.json").otherwise("/requirements.txt"))
-    snippet = F.when(even, F.concat(F.lit("{"), pick(_MANIFEST_PARTS), F.lit("}"))).otherwise(pick(_REQUIREMENTS))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", snippet).alias("text"))
-    objects = F.filter(X.lines_of(F.col("text")), lambda line: F.ltrim(line).startswith("{"))
-    files = docs.select(path.alias("path"), F.explode(F.when(even, objects).otherwise(F.array("text"))).alias("text"))
-    return inventory.dependency_assets(files, spark.createDataFrame(_KNOWN, "ecosystem string, package string"))
-
-
-_DEPENDENCIES_SQL = """WITH s(ecosystem, slot, package) AS (VALUES ('npm', 0, 'openai'), ('npm', 1, 'langchain'), ('npm', 2, 'openai'), ('npm', 2, '@anthropic-ai/sdk'),
-  ('pip', 0, 'openai'), ('pip', 1, 'langchain'), ('pip', 1, 'openai'), ('pip', 2, 'transformers')),
-d AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'npm' ELSE 'pip' END AS ecosystem, CAST(doc_id // 2 % 4 AS INTEGER) AS slot,
-  lpad(CAST(doc_id AS VARCHAR), 12, '0') || CASE WHEN doc_id % 2 = 0 THEN '/package.json' ELSE '/requirements.txt' END AS path FROM documents)
-SELECT ecosystem, package, count(*) AS n_manifests, array_to_string(list_sort(list(path))[1:10], ',') AS manifests FROM d JOIN s USING (ecosystem, slot) GROUP BY ALL"""
-
-
 def local_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of pages as paths of model manifests, by the model they'd name."""
     path = F.regexp_replace("url", "^https?://|[?#].*\\z", "")
@@ -199,13 +174,12 @@ _REPORT_ALL_SQL = _report_sql().replace(" AS path, ", " AS path, doc_id % 3 < 2
 
 QUERIES = {
     "reply_pairs": reply_pairs, "listing_screen": listing_screen, "result_screen": result_screen, "call_screen": call_screen, "connections": connections,
-    "dependency_rollup": dependency_rollup, "local_models": local_models, "artifact_catalogues": artifact_catalogues, "skill_files": skill_files,
+    "local_models": local_models, "artifact_catalogues": artifact_catalogues, "skill_files": skill_files,
     "package_verdicts": package_verdicts, "model_status": model_status, "corpus_screen": corpus_screen, "corpus_totals": corpus_totals, "secret_report": secret_report, "secret_report_all": secret_report_all,
 }
 
 SQL = {
     "reply_pairs": _REPLIES_SQL,
-    "dependency_rollup": _DEPENDENCIES_SQL,
     "local_models": _LOCAL_SQL,
     "artifact_catalogues": _CATALOGUE_SQL,
     "skill_files": _SKILLS_SQL,

@@ -7,10 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Folders that are never looked into, and names that route a file.
-IGNORED = ["node_modules", ".git", "dist", "build", "out", "coverage", "target", "__pycache__", ".venv", "venv", ".next", ".cache"]
-SERVERS = [".mcp.json", "mcp.json", "mcp_config.json", "claude_desktop_config.json"]
-MANIFESTS = ["package.json", "requirements.txt", "pyproject.toml"]
-RULES = ["claude.md", "agents.md", "agent.md", "gemini.md", "llms.txt", ".cursorrules", ".windsurfrules", ".clinerules", "copilot-instructions.md"]
+IGNORED = [
+    "node_modules", ".git", ".hg", ".svn", "dist", "build", "out", ".next", ".nuxt", ".cache", ".venv", "venv", "env", "__pycache__", ".tox", "target", "vendor", "bin", "obj", ".gradle",
+    ".idea", "coverage", ".pytest_cache", ".mypy_cache", "Pods", ".terraform", ".expo", "tmp", "temp", ".turbo", ".parcel-cache", ".svelte-kit", "bower_components", ".pnpm-store",
+    "site-packages", ".yarn",
+]
+SERVERS, SERVER_SETTINGS, SERVER_FOLDERS = [".mcp.json", "mcp.json"], "settings.json", [".gemini", ".zed"]
+MANIFESTS = ["package.json", "requirements.txt", "requirements-dev.txt", "pyproject.toml", "Pipfile", "environment.yml", "environment.yaml"]
+RULES = [".cursorrules", ".windsurfrules", ".clinerules", ".roorules", ".aider.conf.yml", ".aider.conf.yaml", "AGENTS.md", "CLAUDE.md", "GEMINI.md", "copilot-instructions.md"]
+ENVIRONMENT, SAMPLES = "^\\.env(\\..+)?\\z", "(?i)(example|sample|template|dist)"
 VECTORS = ["index.faiss", "index.pkl", "chroma.sqlite3", "docstore.json", "default__vector_store.json", "chroma-embeddings.parquet", "chroma-collections.parquet"]
 VECTOR_ENDS = "\\.(faiss|lance|usearch)\\z"
 MOST_NAMES = 20
@@ -21,20 +26,26 @@ def name_of(path: Column) -> Column:
 
 
 def role_of(path: Column) -> Column:
-    """mcp, rules, manifest, env, vector, source or null: the first that fits a file's name."""
-    name = name_of(path)
+    """mcp, rules, manifest, env, vector, source or null: the first that fits a
+    file's name and folder. Names count as they are written, but for those of
+    vector stores; samples of environment files are none."""
+    base, parent = F.substring_index(path, "/", -1), F.regexp_extract(path, "([^/]*)/[^/]*\\z", 1)
+    servers = base.isin(*SERVERS) | ((base == SERVER_SETTINGS) & parent.isin(*SERVER_FOLDERS))
+    rules = base.isin(*RULES)
+    misplaced = (base == "copilot-instructions.md") & (parent != ".github")
     return (
-        F.when(name.isin(*SERVERS), "mcp").when(name.isin(*RULES), "rules").when(name.isin(*MANIFESTS), "manifest")
-        .when(name.rlike("^\\.env(\\..+)?\\z"), "env").when(name.isin(*VECTORS) | name.rlike(VECTOR_ENDS), "vector")
-        .when(name.rlike("\\.(py|ipynb|[mc]?[jt]sx?|java|kt|go|rb|php|cs|rs|scala)\\z"), "source")
+        F.when(servers, "mcp").when(rules, F.when(~misplaced, "rules")).when(base.isin(*MANIFESTS), "manifest")
+        .when(base.rlike(ENVIRONMENT) & ~base.rlike(SAMPLES), "env").when(F.lower(base).isin(*VECTORS) | F.lower(base).rlike(VECTOR_ENDS), "vector")
+        .when(F.lower(base).rlike("\\.(py|ipynb|[mc]?[jt]sx?|java|kt|go|rb|php|cs|rs|scala)\\z"), "source")
     )
 
 
-def classify(files: DataFrame, most_bytes: int = 524_288) -> DataFrame:
+def classify(files: DataFrame, most_bytes: int = 524_288, root: str = "") -> DataFrame:
     """(path, role, bytes, state, text) of the rows (path, content) that have a
-    role, ignored folders left out. text is null where state is binary (it
+    role, ignored folders below root left out. text is null where state is binary (it
     holds a NUL) or oversized, and that is not the same as an empty file."""
-    hidden = F.col("path").rlike("/(?:" + "|".join(x.replace(".", "\\.") for x in IGNORED) + ")/")
+    below = F.substring(F.col("path"), F.instr("path", root) + len(root), F.length("path")) if root else F.col("path")
+    hidden = below.rlike("/(?:" + "|".join(x.replace(".", "\\.") for x in IGNORED) + ")/")
     kept = files.where(~hidden).withColumn("role", role_of(F.col("path"))).where("role is not null")
     text = F.make_valid_utf8(F.col("content").cast("string"))
     size = F.octet_length("content")
@@ -47,7 +58,7 @@ def read_tree(spark: SparkSession, root: str, most_bytes: int = 524_288) -> Data
     begin with a dot or an underscore; such files come in as a table (path,
     content) for classify."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return classify(files.select("path", "content"), most_bytes)
+    return classify(files.select("path", "content"), most_bytes, root.rstrip("/"))
 
 
 def without_comments(text: Column) -> Column:

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,10 +72,25 @@ def test_connect_policy(spark):
 
 
 def test_dependencies(spark):
-    files = [("a/package.json", '{"dependencies": {"openai": "1", "x": "2"}, "devDependencies": {"openai": "3"}}'), ("b/package.json", "{broken"), ("c/requirements.txt", "OpenAI[all]>=1 # x\n# torch\n-r y\ntorch"), ("d/requirements.txt", None), ("a/package.json", '{"dependencies": {"openai": "1"}}')]
-    known = spark.createDataFrame([("npm", "openai"), ("pip", "openai"), ("pip", "torch"), ("npm", "openai")], "ecosystem string, package string")
-    got = inventory.dependency_assets(spark.createDataFrame(files, "path string, text string"), known)
-    assert rows(got, "ecosystem", "package", "n_manifests", "manifests") == [("npm", "openai", 1, "a/package.json"), ("pip", "openai", 1, "c/requirements.txt"), ("pip", "torch", 1, "c/requirements.txt")]
+    files = [
+        ("a/package.json", '{"dependencies": {"openai": "1", "x": "2"}, "devDependencies": {"openai": "3", "@ai-sdk/openai": "1", "@scope/openai": "1"}}'), ("b/package.json", "{broken"),
+        ("c/requirements.txt", "OpenAI[all]>=1 # x\n# vllm\n-r y\nmy-openai\ntorch"), ("d/requirements.txt", None), ("a/package.json", '{"dependencies": {"openai": "1"}}'), ("e/package.json", '["openai"]'),
+        ("p/pyproject.toml", 'dependencies = ["openai>=1", \'llama_index\']'), ("q/environment.yml", "- pip:\n  - together==1"), ("r/Pipfile", "guidance2 = 1\nx.guidance = 2"),
+    ]
+    got = inventory.dependency_assets(spark.createDataFrame(files, "path string, text string"))
+    assert rows(got, "ecosystem", "package", "n_manifests", "manifests") == [
+        ("npm", "@ai-sdk/openai", 1, "a/package.json"), ("npm", "openai", 1, "a/package.json"), ("pip", "llama_index", 1, "p/pyproject.toml"), ("pip", "openai", 2, "c/requirements.txt,p/pyproject.toml"),
+        ("pip", "together", 1, "q/environment.yml"), ("pip", "vllm", 1, "c/requirements.txt"),
+    ]
+
+
+def test_tokens_are_those_of_the_reference_pattern(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choice(["openai", "OpenAI", "llama-index", "ai", "-", "_", ".", " ", "\n", '"', "é", "groq", "="]) for _ in range(r.randrange(1, 9))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for row in df.select("i", inventory.pip_libraries(F.col("t")).alias("found")).collect():
+        want = {p for p in inventory.PIP_LIBRARIES if re.search(rf"(^|[^a-z0-9_.-]){re.escape(p)}([^a-z0-9_.-]|$)", texts[row.i], re.I | re.M | re.A)}
+        assert set(row.found) == want, repr(texts[row.i])
 
 
 def test_artifacts(spark):
@@ -94,11 +110,20 @@ def test_artifacts(spark):
 
 def test_postures(spark):
     data = [
-        ("v", 1, '{"permissions": {"defaultMode": "plan", "allow": ["A", "B"]}}'), ("v", 2, '{"defaultMode": "BypassPermissions", "allowedTools": ["B", "C"], "enableAllProjectMcpServers": false}'), ("v", 3, None),
-        ("w", 1, "{broken"), ("w", 2, '{"defaultMode": "plan", "enableAllProjectMcpServers": true, "permissions": {"deny": ["D", null]}}'), ("w", 3, '{"defaultMode": "other", "enableAllProjectMcpServers": false}'), ("x", 1, None),
+        ("m", "gemini", 1, '{"permissions": {"defaultMode": "plan", "allow": ["A", "B"]}}'), ("m", "gemini", 2, '// mine\n{"defaultMode": "BypassPermissions", /* x */ "allowedTools": ["B", "C"], "enableAllProjectMcpServers": false}'), ("m", "gemini", 3, None),
+        ("m", "codex", 1, "{broken"), ("m", "codex", 2, '{"defaultMode": "plan", "enableAllProjectMcpServers": true, "permissions": {"deny": ["D", null]}}'), ("m", "codex", 3, '{"defaultMode": "other", "enableAllProjectMcpServers": false}'),
+        ("m", "claude-code", 1, None), ("n", "codex", 1, '{"defaultMode": "plan"' + " " * 600_000 + "}"), ("n", "codex", 2, "[1]"),
+        ("n", "cursor", 1, '{"yolo": true, "permissions": {"allow": ["A"]}, "list": [' + ",".join('{"autoRun": true}' for _ in range(30)) + "]}"), ("n", "gemini", 1, '{"yolo": true}'), (None, "roo", 1, '{"yolo": true}'), ("n", "aider", 1, '{"yolo": true}'),
+        ("s", "cursor", 1, '{"mcpServers": {"a": {"autoApprove": ["x"], "url": "u"}, "b": {"autoApprove": [], "alwaysAllow": ["x"]}, "c": {"alwaysAllow": ["x"], "disabled": true}}}'), ("s", "cursor", 2, '{"servers": {"b": {"alwaysAllow": ["x"]}, "d": {"alwaysAllow": ["x"]}}}'),
     ]
-    got = rows(inventory.merge_postures(spark.createDataFrame(data, "vendor string, ord int, text string")), "vendor", "sources", "n_unreadable", "mode", "allow", "deny", "trust_all", "claim")
-    assert got == [("v", 3, 0, "BypassPermissions", "A,B,C", "", False, "complete"), ("w", 3, 1, "plan", "", "D", True, "floor"), ("x", 1, 0, None, "", "", None, "floor")]
+    out = inventory.merge_postures(spark.createDataFrame(data, "machine string, vendor string, ord int, text string"), ["machine", "vendor"])
+    got = {(r.machine, r.vendor): r for r in out.collect()}
+    assert [tuple(got["m", v][2:9]) for v in ("gemini", "codex", "claude-code")] == [(3, 0, "BypassPermissions", "A,B,C", "", "", False), (3, 1, "plan", "", "D", "", True), (1, 0, None, "", "", "", None)]
+    assert [got["m", v].claim for v in ("gemini", "codex", "claude-code")] == ["complete", "floor", "floor"]
+    assert got["n", "codex"].n_unreadable == 1 and got["n", "codex"].claim == "floor" and got["n", "codex"].mode is None
+    assert got["n", "cursor"].switches.split(",") == ["yolo=true", *[f"list.{i}.autoRun=true" for i in range(19)]] and got["n", "cursor"].claim == "floor" and got["n", "cursor"].allow == "A"
+    assert got["n", "gemini"].switches == "" and got["n", "gemini"].claim == "complete" and got["n", "aider"].switches == "" and got[None, "roo"].switches == "yolo=true"
+    assert (got["s", "cursor"].servers, got["s", "cursor"].self_approved) == ("a,b,c,d", "a,d")
 
 
 def test_acquisition(spark):

@@ -60,12 +60,12 @@ def test_kinds_and_vendors_of_paths(spark):
 
 def test_artifacts_names_hooks_and_caps(spark):
     files = [
-        (1, "m", ".c/settings.json", "c", '{"hooks": {"B": [1]} /* x */, "z": "secret"}'), (2, "m", ".c/settings.json", "c", '{"hooks": {}}'), (3, "m", ".c/hooks.json", "c", "{"), (4, "m", ".c/skills/deep/SKILL.md", "c", "---\nname: \"Named\"\n---\n"),
+        (1, "m", ".c/settings.json", "c", '{"hooks": {"B": [1], "A": {}} /* x */, "z": "secret"}'), (2, "m", ".c/settings.json", "c", '{"hooks": {}}'), (3, "m", ".c/hooks.json", "c", "{"), (4, "m", ".c/skills/deep/SKILL.md", "c", "---\nname: \"Named\"\n---\n"),
         (5, "m", ".c/skills/deep/SKILL.md", "c", "plain"), (6, "n", ".c/agents/Rev.md", "c", ""), (7, "n", ".c/agents/None.md", "c", None), (8, None, ".c/agents/" + "p" * 1100 + ".md", "c", "name: no"),
     ]
     df = spark.createDataFrame(files, "id int, machine string, path string, vendor string, text string").withColumn("extra", F.lit(1))
     found = artifacts.artifacts(df)
-    assert [tuple(r) for r in found.orderBy("id").select("id", "kind", "name", "content").collect()][:4] == [(1, "hook", "settings.json · hooks", '{"hooks":{"B":[1]}}'), (4, "skill", "Named", '---\nname: "Named"\n---\n'), (5, "skill", "deep", "plain"), (6, "subagent", "Rev", "")]
+    assert [tuple(r) for r in found.orderBy("id").select("id", "kind", "name", "content").collect()][:4] == [(1, "hook", "settings.json · hooks", '{\n  "hooks": {\n    "B": [\n      1\n    ],\n    "A": {}\n  }\n}'), (4, "skill", "Named", '---\nname: "Named"\n---\n'), (5, "skill", "deep", "plain"), (6, "subagent", "Rev", "")]
     assert found.where("id = 8").select(F.length("name"), F.length("artifact_path")).first() == (200, 1024)
     kept, capped = artifacts.cap_artifacts(found, "machine", "id", 2)
     assert rows(kept, "id") == [(1,), (4,), (6,), (8,)]

@@ -16,6 +16,22 @@ def test_read_tree(spark, tmp_path):
     assert {(r.path, r.role, r.state) for r in files.classify(dots).collect()} == {("/a/.mcp.json", "mcp", "read"), ("/c/.env.local", "env", "read")}
 
 
+def test_names_route_files(spark):
+    names = {
+        "mcp": ["a/.mcp.json", "a/mcp.json", "a/.gemini/settings.json", "a/.zed/settings.json"],
+        "rules": [f"a/{n}" for n in files.RULES if n != "copilot-instructions.md"] + ["a/.github/copilot-instructions.md"],
+        "manifest": [f"a/{n}" for n in files.MANIFESTS],
+        "env": ["a/.env", "a/.env.local", "a/.env.PROD"],
+        "vector": ["a/index.faiss", "a/Index.PKL", "a/x.lance"],
+        "source": ["a/b.py", "a/B.TSX", "a/c.mjs", "a/n.ipynb"],
+        None: ["a/.env.example", "a/.env.sample", "a/.env.Template", "a/.env.dist", "a/copilot-instructions.md", "a/settings.json", "a/.vscode/settings.json", "a/claude.md", "a/agents.md", "a/pipfile", "a/Package.json", "a/mcp_config.json", "a/x.txt", "a/.envrc"],
+    }
+    df = spark.createDataFrame([(p, r) for r, ps in names.items() for p in ps], "path string, role string")
+    assert [tuple(r) for r in df.where(~files.role_of(F.col("path")).eqNullSafe(F.col("role"))).collect()] == []
+    inside = [f"/w/{d}/x.py" for d in files.IGNORED]
+    assert files.classify(spark.createDataFrame([(p, b"") for p in inside], "path string, content binary")).count() == 0
+
+
 def test_settings_and_vectors(spark):
     df = spark.createDataFrame([('{"u": "http://x" /* c */}\n// end',), ("{",), (None,)], "t string")
     assert [r[0] for r in df.select(files.parse_json(F.col("t"))["state"]).collect()] == ["parsed", "unreadable", "absent"]
