@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ _EXPECTED, _KEPT = EXPECTED.tolist(), KEPT.tolist()
 ROLE = {ASKED: "user", ANSWERED: "assistant"}
 #: Rows whose arcs are ranked together.
 CHUNK = 1 << 15
+#: Rows of a conversation whose edits are kept for others like it.
+SHORT = 32
 
 
 def damaged(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -135,6 +138,13 @@ def cheapest_edits(codes: np.ndarray, must: np.ndarray, cut: np.ndarray) -> tupl
     return int(dist[0, START]), "".join(audit)
 
 
+@lru_cache(maxsize=1 << 14)
+def _edits_of(rows: bytes) -> tuple[int, str]:
+    """cheapest_edits of a short conversation, kept, as most are alike."""
+    x = np.frombuffer(rows, np.int8)
+    return cheapest_edits((x & 3).astype(np.int64), (x & 4) > 0, (x & 8) > 0)
+
+
 #: What a conversation's last row says of it.
 REPORT = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
 
@@ -190,13 +200,13 @@ class _Conversation:
     def decide(self) -> None:
         rows = {k: np.concatenate([p[k] for p in self.parts]) for k in self.parts[0]}
         self.parts, codes, fault = [], rows["code"], rows["fault"]
-        pairs = np.stack([rows["h"], rows["g"]], 1)
-        _, seen = np.unique(pairs, axis=0, return_index=True)
-        again = np.ones(len(codes), bool)
-        again[seen] = False
+        order = np.lexsort((rows["g"], rows["h"]))
+        h, g = rows["h"][order], rows["g"][order]
+        again = np.zeros(len(codes), bool)
+        again[order[1:][(h[1:] == h[:-1]) & (g[1:] == g[:-1])]] = True
         blank, duplicate = fault == 1, again & (fault != 1)
         cut = (fault == 2) & ~duplicate
-        cost, audit = cheapest_edits(codes, blank | duplicate, cut)
+        cost, audit = _edits_of((codes.astype(np.int8) + 4 * (blank | duplicate) + 8 * cut).tobytes()) if len(codes) <= SHORT else cheapest_edits(codes, blank | duplicate, cut)
         turns = rows["turn"][rows["known"]]
         gaps = int(turns.max()) - int(turns.min()) + 1 - len(np.unique(turns)) if len(turns) else 0
         illegal = int((~np.isin(4 * codes[:-1] + codes[1:], [1, 6, 9])).sum()) if len(codes) else 0
