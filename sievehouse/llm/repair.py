@@ -206,7 +206,7 @@ class _Conversation:
         again[order[1:][(h[1:] == h[:-1]) & (g[1:] == g[:-1])]] = True
         blank, duplicate = fault == 1, again & (fault != 1)
         cut = (fault == 2) & ~duplicate
-        cost, audit = _edits_of((codes.astype(np.int8) + 4 * (blank | duplicate) + 8 * cut).tobytes()) if len(codes) <= SHORT else cheapest_edits(codes, blank | duplicate, cut)
+        cost, audit = _edits_of((codes + 4 * (blank | duplicate) + 8 * cut).astype(np.int8).tobytes()) if len(codes) <= SHORT else cheapest_edits(codes, blank | duplicate, cut)
         turns = rows["turn"][rows["known"]]
         gaps = int(turns.max()) - int(turns.min()) + 1 - len(np.unique(turns)) if len(turns) else 0
         illegal = int((~np.isin(4 * codes[:-1] + codes[1:], [1, 6, 9])).sum()) if len(codes) else 0
