@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import frames
+from ..streaming import frames, ledger
 from . import queries as Q
 
 _table, _quote = Q._table, Q._quote
@@ -68,5 +68,23 @@ def frame_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.unionByName(calls)
 
 
-QUERIES = {"frame_pairs": frame_pairs, "frame_actions": frame_actions}
-SQL = {"frame_pairs": _PAIRS_SQL}
+_VERSION = 'client "1.0" of a name that is longer than forty characters'
+
+
+def gap_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's machine would send of its gaps that ended, three at most."""
+    gaps = ledger.compact(Q._gaps(spark, sf_dir).where("state != 'open'"), "user_id", 3)
+    return ledger.envelopes(_table(spark, sf_dir, "events"), gaps, "user_id", _VERSION)
+
+
+_ENVELOPES_SQL = f"""WITH {Q._GAPS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY opened_at, island) AS rank, count(*) OVER (PARTITION BY user_id) AS n FROM g WHERE state <> 'open'),
+c AS (SELECT user_id, min(opened_at) AS opened_at, CASE WHEN count(closed_at) = count(*) THEN max(closed_at) END AS closed_at, sum(unscreened_calls) AS u, sum(locally_decided_calls) AS l, count(*) AS windows
+  FROM k GROUP BY user_id, CASE WHEN n > 3 AND rank <= n - 2 THEN 0 ELSE rank END),
+b AS (SELECT user_id, opened_at, '{{"opened_at":"' || strftime(opened_at, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(millisecond(opened_at) % 1000 AS VARCHAR), 3, '0') || 'Z"' || CASE WHEN closed_at IS NULL THEN '' ELSE ',"closed_at":"' || strftime(closed_at, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(millisecond(closed_at) % 1000 AS VARCHAR), 3, '0') || 'Z"' END
+  || ',"unscreened_calls":' || u || ',"locally_decided_calls":' || l || ',"reason":"' || CASE WHEN windows > 1 THEN windows || ' earlier windows, merged' WHEN closed_at IS NULL THEN 'breaker-open (end not observed)' ELSE 'breaker-open' END || '"}}' AS body FROM c)
+SELECT e.user_id, count(body) AS n_gaps, '{{"gaps":[' || coalesce(string_agg(body, ',' ORDER BY opened_at), '') || '],"client_version":"' || replace({_quote(_VERSION[: ledger.MOST_VERSION])}, '"', '\\"') || '"}}' AS envelope
+FROM (SELECT DISTINCT user_id FROM events) e LEFT JOIN b ON b.user_id IS NOT DISTINCT FROM e.user_id GROUP BY e.user_id"""
+
+
+QUERIES = {"gap_envelopes": gap_envelopes, "frame_pairs": frame_pairs, "frame_actions": frame_actions}
+SQL = {"gap_envelopes": _ENVELOPES_SQL, "frame_pairs": _PAIRS_SQL}

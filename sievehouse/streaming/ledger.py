@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STALE_SECONDS, MOST_GAPS = 6 * 3600, 50
 SPAN_SECONDS = 3600
@@ -105,3 +106,105 @@ def stream_gaps(events: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"opened_at": "datetime64[ns]", "closed_at": "datetime64[ns]"})
 
     return events.groupBy("machine").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout")
+
+
+class _TimedWindows(StatefulProcessor):
+    """The windows of one machine over a stream with a watermark: one open
+    window as state, and a timer at the time from which its end can't be known any more."""
+
+    def __init__(self, stale_millis: int):
+        self.stale = stale_millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "opened_at timestamp, unscreened bigint, local bigint, island bigint")
+
+    @staticmethod
+    def _millis(at) -> int:
+        return int(pd.Timestamp(at).value // 1_000_000)
+
+    def _out(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"opened_at": "datetime64[ns]", "closed_at": "datetime64[ns]"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        opened, unscreened, local, island = self.window.get() if self.window.exists() else (None, 0, 0, 0)
+        known, out = opened, []
+        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples(index=False):
+            if r.kind in ("unscreened", "local"):
+                opened = r.ts if opened is None else opened
+                unscreened, local = unscreened + (r.kind == "unscreened"), local + (r.kind == "local")
+            elif r.kind == "close":
+                if opened is not None:
+                    fresh = (r.ts - pd.Timestamp(opened)).total_seconds() * 1000 <= self.stale
+                    out.append((key[0], island, opened, r.ts if fresh else None, unscreened, local, "closed" if fresh else "end not observed"))
+                opened, unscreened, local, island = None, 0, 0, island + 1
+        if known is not None and known != opened:
+            self.handle.deleteTimer(self._millis(known) + self.stale + 1)
+        if opened is not None and opened != known:
+            self.handle.registerTimer(self._millis(opened) + self.stale + 1)
+        self.window.update((opened, int(unscreened), int(local), int(island)))
+        yield self._out(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        opened, unscreened, local, island = self.window.get()
+        yield self._out([] if opened is None else [(key[0], island, opened, None, unscreened, local, "open")])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_windows(events: DataFrame, delay: str = "10 minutes", stale_seconds: int = STALE_SECONDS) -> DataFrame:
+    """gap_windows over a stream of (machine, ts, seq, kind), as stream_gaps,
+    but a window that nothing closes is sent too, as open, once the watermark
+    (delay behind the newest event) has passed the time from which its end
+    can't be known. Its close sends it again with all its calls, under the same
+    machine and opening time. Events later than the watermark are left out. The
+    session must use RocksDB's state store."""
+    timed = events.withWatermark("ts", delay)
+    return timed.groupBy("machine").transformWithStateInPandas(
+        statefulProcessor=_TimedWindows(stale_seconds * 1000), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
+    )
+
+
+def commit_gaps(folder: str):
+    """A sink for foreachBatch: each batch is one subfolder, written anew if the
+    batch comes again, so a replay changes nothing."""
+
+    def commit(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return commit
+
+
+def committed_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The gaps that were committed, each machine and opening time once: as it ended, else as it was sent while open."""
+    rows = spark.read.schema(OUTPUT).option("basePath", folder).parquet(f"{folder}/batch=*")
+    ended = (F.col("state") != "open").cast("int")
+    best = rows.groupBy("machine", "opened_at").agg(F.max(F.struct(ended.alias("ended"), "unscreened_calls", "locally_decided_calls", "closed_at", "state", "island")).alias("g"))
+    return best.select("machine", "g.island", "opened_at", "g.closed_at", "g.unscreened_calls", "g.locally_decided_calls", "g.state")
+
+
+MOST_VERSION = 40
+
+
+def _instant(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def envelopes(machines: DataFrame, gaps: DataFrame, machine: str, version: str | None = None, reason: str = "breaker-open", most: int = MOST_GAPS) -> DataFrame:
+    """(machine, n_gaps, envelope): what each machine sends, as JSON: always a
+    list gaps, of the oldest `most` by opening time, then the client's version.
+
+    gaps is what compact returns, `windows` telling how many each stands for. A
+    gap without a known end has no closed_at, and says so in its reason; a
+    merged one says how many it stands for. Times are in UTC, as the session's
+    must be. Machines without a gap send an empty list; a null machine is one."""
+    why = F.when(F.col("windows") > 1, F.concat(F.col("windows").cast("string"), F.lit(" earlier windows, merged"))).when(F.col("closed_at").isNull(), f"{reason} (end not observed)").otherwise(reason)
+    body = F.to_json(F.struct(_instant(F.col("opened_at")).alias("opened_at"), _instant(F.col("closed_at")).alias("closed_at"), "unscreened_calls", "locally_decided_calls", why.alias("reason")))
+    nth = F.row_number().over(W.partitionBy(machine).orderBy("opened_at", "bucket"))
+    sent = gaps.withColumn("__nth", nth).where(F.col("__nth") <= most).groupBy(machine).agg(F.sort_array(F.collect_list(F.struct("__nth", body.alias("body")))).alias("__sent"))
+    sent = sent.select(F.col(machine).alias("__machine"), F.transform("__sent", lambda x: x["body"]).alias("__sent"))
+    listed = F.coalesce(F.array_join("__sent", ","), F.lit(""))
+    tail = "}" if not version else ',"client_version":"' + version[:MOST_VERSION].replace("\\", "\\\\").replace('"', '\\"') + '"}'
+    joined = machines.select(machine).distinct().join(sent, F.col(machine).eqNullSafe(F.col("__machine")), "left")
+    return joined.select(machine, F.greatest(F.size("__sent"), F.lit(0)).cast("long").alias("n_gaps"), F.concat(F.lit('{"gaps":['), listed, F.lit("]" + tail)).alias("envelope"))

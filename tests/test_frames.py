@@ -1,5 +1,6 @@
 """Framing, pairing and harvesting against plain loops, in batch and as a stream."""
 
+import datetime as dt
 import json
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievehouse.functions import json_text
-from sievehouse.streaming import frames
+from sievehouse.streaming import frames, ledger
 
 
 def harvest_by_hand(value, depth=0, out=None):
@@ -181,3 +182,54 @@ def test_actions(spark):
     assert calls[5].refused and calls[5].label and not calls[6].refused
     sent = json.loads(df.limit(1).select(frames.refusal(F.lit('"7"'), F.lit("x"), F.lit("srv"))).head()[0])
     assert sent["id"] == "7" and sent["error"]["data"] == {"server": "srv", "refusedBy": "content"}
+
+
+def test_windows_end_by_time_and_replays_change_nothing(streaming, tmp_path):
+    spark = streaming
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    schema = "machine bigint, ts timestamp, seq bigint, kind string"
+    parts = [
+        [(1, at(1), 0, "local"), (1, at(2), 1, "unscreened"), (1, at(3), 2, "close"), (2, at(1), 3, "unscreened"), (3, at(2), 4, "local")],
+        [(1, at(10), 5, "local"), (4, at(9), 6, "close")],
+        [(2, at(11), 7, "local"), (2, at(12), 8, "close"), (4, at(30), 9, "close")],
+    ]
+    folder = str(tmp_path / "gaps")
+    commit, seen = ledger.commit_gaps(folder), []
+
+    def sink(batch, number):
+        commit(batch, number)
+        commit(batch, number)
+        seen.append(number)
+
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = ledger.stream_windows(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "1 hour")
+        query = out.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        if i == 1:
+            early = {(r.machine, r.opened_at): (r.state, r.unscreened_calls + r.locally_decided_calls) for r in ledger.committed_gaps(spark, folder).collect()}
+            assert early == {(1, at(1)): ("closed", 2), (2, at(1)): ("open", 1), (3, at(2)): ("open", 1)}
+    got = sorted(tuple(r) for r in ledger.committed_gaps(spark, folder).collect())
+    assert got == [
+        (1, 0, at(1), at(3), 1, 1, "closed"), (1, 1, at(10), None, 0, 1, "open"), (2, 0, at(1), None, 1, 1, "end not observed"), (3, 0, at(2), None, 0, 1, "open"),
+    ]
+    df = spark.createDataFrame([r for p in parts for r in p], schema)
+    of = lambda k: F.col("kind") == k
+    batch = ledger.gap_windows(df, "machine", "ts", "seq", of("unscreened"), of("local"), of("close"))
+    assert got == sorted(tuple(r) for r in batch.select("machine", "island", "opened_at", "closed_at", "unscreened_calls", "locally_decided_calls", "state").collect())
+
+
+def test_envelopes_always_hold_a_list(spark):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    gaps = [(1, i, at(10 * i), at(10 * i + 1) if i != 2 else None, 1, i) for i in range(60)] + [(None, 0, at(5), at(6), 2, 0)]
+    df = ledger.compact(spark.createDataFrame(gaps, "m bigint, island bigint, opened_at timestamp, closed_at timestamp, unscreened_calls bigint, locally_decided_calls bigint"), "m")
+    machines = spark.createDataFrame([(1,), (1,), (2,), (None,)], "m bigint")
+    out = {r.m: (r.n_gaps, json.loads(r.envelope)) for r in ledger.envelopes(machines, df, "m", 'v"' + "x" * 99).collect()}
+    assert set(out) == {1, 2, None} and out[2] == (0, {"gaps": [], "client_version": 'v"' + "x" * 38})
+    n, sent = out[1]
+    assert n == len(sent["gaps"]) == 50 and sent["gaps"][0] == {"opened_at": "2024-01-01T00:00:00.000Z", "unscreened_calls": 11, "locally_decided_calls": 55, "reason": "11 earlier windows, merged"}
+    assert sent["gaps"][1]["closed_at"] == "2024-01-01T01:51:00.000Z" and sum(g["unscreened_calls"] for g in sent["gaps"]) == 60
+    assert out[None][1]["gaps"][0]["reason"] == "breaker-open"
+    plain = ledger.envelopes(machines.where("m = 2"), df, "m").head().envelope
+    assert plain == '{"gaps":[]}'
