@@ -67,7 +67,7 @@ def artifact_kind(path: Column, vendor: Column) -> Column:
 def declared_name(text: Column) -> Column:
     """The name that a frontmatter declares, 120 characters at most, or null."""
     block = F.regexp_extract(text, "^---\\r?\\n([\\s\\S]*?)\\r?\\n---", 1)
-    name = F.regexp_replace(F.trim(F.regexp_extract(block, "(?m)^name:[ \\t]*(\\S[^\\r\\n]*)$", 1)), "^[\"']|[\"']\\z", "")
+    name = F.regexp_replace(F.trim(F.regexp_extract(block, "(?m)^name:\\s*(.+)$", 1)), "^[\"']|[\"']\\z", "")
     return F.nullif(F.left(name, F.lit(120)), F.lit(""))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regexes import before_first, java, matches
+from ..functions.frontmatter import entries, frontmatter
+from ..functions.regexes import before_first, java, let, matches
 from ..plans import prose as P
 from ..plans import signals as S
 from . import findings as FN
@@ -16,25 +17,23 @@ from . import urls as U
 _SERVER = "map<string,struct<command:string,args:array<string>,url:string,env:map<string,string>>>"
 SERVERS = f"mcpServers {_SERVER}, servers {_SERVER}, context_servers {_SERVER}, mcp struct<servers:{_SERVER}>"
 CARD = "url string, endpoints array<string>, endpoint string, securitySchemes string, authentication string, security string, auth string, skills array<struct<url:string>>"
+# Runners of packages, and words of theirs that are no package.
 RUNNERS = ["npx", "npm", "pnpm", "yarn", "bunx", "bun"]
 SKIPPED = ["exec", "dlx", "run", "install", "add", "create", "-y", "--yes"]
 
 
+# The fields that grant tools, in the order read.
+GRANTS = ["allowed-tools", "tools", "allowedTools"]
+
+
 def tool_grants(text: Column) -> Column:
     """Tools that a frontmatter grants, from inline values and lists."""
-    block = F.regexp_extract(text, "^\\x{FEFF}?---\\r?\\n([\\s\\S]*?)\\r?\\n---", 1)
-    clean = lambda t: F.regexp_replace(F.trim(t), "^[\"']|[\"']\\z", "")
-    out = []
-    for key in ("allowed-tools", "tools", "allowedTools"):
-        inline = F.regexp_extract(block, f"(?m)^{key}[ \\t]*:[ \\t]*(\\S.*)$", 1)
-        listed = F.regexp_extract(block, f"(?m)^{key}[ \\t]*:[ \\t]*\\r?\\n((?:[ \\t]*-[ \\t]+.*(?:\\r?\\n|\\z))+)", 1)
-        out += [F.split(F.regexp_replace(inline, "^\\[|\\]\\z", ""), ","), F.regexp_extract_all(listed, F.lit("-[ \\t]+([^\\r\\n]*)"), F.lit(1))]
-    return F.filter(F.transform(F.concat(*out), clean), lambda t: t != "")
+    return let(frontmatter(text), lambda data: F.concat(*[entries(data, k) for k in GRANTS]))
 
 
 def grant_findings(text: Column) -> Column:
     grants = tool_grants(text)
-    wild = F.exists(grants, lambda t: F.lower(t).isin("*", "all", "any"))
+    wild = F.exists(grants, lambda t: F.regexp_replace(F.lower(t), "^[\"']|[\"']\\z", "").isin("*", "all", "any"))
     high = F.filter(F.transform(grants, lambda t: F.lower(F.trim(F.split(t, "[(:\\s]", 2)[0]))), lambda t: t.isin(*P.HIGH_IMPACT_TOOLS))
     broad = F.concat(F.lit("Broad tool grant ("), F.size(high), F.lit(" high-impact tools: "), F.array_join(F.slice(F.array_distinct(high), 1, 5), ", "), F.lit(")"))
     return FN.gather([

@@ -193,7 +193,7 @@ j AS (SELECT *, regexp_replace(regexp_replace(text, '/\\*[\\s\\S]*?\\*/', '', 'g
 c AS (SELECT *, CASE WHEN kind <> 'hook' THEN text WHEN json_valid(bare) AND json_type(bare, '$.hooks') IN ('OBJECT', 'ARRAY') AND CAST(json_extract(CASE WHEN json_valid(bare) THEN bare END, '$.hooks') AS VARCHAR) NOT IN ('{{}}', '[]')
   THEN array_to_string(list_transform(string_split(json_pretty(json_extract(CASE WHEN json_valid(bare) THEN '{{"hooks":' || CAST(json_extract(CASE WHEN json_valid(bare) THEN bare END, '$.hooks') AS VARCHAR) || '}}' END, '$')), chr(10)),
     lambda x: repeat(' ', CAST((length(x) - length(ltrim(x, ' '))) // 2 AS INTEGER)) || ltrim(x, ' ')), chr(10)) END AS content FROM j),
-found AS (SELECT page_id, vendor, scope, kind, path, content, coalesce(nullif(regexp_replace(trim(regexp_extract(regexp_extract(content, '^---\\r?\\n([\\s\\S]*?)\\r?\\n---', 1), '(?m)^name:[ \\t]*(\\S[^\\r\\n]*)$', 1)), '^["'']|["'']$', '', 'g'), ''),
+found AS (SELECT page_id, vendor, scope, kind, path, content, coalesce(nullif(regexp_replace(trim(regexp_extract(regexp_extract(content, '^---\\r?\\n([\\s\\S]*?)\\r?\\n---', 1), '(?m)^name:\\s*(.+)$', 1)), '^["'']|["'']$', '', 'g'), ''),
   CASE kind WHEN 'skill' THEN split_part(path, '/', -2) WHEN 'hook' THEN base || ' · hooks' ELSE regexp_replace(base, '(?i)\\.(md|toml)$', '') END) AS name FROM c WHERE content IS NOT NULL)"""
 
 # ---- switches of settings and merged postures

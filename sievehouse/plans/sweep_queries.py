@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frontmatter import frontmatter
 from ..operators import sweep
 from . import queries as Q
 from .frame_queries import _picked, _picked_sql
@@ -115,8 +116,35 @@ v AS (SELECT * FROM c WHERE depth <= {sweep.MOST_DEPTH} AND NOT list_has_any(res
 n AS (SELECT *, row_number() OVER (PARTITION BY machine ORDER BY ord, root, depth, rest) AS place FROM v)
 SELECT machine, root, path, depth, place FROM n WHERE place <= 200"""
 
-QUERIES = {"artifact_activation": artifact_activation, "artifact_available": artifact_available, "artifact_budget": artifact_budget, "walk_directories": walk_directories}
+_FRONT = [
+    "---\nname: 'One'\ntools: Bash, Read\n---", "---\r\ntools:\r\n  - Bash\r\n# not this\r\n  - \"Web, Fetch\"\r\nmodel: x # y\r\n---", "---\ntools: [Bash, 'Read' ]\ntools:\nallowed-tools: '*'\n  nested: no\n---",
+    "no frontmatter", "---\nname: a: b\nallowedTools:\ntools: []\n- late\n---", "\ufeff---\ntools: Edit\n---", "---\ntools: open",
+]
+
+
+def frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of each document's frontmatter, one row each, its whole text below it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", _picked(_FRONT, F.col("doc_id")), "text").alias("text"))
+    rows = docs.select("doc_id", F.explode(F.map_entries(frontmatter(F.col("text")))).alias("e"))
+    return rows.select("doc_id", F.col("e.key").alias("field"), F.col("e.value.one").alias("one"), F.array_join("e.value.many", "|").alias("many"))
+
+
+_BARE_SQL = "regexp_replace({}, '^[\"'']|[\"'']$', '', 'g')"
+_FRONT_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract(concat_ws(chr(10), {_picked_sql(_FRONT, 'doc_id')}, text), '^\\x{{FEFF}}?---\\r?\\n([\\s\\S]*?)\\r?\\n---\\r?\\n?', 1) AS block FROM documents),
+u AS (SELECT doc_id, unnest(string_split_regex(block, '\\r?\\n')) AS x, generate_subscripts(string_split_regex(block, '\\r?\\n'), 1) AS place FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM u WHERE NOT regexp_matches(x, '^\\s*(#|$)')),
+k AS (SELECT *, nullif(regexp_extract(x, '^([A-Za-z0-9_.-]+)\\s*:\\s*(.*)$', 1), '') AS field, trim(regexp_extract(x, '^([A-Za-z0-9_.-]+)\\s*:\\s*(.*)$', 2)) AS value, {_BARE_SQL.format("trim(regexp_extract(x, '^\\s*-\\s+(.*)$', 1))")} AS entry, regexp_matches(x, '^\\s*-\\s+') AS dash FROM l),
+o AS (SELECT *, last_value(CASE WHEN NOT dash THEN field END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS owner FROM k),
+s AS (SELECT doc_id, n, owner, dash, value, entry, max(CASE WHEN NOT dash AND field IS NOT NULL AND value <> '' THEN n ELSE 0 END) OVER (PARTITION BY doc_id, owner ORDER BY n) AS since FROM o WHERE owner IS NOT NULL AND (dash OR field IS NOT NULL)),
+e AS (SELECT doc_id, owner, n, since, dash, entry, CASE WHEN NOT dash AND value <> '' AND NOT starts_with(value, '[') THEN {_BARE_SQL.format('value')} END AS one,
+  CASE WHEN NOT dash AND starts_with(value, '[') THEN list_filter(list_transform(string_split_regex(regexp_replace(value, '^\\[|\\]$', '', 'g'), '[,\\n]+'), lambda t: trim({_BARE_SQL.format('t')})), lambda t: t <> '') WHEN dash THEN [entry] END AS many FROM s),
+w AS (SELECT *, max(since) OVER (PARTITION BY doc_id, owner) AS newest FROM e),
+f AS (SELECT doc_id, owner, max(one) FILTER (n = newest) AS one, count(*) FILTER (dash) AS dashes, flatten(list(many ORDER BY n) FILTER (many IS NOT NULL)) AS many FROM w WHERE since = newest GROUP BY doc_id, owner)
+SELECT doc_id, owner AS field, CASE WHEN dashes = 0 THEN one END AS one, array_to_string(many, '|') AS many FROM f"""
+
+QUERIES = {"frontmatter_fields": frontmatter_fields, "artifact_activation": artifact_activation, "artifact_available": artifact_available, "artifact_budget": artifact_budget, "walk_directories": walk_directories}
 SQL = {
+    "frontmatter_fields": _FRONT_SQL,
     "artifact_activation": f"WITH {_ACTIVATION_CTE} SELECT * FROM d",
     "artifact_available": f"WITH {_ACTIVATION_CTE} SELECT folder, catalogue, count(*) AS n FROM d WHERE activation = 'available' GROUP BY ALL",
     "artifact_budget": _BUDGET_SQL,
