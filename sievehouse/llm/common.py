@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +48,23 @@ def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """The table written of what make returns, and its path; the tables that
+    were written on the way to it are deleted."""
+    begin = len(_WRITTEN)
+    df = written(make(), name)
+    for path in _WRITTEN[begin:-1]:
+        drop_path(df.sparkSession, path)
+    del _WRITTEN[begin:-1]
+    return df, _WRITTEN[-1]
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table that written or finished made."""
+    drop_path(spark, path)
+    _WRITTEN.remove(path)
+
+
 def drop_written(spark: SparkSession) -> int:
     """Deletes the tables that written made in this process, and returns their
     number. Call it once the results that read them are saved."""

@@ -67,18 +67,19 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = 0, page: str = "page_i
     )
 
 
-#: (largest payload, most records of one archive) by classes of payloads: an archive holds some
-#: 256 MB at most, or eight of the records above the last class.
-SIZES = [(1 << 14, 1 << 14), (1 << 20, 1 << 8), (1 << 31, 1 << 3)]
+#: (largest payload, most records of one archive, a power of two) by classes of payloads: an
+#: archive holds some 256 MB at most, or one record above the class before the last.
+SIZES = [(1 << 14, 1 << 14), (1 << 20, 1 << 8), (1 << 25, 1 << 3), (1 << 31, 1)]
+_ROW_BITS = (1 << 33) - 1
 
 
 def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> str:
     """Writes gzipped WARC/1.1 files, one or more a task, and returns the folder.
 
     A revisit holds the HTTP header but no payload. The text sink writes the
-    records; its line separator is the blank lines that end each record. Each
-    class of payload sizes has a subfolder, so that archives are bounded by
-    bytes; classes without a record are not written, but for the first.
+    records; its line separator is the blank lines that end each record. In one
+    pass, records go to subfolders by class of payload size and by the number
+    of their row in its task, so that archives are bounded by bytes.
     """
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     revisit = F.col("record_type") == "revisit"
@@ -99,10 +100,12 @@ def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:0
     text = F.concat(header, http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     bytes_kept = F.when(revisit, 0).otherwise(F.col("payload_bytes"))
     size_class = sum((bytes_kept > most).cast("int") for most, _ in SIZES[:-1])
-    there = {0} | {r[0] for r in records.select(size_class.alias("k")).distinct().collect()}
-    for k in sorted(there):
-        options = {"lineSep": END, "compression": "gzip", "maxRecordsPerFile": str(SIZES[k][1]), "zlib.compress.level": "BEST_SPEED"}
-        records.where(size_class == k).select(text.alias("value")).write.options(**options).text(f"{folder}/size-{k}")
+    bits = F.element_at(F.array(*[F.lit(n.bit_length() - 1) for _, n in SIZES]), size_class + 1)
+    # Rows of a task are numbered in its low bits, so a part has at most as many rows of a class as an archive may hold.
+    part = F.expr("shiftright(row, bits)")
+    rows = records.select(text.alias("value"), size_class.alias("size"), bits.alias("bits"), F.monotonically_increasing_id().bitwiseAND(_ROW_BITS).alias("row"))
+    options = {"lineSep": END, "compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+    rows.select("value", "size", part.alias("part")).write.partitionBy("size", "part").options(**options).text(folder)
     return folder
 
 
@@ -131,7 +134,8 @@ def read_archives(spark, folder: str) -> DataFrame:
     """One row for each record: page_id, record_type, payload_digest,
     payload_bytes (null for revisits), refers_to. Digest and length of a
     response are taken from the payload itself. An archive is held whole by
-    the task that reads it; write_archives bounds it by bytes."""
+    the task that reads it; write_archives bounds it by bytes, and a payload
+    above 32 MiB has an archive of its own."""
 
     def number(uri: str | None) -> int | None:
         value = (uri or "").rpartition(":")[2].rstrip(">")

@@ -98,6 +98,20 @@ def test_language_model_generalises_and_rejects(spark):
 # ---- WARC
 
 
+def test_archives_are_bounded_by_class(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SIZES", [(10, 4), (100, 2), (1 << 31, 1)])
+    rows = [(i, f"http://a/{i}", ("x" if i % 3 else "y" * 50 if i % 2 else "z" * 500) + str(i)) for i in range(60)]
+    records = warc.resolve_revisits(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2))
+    warc.write_archives(records, str(tmp_path / "a"))
+    seen = 0
+    for f in glob.glob(str(tmp_path / "a" / "size=*" / "*" / "*.gz")):
+        n = sum(1 for _ in warc.parse_archive(open(f, "rb").read()))
+        seen += n
+        assert 1 <= n <= {"size=0": 4, "size=1": 2, "size=2": 1}[f.split("/")[-3]]
+    assert seen == 60 and warc.read_archives(spark, str(tmp_path / "a")).count() == 60
+    assert warc.deduplicate_archives(spark.createDataFrame([], "page_id bigint, url string, html string"))[1].count() == 0
+
+
 def test_archives_round_trip_and_resolve_revisits(spark):
     rows = [(5, "http://a/\r\nx", "<p>é\r\n\r\nWARC/1.1\r\n"), (3, None, "same"), (9, "http://b", "same"), (7, "http://c", "same"), (1, "u", None), (2, "u", ""), (None, "u", "same"), (3, None, "same"), (8, "z", "y" * 100_000)]
     folder, headers = warc.deduplicate_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("payload", F.lit("clash")))
@@ -112,8 +126,8 @@ def test_archives_round_trip_and_resolve_revisits(spark):
         again = p is None or p > least[h or ""]
         want.append((p, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", least[h or ""] if again else None))
     assert got == sorted(want, key=str)
-    blocks = [b for f in glob.glob(folder.removeprefix("file:") + "/size-*/*.gz") for _, b in warc.parse_archive(open(f, "rb").read())]
-    assert len(blocks) == len(rows) and gzip.decompress(open(glob.glob(folder.removeprefix("file:") + "/size-*/*.gz")[0], "rb").read()).startswith(b"WARC/1.1\r\n")
+    blocks = [b for f in glob.glob(folder.removeprefix("file:") + "/size=*/*/*.gz") for _, b in warc.parse_archive(open(f, "rb").read())]
+    assert len(blocks) == len(rows) and gzip.decompress(open(glob.glob(folder.removeprefix("file:") + "/size=*/*/*.gz")[0], "rb").read()).startswith(b"WARC/1.1\r\n")
     assert warc.deduplicate_archives(spark.createDataFrame([], "page_id bigint, url string, html string"))[1].count() == 0
 
 
@@ -306,6 +320,18 @@ def test_contained_items_equal_brute_force(spark):
     assert decontam.contained_items(docs_of(spark, rows), item_df.limit(0)).count() == 0
 
 
+def test_sketches_leave_out_what_many_texts_hold(spark):
+    common = "which of the following is true of"
+    items = [(i, f"{common} {prose(700 + i, 9, 5000)}") for i in range(8)]
+    rows = [(i, f"{prose(i, 40, 5000)} {common} {prose(90 + i, 40, 5000)}") for i in range(80)] + [(500, f"{prose(3, 30, 5000)} {items[5][1]}")]
+    item_df = spark.createDataFrame(items, "item_id bigint, text string")
+    shingles = decontam.item_shingles(item_df)
+    in_texts = docs_of(spark, rows).select("doc_id", F.explode(F.array_distinct(decontam.shingle_hashes(F.col("text"), 5))).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    sketches = decontam.item_sketches(shingles, in_texts)
+    assert sketches.join(in_texts.where("n > 50"), "h").count() == 0 and sketches.select("item_id").distinct().count() == 8
+    assert [(r.doc_id, r.item_id) for r in decontam.contained_items(docs_of(spark, rows), item_df).collect()] == [(500, 5)]
+
+
 # ---- quality
 
 

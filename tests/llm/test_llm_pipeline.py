@@ -33,6 +33,10 @@ def test_stages_take_effect(spark, tmp_path):
         ids = library.encode(x.text, add_special_tokens=False).ids
         assert last[x.doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert {x.doc_id: x.ids_sha256 for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {k: v.ids_sha256 for k, v in last.items()}
+    from sievehouse.llm import common
+
+    common.drop_written(spark)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(last) and len(common._WRITTEN) == 1  # the last stage's input alone
     clash = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumn("score", F.lit("clash"))
     assert "score" in corpus_pipeline.STAGES[0][1](spark, clash, str(tmp_path)).columns
 
