@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievehouse.llm import bpe, decontam, langid, pii, simhash
-from sievehouse.llm.common import table, written
+from sievehouse.llm.common import drop_table, finished, table
 from sievehouse.llm.queries import vocabulary
 
 #: A document goes if its language is undetermined or less likely than this.
@@ -66,8 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each is written and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents; each is written and read by the next.
+    A stage's input and its inner tables are deleted once its result is
+    written, so no table is left but the last stage's input."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
+        kept, written = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
+        if path:
+            drop_table(spark, path)
+        docs, path = kept, written
     return STAGES[-1][1](spark, docs, sf_dir)
