@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .regexes import let
+
 LINE_BREAK = "\\r?\\n"
 
 
@@ -38,13 +40,28 @@ def chunk_of(offset: Column, size: int = 1000) -> Column:
     return F.floor(offset / size).cast("int")
 
 
-def fenced(lines: DataFrame, by: list[str], line: str = "line", text: str = "line_text") -> DataFrame:
-    """lines with in_fence: whether a line delimits or is inside a fenced block."""
-    from pyspark.sql import Window as W
+def fenced_lines(text: Column) -> Column:
+    """Array of (line_text, in_fence) of a text's lines: whether a line
+    delimits or is inside a fenced block. The lines between two delimiters are
+    cut out together, so a long text costs no more than its length."""
+
+    def cut(lines: Column, marks: Column) -> Column:
+        def region(j: Column) -> Column:
+            begin, end = F.when(j == 0, 0).otherwise(F.get(marks, j - 1)), F.coalesce(F.get(marks, j), F.size(lines))
+            return F.transform(F.slice(lines, begin + 1, end - begin), lambda x, i: F.struct(x.alias("line_text"), ((j % 2 == 1) | ((i == 0) & (j > 0))).alias("in_fence")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(marks)), region))
+
+    mark = lambda x: F.trim(x).rlike("^(```|~~~)")
+    marks = lambda lines: F.array_compact(F.transform(lines, lambda x, i: F.when(mark(x), i)))
+    return let(lines_of(text), lambda lines: let(marks(lines), lambda m: cut(lines, m)))
+
 
-    mark = F.trim(F.col(text)).rlike("^(```|~~~)")
-    seen = F.sum(mark.cast("int")).over(W.partitionBy(*by).orderBy(line).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return lines.withColumn("in_fence", mark | (seen % 2 == 1))
+def explode_fenced(docs: DataFrame, text: str = "text") -> DataFrame:
+    """explode_lines with in_fence; nothing is shuffled."""
+    rest = [c for c in docs.columns if c not in (text, "line", "line_text", "in_fence")]
+    rows = docs.select(*rest, F.posexplode(fenced_lines(F.col(text))).alias("line", "x"))
+    return rows.select(*rest, (F.col("line") + 1).alias("line"), "x.line_text", "x.in_fence")
 
 
 #: What opens a region that is not live text, and how each region ends. 1: quoted, 2: concealed from a reader.

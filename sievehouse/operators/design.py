@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.regexes import java, matches
-from ..functions.text import explode_lines, fenced
+from ..functions.text import explode_fenced
 from ..plans import prose as P
 from . import findings as FN
 
@@ -44,7 +44,7 @@ def path_severity(source: Column, sink: Column) -> Column:
 def evidence(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, cap, what, line, quote, match, score): the first line for each
     capability noun, outside fences and disclaimers."""
-    lines = fenced(explode_lines(docs.select(key, text), text), [key])
+    lines = explode_fenced(docs.select(key, text), text)
     t = F.trim(F.col("line_text"))
     prose = lines.where(~F.col("in_fence") & (t != "") & (t != "---") & ~t.rlike("^\\|[\\s\\-:|]+\\|\\z") & ~matches(F.col("line_text"), P.DISCLAIMER, True))
     cites = F.array_compact(

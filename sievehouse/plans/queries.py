@@ -374,8 +374,7 @@ def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = X.fenced(X.explode_lines(overlaid(spark, sf_dir)), ["doc_id"])
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("in_fence").alias("n_fenced"), F.max(F.length("line_text")).cast("long").alias("longest"))
+    return X.explode_fenced(overlaid(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("in_fence").alias("n_fenced"), F.max(F.length("line_text")).cast("long").alias("longest"))
 
 
 _LINES_SQL = "l AS (SELECT doc_id, unnest(lines) AS line_text, generate_subscripts(lines, 1) AS line FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS lines FROM docs))"

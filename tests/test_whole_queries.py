@@ -131,3 +131,23 @@ def test_all_modules_of_an_import_count(spark):
 
     df = spark.createDataFrame([("a.py", "import os, openai\nimportant = 1\nfrom langchain.llms import x"), ("b.py", None), ("c.py", "")], "file string, text string")
     assert sorted((r.provider, r.line, r.via) for r in usage.sightings(df).collect()) == [("langchain", 3, "langchain.llms"), ("openai", 1, "openai")]
+
+
+def test_fences_are_cut_in_the_row(spark):
+    import random
+
+    from sievehouse.functions import text as X
+
+    r = random.Random(2)
+    texts = ["\n".join(r.choice(["```", "  ~~~x", "a", "", "``", "x ```"]) for _ in range(r.randrange(0, 12))) for _ in range(300)] + [None, "", "```\n" * 4000, "a\r\n```\r\nb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    lines = X.explode_fenced(df)
+    want = set()
+    for i, t in enumerate(texts):
+        inside = False
+        for n, line in enumerate((t or "").replace("\r\n", "\n").split("\n"), 1):
+            mark = line.strip(" ").startswith(("```", "~~~"))
+            inside ^= mark
+            want.add((i, n, line, mark or inside))
+    assert {tuple(x) for x in lines.collect()} == want
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
