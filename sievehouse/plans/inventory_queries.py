@@ -271,22 +271,32 @@ _RULES = ["# generated", "f1*0", "**/f*7 :: aws", ""]
 _ALLOWED = ("database url",)
 
 
-def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files with their credentials; every third has a marker on the line above its snippet, and every 60th opts out at its head."""
+_OLD_HEAD = "older notes\n\n"
+
+
+def _scanned(spark: SparkSession, sf_dir: str, older: bool = False) -> DataFrame:
+    """Documents as files with their credentials; every third has a marker on
+    the line above its snippet, and every 60th opts out at its head. An older
+    version has two more lines on top, and half of the files lack their snippet."""
     docs = Q._dealt(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     snippet = F.coalesce(F.get(F.array(*map(F.lit, Q.OVERLAY)), F.pmod("doc_id", F.lit(Q.SLOTS)).cast("int")), F.lit(""))
     head = F.when(F.pmod("doc_id", F.lit(60)) == 2, f"// {policy.MARKER}-file\n").otherwise("")
     mark = F.when(F.pmod("doc_id", F.lit(3)) == 0, f"\n# {policy.MARKER}\n").otherwise("\n")
+    if older:
+        head, snippet = F.concat(F.lit(_OLD_HEAD), head), F.when(F.pmod("doc_id", F.lit(4)) < 2, snippet).otherwise("")
     docs = docs.select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.concat(head, "text", mark, snippet).alias("text"))
     found = scan.scan_documents(docs, ("secret",), masked=False)
     kept = F.filter(policy.unmarked(F.col("findings"), F.col("text")), lambda x: ~policy.ignored(F.col("path"), x["label"], _RULES))
     return found.withColumn("findings", kept).select("doc_id", "path", "findings")
 
 
+def _finding_rows(scanned: DataFrame) -> DataFrame:
+    return scanned.select("doc_id", "path", F.explode_outer("findings").alias("f")).where("f is not null").select("doc_id", "path", "f.label", "f.severity", "f.category", "f.line")
+
+
 def policy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Credentials that no marker, ignore rule or baseline silences; the baseline is that of the documents with even halves of their id."""
-    rows = _scanned(spark, sf_dir).select("doc_id", "path", F.explode_outer("findings").alias("f")).where("f is not null").select("doc_id", "path", "f.label", "f.severity", "f.category", "f.line")
-    return policy.since_baseline(rows, rows.where("doc_id % 4 < 2")).select("doc_id", "label", "severity", "line")
+    """Credentials that no marker or ignore rule silences, and that an older version of the files, with its lines elsewhere, did not have."""
+    return policy.since_baseline(_finding_rows(_scanned(spark, sf_dir)), _finding_rows(_scanned(spark, sf_dir, older=True))).select("doc_id", "label", "severity", "line")
 
 
 def policy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,6 +311,12 @@ s AS ({' UNION ALL '.join(Q._secret_parts())}),
 placed AS (SELECT s.*, string_split_regex(text, '\\r?\\n') AS lines FROM s JOIN docs USING (doc_id)),
 kept AS (SELECT doc_id, label, severity, line FROM placed WHERE doc_id % 60 <> 2 AND NOT coalesce(contains(lines[line], '{policy.MARKER}'), false) AND NOT coalesce(line > 1 AND contains(lines[line - 1], '{policy.MARKER}'), false)
   AND NOT regexp_matches('f' || doc_id, '^f1.*0$') AND NOT (regexp_matches('f' || doc_id, '^f.*7$') AND contains(lower(label), 'aws')))"""
+_BASELINE_CTE = f"""docs_old AS (SELECT doc_id, {_quote(_OLD_HEAD)} || CASE WHEN doc_id % 60 = 2 THEN '// {policy.MARKER}-file' || chr(10) ELSE '' END || text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '# {policy.MARKER}' || chr(10) ELSE chr(10) END
+  || CASE WHEN doc_id % 4 < 2 THEN coalesce(list_extract([{', '.join(map(_quote, Q.OVERLAY))}], CAST(doc_id % {Q.SLOTS} AS INTEGER) + 1), '') ELSE '' END AS text FROM documents),
+s_old AS ({' UNION ALL '.join(Q._secret_parts()).replace('FROM docs', 'FROM docs_old')}),
+placed_old AS (SELECT s_old.*, string_split_regex(text, '\\r?\\n') AS lines FROM s_old JOIN docs_old USING (doc_id)),
+kept_old AS (SELECT DISTINCT doc_id, label FROM placed_old WHERE doc_id % 60 <> 2 AND NOT coalesce(contains(lines[line], '{policy.MARKER}'), false) AND NOT coalesce(line > 1 AND contains(lines[line - 1], '{policy.MARKER}'), false)
+  AND NOT regexp_matches('f' || doc_id, '^f1.*0$') AND NOT (regexp_matches('f' || doc_id, '^f.*7$') AND contains(lower(label), 'aws')))"""
 _TOTALS_SQL = f"""WITH {_POLICY_CTE},
 w AS (SELECT doc_id, max(CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 2 ELSE 1 END) AS worst FROM kept WHERE NOT contains(lower(label), '{_ALLOWED[0]}') GROUP BY doc_id)
 SELECT (SELECT count(*) FROM documents) AS scanned, count(*) FILTER (worst = 5) AS blocked, count(*) FILTER (worst IN (3, 4)) AS flagged FROM w"""
@@ -322,6 +338,6 @@ SQL = {
     "artifact_caps": f"WITH {_ARTIFACTS_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY page_id) AS nth FROM found) SELECT vendor, CASE WHEN nth = 11 THEN 'artifact-cap' ELSE 'kept' END AS reason, path FROM r WHERE nth <= 11",
     "settings_switches": _SWITCHES_SQL,
     "posture_merge": _POSTURE_SQL,
-    "policy_findings": f"WITH {_POLICY_CTE} SELECT doc_id, label, severity, line FROM kept k WHERE NOT doc_id % 4 < 2",
+    "policy_findings": f"WITH {_POLICY_CTE}, {_BASELINE_CTE} SELECT doc_id, label, severity, line FROM kept k ANTI JOIN kept_old USING (doc_id, label)",
     "policy_totals": _TOTALS_SQL,
 }
