@@ -63,6 +63,27 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tried.withColumnRenamed("seq", "event_id").join(kinds, "event_id").select("event_id", F.col("server").alias("user_id"), "skipped", c["action"].alias("action"), c["verified"].alias("verified"))
 
 
+def _parts_sql(parts: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({p}) AS t(doc_id, label, severity, category, line)" for p in parts)
+
+
+_LISTING_SQL = f"""WITH {Q._DOCS_SQL}, f AS ({_parts_sql([*Q._injection_parts(), *Q._secret_parts(), *Q._egress_parts()])}),
+bad AS (SELECT DISTINCT doc_id FROM f WHERE severity IN ('HIGH', 'CRITICAL')),
+n AS (SELECT DISTINCT doc_id % 10 AS session, doc_id % 100 AS tool FROM documents WHERE doc_id % 41 = 3),
+o AS (SELECT doc_id % 10 AS session, CASE WHEN (doc_id % 10, doc_id % 100) IN (SELECT (session, tool) FROM n) THEN 'denied' WHEN doc_id IN (SELECT doc_id FROM bad) THEN 'withheld' ELSE 'kept' END AS outcome FROM documents)
+SELECT session, count(*) AS total, count(*) FILTER (outcome = 'kept') AS kept, count(*) FILTER (outcome = 'withheld') AS withheld, count(*) FILTER (outcome = 'denied') AS denied FROM o GROUP BY session"""
+_CALLS_SQL = f"""WITH {Q._DOCS_SQL.replace('docs AS', 'base AS', 1)}, docs AS (SELECT doc_id, '{{"text":' || CAST(to_json(text) AS VARCHAR) || '}}' AS text FROM base), {Q._BLOBS_SQL},
+f AS ({_parts_sql([*Q._shell_parts(), *Q._injection_parts(), *Q._secret_parts()])}),
+g AS (SELECT doc_id, count(*) AS n, bool_or(severity = 'CRITICAL') AS worst, bool_or(severity = 'HIGH') AS high FROM f GROUP BY doc_id),
+v AS (SELECT doc_id, coalesce(n, 0) AS n_findings, coalesce(worst, false) AS refused, CASE WHEN worst THEN 'BLOCK' WHEN high THEN 'FLAG' ELSE 'ALLOW' END AS verdict, ['call', 'prompt', 'plan'][doc_id % 3 + 1] AS channel FROM docs LEFT JOIN g USING (doc_id))
+SELECT doc_id, refused, n_findings, channel, CASE WHEN channel = 'plan' THEN CASE WHEN verdict = 'ALLOW' THEN 'pass' ELSE 'inform' END WHEN channel = 'prompt' THEN CASE verdict WHEN 'BLOCK' THEN 'refuse' WHEN 'FLAG' THEN 'annotate' ELSE 'pass' END
+  ELSE CASE verdict WHEN 'BLOCK' THEN 'refuse' WHEN 'FLAG' THEN 'ask' ELSE 'pass' END END AS decision FROM v"""
+_CONNECTIONS_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT user_id, n, event_id, event_type, false AS skipped, CASE WHEN event_type = 'error' THEN ts + INTERVAL 1 HOUR ELSE ts END AS until FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, e.event_id, e.event_type, e.ts < s.until, CASE WHEN e.ts >= s.until AND e.event_type = 'error' THEN e.ts + INTERVAL 1 HOUR ELSE s.until END FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT event_id, user_id, skipped, CASE WHEN NOT skipped AND event_type = 'purchase' THEN 'refuse' WHEN NOT skipped AND event_type = 'signup' THEN 'warn' ELSE 'connect' END AS action, NOT skipped AND event_type <> 'error' AS verified FROM s"""
+
+
 # ---- inventories
 
 def local_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +201,9 @@ QUERIES = {
 
 SQL = {
     "reply_pairs": _REPLIES_SQL,
+    "listing_screen": _LISTING_SQL,
+    "call_screen": _CALLS_SQL,
+    "connections": _CONNECTIONS_SQL,
     "local_models": _LOCAL_SQL,
     "artifact_catalogues": _CATALOGUE_SQL,
     "skill_files": _SKILLS_SQL,
