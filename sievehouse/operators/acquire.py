@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +89,26 @@ def report_results(file: Column, found: Column) -> Column:
 def write_report(results: DataFrame, path: str, column: str = "result") -> None:
     """Writes result texts as lines of files; nothing is gathered in the driver."""
     results.select(F.col(column).alias("value")).where("value is not null").write.mode("overwrite").text(path)
+
+
+def write_report_files(results: DataFrame, folder: str, tool: str, result: str = "result") -> None:
+    """Whole reports: each task writes one file that is a valid document of the
+    static-analysis format, with the head, its results and the tail. One empty
+    report goes first, so there is always one; tasks without a row write none.
+    Results are not moved, null ones are left out, and a task holds one batch."""
+    head = json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool}}, "results": []}]})
+    before, after = head.rsplit("[]", 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda texts: pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+        yield line([before + "["])
+        began = False
+        for batch in batches:
+            texts = [x for x in batch.column(0).to_pylist() if x is not None]
+            if texts:
+                yield line([("," if began or i else "") + x for i, x in enumerate(texts)])
+                began = True
+        yield line(["]" + after])
+
+    first = results.sparkSession.range(0, 1, 1, 1).select(F.lit(None).cast("string").alias(result))
+    first.unionByName(results.select(result)).mapInArrow(run, "value string").write.text(folder)

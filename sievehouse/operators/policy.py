@@ -80,3 +80,57 @@ def totals(verdicts: DataFrame, verdict: str = "verdict") -> DataFrame:
     """One row (scanned, blocked, flagged) of a batch."""
     v = F.col(verdict)
     return verdicts.agg(F.count("*").alias("scanned"), F.count_if(v == "BLOCK").alias("blocked"), F.count_if(v == "FLAG").alias("flagged"))
+
+
+def _glob_columns(glob: Column) -> tuple[Column, Column]:
+    """(pattern, folder) of a glob: glob_pattern as a column, and the folder that every match lies below, as far as the glob spells it out."""
+    body = F.concat(glob, F.when(F.endswith(glob, F.lit("/")), "**").otherwise(""))
+    anchored = F.contains(F.regexp_replace(body, "[*/]+\\z", ""), F.lit("/"))
+    inner = F.regexp_replace(body, "^/", "")
+    piece = lambda t: (
+        F.when(t == "**/", "(?:.*/)?").when(t == "**", ".*").when(t == "*", "[^/]*").when(t == "?", "[^/]").otherwise(F.regexp_replace(t, "([^A-Za-z0-9/_-])", "\\\\$1"))
+    )
+    pieces = F.regexp_extract_all(inner, F.lit("\\*\\*/|\\*\\*|\\*|\\?|[^*?]+"), F.lit(0))
+    pattern = F.concat(F.lit("^"), F.when(anchored, "").otherwise("(?:.*/)?"), F.array_join(F.transform(pieces, piece), ""), F.lit("\\z"))
+    folder = F.regexp_extract(inner, "^([^*?]*)/", 1)
+    return pattern, F.when(anchored, folder).otherwise("")
+
+
+def ignore_rules(files: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """(by, pattern, folder, title) of the rules in ignore files (by, text), one
+    a line, `glob` or `glob :: part of a title`. Blank lines, comments and null
+    texts have none; a rule that several files state counts once."""
+    lines = files.select(*by, F.explode(lines_of(F.col(text))).alias("rule")).withColumn("rule", F.trim(F.col("rule"), F.lit(" \t\r")))
+    rules = lines.where((F.col("rule") != "") & ~F.col("rule").startswith("#"))
+    glob, at = F.trim(F.split("rule", "::", 2)[0]), F.instr("rule", "::")
+    title = F.when(at > 0, F.lower(F.trim(F.substring(F.col("rule"), at + 2, F.length("rule"))))).otherwise("")
+    pattern, folder = _glob_columns(F.col("glob"))
+    return rules.select(*by, glob.alias("glob"), title.alias("title")).select(*by, pattern.alias("pattern"), folder.alias("folder"), "title").distinct()
+
+
+def without_ignored(found: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
+    """found (by, path, label, ...) without the findings that a rule of theirs
+    names. Rules are data, not conditions of the plan: a path meets the rules
+    whose folder is one of those above it, by an equality, and is then matched.
+    Null paths and labels are never ignored."""
+    names = found.select(*by, "path", "label").where("path is not null").distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    near = names.select(*by, "path", "label", F.explode(F.array_distinct(above)).alias("folder")).join(rules, [*by, "folder"])
+    titled = (F.col("title") == "") | F.contains(F.lower("label"), F.col("title"))
+    hit = near.where(F.regexp_like("path", F.col("pattern")) & titled).select(*by, "path", "label").distinct()
+    return found.join(hit, [*by, "path", "label"], "left_anti").select(*found.columns)
+
+
+def baseline_file(found: DataFrame, by: list[str]) -> DataFrame:
+    """(by, text): a baseline of each repository's findings as JSON, their keys in order."""
+    key = finding_key(F.col("path"), F.col("category"), F.col("label"))
+    return found.groupBy(*by).agg(F.to_json(F.struct(F.array_sort(F.collect_set(key)).alias("findings"))).alias("text"))
+
+
+def since_baseline_files(found: DataFrame, files: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """found without the findings whose keys the baseline files (by, text) of
+    their repository list. Unreadable files list none."""
+    listed = files.select(*by, F.explode(F.from_json(text, "findings array<string>")["findings"]).alias("__key")).distinct()
+    keyed = found.withColumn("__key", finding_key(F.col("path"), F.col("category"), F.col("label")))
+    return keyed.join(listed, [*by, "__key"], "left_anti").select(*found.columns)

@@ -299,6 +299,23 @@ def policy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.since_baseline(_finding_rows(_scanned(spark, sf_dir)), _finding_rows(_scanned(spark, sf_dir, older=True))).select("doc_id", "label", "severity", "line")
 
 
+_GLOBS = ["src/%k/f%i.py", "# src/%k/*\nsrc/%k/ :: aws", "**/f%i* :: Database", "f%i.py", "\n", "/src/?/f%i.py", "src/%k/*.py :: no such title", "lib/**"]
+_REPOS = 13
+
+
+def _named(text: Column, n: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("%k"), (n % 50).cast("string")), F.lit("%i"), n.cast("string"))
+
+
+def policy_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials of 13 repositories that no rule of their ignore files names; each document brings an ignore file of its repository that is about the next one."""
+    n = F.col("doc_id")
+    found = scan.scan_documents(Q.overlaid(spark, sf_dir), ("secret",), masked=False).select((n % _REPOS).alias("repo"), "doc_id", _named(F.lit("src/%k/f%i.py"), n).alias("path"), F.explode_outer("findings").alias("f"))
+    found = found.where("f is not null").select("repo", "doc_id", "path", "f.label", "f.category", "f.line")
+    files = _table(spark, sf_dir, "documents").select((n % _REPOS).alias("repo"), _named(_picked(_GLOBS, F.floor(n / _REPOS)), n + _REPOS).alias("text"))
+    return policy.without_ignored(found, policy.ignore_rules(files, ["repo"]), ["repo"]).select("repo", "path", "label", "line")
+
+
 def policy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents a policy blocks and flags."""
     verdict = policy.policy_verdict(F.col("findings"), "critical", "medium", _ALLOWED)
@@ -321,13 +338,21 @@ _TOTALS_SQL = f"""WITH {_POLICY_CTE},
 w AS (SELECT doc_id, max(CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 2 ELSE 1 END) AS worst FROM kept WHERE NOT contains(lower(label), '{_ALLOWED[0]}') GROUP BY doc_id)
 SELECT (SELECT count(*) FROM documents) AS scanned, count(*) FILTER (worst = 5) AS blocked, count(*) FILTER (worst IN (3, 4)) AS flagged FROM w"""
 
+_IGNORED_SQL = f"""WITH {Q._DOCS_SQL}, s AS (SELECT * FROM ({' UNION ALL '.join(Q._secret_parts())})),
+f AS (SELECT doc_id % {_REPOS} AS repo, doc_id, 'src/' || doc_id % 50 || '/f' || doc_id || '.py' AS path, label, line FROM s),
+r AS (SELECT doc_id % {_REPOS} AS repo, doc_id // {_REPOS} % {len(_GLOBS)} AS kind, CAST(doc_id + {_REPOS} AS VARCHAR) AS i, CAST((doc_id + {_REPOS}) % 50 AS VARCHAR) AS k FROM documents),
+g AS (SELECT DISTINCT repo, CASE kind WHEN 0 THEN '^src/' || k || '/f' || i || '\\.py$' WHEN 1 THEN '^src/' || k || '/.*$' WHEN 2 THEN '^(.*/)?f' || i || '[^/]*$' WHEN 3 THEN '^(.*/)?f' || i || '\\.py$' WHEN 5 THEN '^src/[^/]/f' || i || '\\.py$'
+  WHEN 6 THEN '^src/' || k || '/[^/]*\\.py$' WHEN 7 THEN '^lib/.*$' END AS pattern, CASE kind WHEN 1 THEN 'aws' WHEN 2 THEN 'database' WHEN 6 THEN 'no such title' ELSE '' END AS title FROM r WHERE kind <> 4)
+SELECT repo, path, label, line FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.repo = f.repo AND regexp_matches(f.path, g.pattern) AND contains(lower(f.label), g.title))"""
+
 QUERIES = {
-    "dependency_rollup": dependency_rollup, "environment_keys": environment_keys, "vector_clients": vector_clients, "vector_endpoints": vector_endpoints, "inventory_assets": inventory_assets,
+    "policy_ignored": policy_ignored, "dependency_rollup": dependency_rollup, "environment_keys": environment_keys, "vector_clients": vector_clients, "vector_endpoints": vector_endpoints, "inventory_assets": inventory_assets,
     "artifact_inventory": artifact_inventory, "artifact_kinds": artifact_kinds, "artifact_caps": artifact_caps, "settings_switches": settings_switches, "posture_merge": posture_merge,
     "policy_findings": policy_findings, "policy_totals": policy_totals,
 }
 
 SQL = {
+    "policy_ignored": _IGNORED_SQL,
     "dependency_rollup": f"WITH {_FILES_SQL}, {_USED_CTE} SELECT ecosystem, package, count(*) AS n_manifests, array_to_string(list_sort(list(path))[1:10], ',') AS manifests FROM used GROUP BY ALL",
     "environment_keys": f"WITH {_FILES_SQL}, {_KEYS_CTE} SELECT * FROM found",
     "vector_clients": f"WITH {_FILES_SQL}, {_CLIENTS_CTE} SELECT * FROM clients",
