@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.spans import sum_before
 from ..operators import findings as FN
 from ..operators.scan import scan, scan_documents
 
@@ -77,13 +78,30 @@ def connect_decision(decision: Column, reachable: Column, configured: Column, sk
     return F.struct(action.alias("action"), (asked & reachable).alias("verified"))
 
 
+def _sessions(rows: DataFrame, micros: int) -> DataFrame:
+    """rows (server, at, seq, ...) with session: how many pauses of so many
+    microseconds or more lie before or at a row of its server. Times are cut
+    into spans, so no window holds all rows of one server."""
+    span = max(64 * micros, 3_600_000_000)
+    rows = rows.withColumn("__cut", F.floor(F.col("at") / span))
+    last = rows.groupBy("server", "__cut").agg(F.max("at").alias("__last"))
+    before = F.max("__last").over(W.partitionBy("server").orderBy("__cut").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.join(last.select("server", "__cut", before.alias("__before")), ["server", "__cut"])
+    earlier = F.coalesce(F.lag("at").over(W.partitionBy("server", "__cut").orderBy("at", "seq")), "__before")
+    rows = rows.withColumn("__pause", F.coalesce(F.col("at") - earlier >= micros, F.lit(True)).cast("int")).drop("__cut", "__before")
+    counted = sum_before(rows, ["server"], F.col("at"), ["at", "seq"], "__pause", "__n", span)
+    return counted.withColumn("session", F.col("__n") + F.col("__pause")).drop("__n", "__pause")
+
+
 def break_circuit(attempts: DataFrame, server: str, ts: str, seq: str, reachable: str, cooldown: float = COOLDOWN_SECONDS) -> DataFrame:
     """(server, ts, seq, reachable, skipped): an attempt is skipped for cooldown
-    seconds after a failure of one that was made. Whether an attempt counts
-    depends on all before it, so a server's rows pass in order, a batch at a
-    time, with one time as the state. Rows without a time or a server are left
-    out; an unknown reachability is a failure."""
+    seconds after a failure of one that was made. After a pause of that length
+    nothing is left of what was before, so a server's attempts are cut there,
+    and each session passes in order, a batch at a time, with one time as the
+    state. Rows without a time or a server are left out; an unknown
+    reachability is a failure."""
     rows = attempts.select(F.col(server).alias("server"), F.col(ts).alias("ts"), F.col(seq).alias("seq"), F.coalesce(reachable, F.lit(False)).alias("reachable"))
+    schema = rows.withColumn("skipped", F.lit(False)).schema
     rows = rows.where("server is not null and ts is not null").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     micros = int(cooldown * 1_000_000)
 
@@ -91,17 +109,16 @@ def break_circuit(attempts: DataFrame, server: str, ts: str, seq: str, reachable
         current, until = None, 0
         for batch in batches:
             skipped = []
-            for name, at, ok in zip(batch["server"], batch["at"].tolist(), batch["reachable"]):
-                if name != current:
-                    current, until = name, at
+            for name, session, at, ok in zip(batch["server"], batch["session"], batch["at"].tolist(), batch["reachable"]):
+                if (name, session) != current:
+                    current, until = (name, session), at
                 skip = at < until
                 if not skip and not ok:
                     until = at + micros
                 skipped.append(skip)
-            yield batch.drop(columns="at").assign(skipped=skipped)
+            yield batch[["server", "ts", "seq", "reachable"]].assign(skipped=skipped)
 
-    schema = rows.drop("at").withColumn("skipped", F.lit(False)).schema
-    return rows.repartition("server").sortWithinPartitions("server", "at", "seq").mapInPandas(run, schema)
+    return _sessions(rows, micros).repartition("server", "session").sortWithinPartitions("server", "session", "at", "seq").mapInPandas(run, schema)
 
 
 def channel_decision(channel: Column, verdict: Column) -> Column:

@@ -149,3 +149,19 @@ def test_corpus_and_report(spark, tmp_path):
     assert set(place) == {"f0", "f1", "f3"} and place["f0"] == 601
     assert len(read) == out.select(F.sum(F.size("findings"))).first()[0]
     assert rows(acquire.changed_only(docs, spark.createDataFrame([("f1",), ("f1",), (None,)], "path string")), "path") == [("f1",)]
+
+
+def test_breakers_of_cut_servers_equal_one_fold(spark):
+    r = random.Random(11)
+    for cooldown in (0.0, 30.0, 5000.0):
+        events = [(r.choice(["a", "a", "a", "b", None]), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=r.choice([r.randrange(600), r.randrange(400_000)])), i, r.choice([True, False, None])) for i in range(700)]
+        df = spark.createDataFrame([*events, ("a", None, 9999, True)], "server string, ts timestamp, seq bigint, ok boolean")
+        got = {x.seq: x.skipped for x in channels.break_circuit(df, "server", "ts", "seq", "ok", cooldown).collect()}
+        want = {}
+        for server in ("a", "b"):
+            until = None
+            for _, at, seq, ok in sorted((e for e in events if e[0] == server), key=lambda e: (e[1], e[2])):
+                want[seq] = until is not None and at < until
+                if not want[seq] and not ok:
+                    until = at + dt.timedelta(seconds=cooldown)
+        assert got == want
