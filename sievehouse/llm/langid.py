@@ -102,12 +102,14 @@ def _fit(examples: list[tuple], languages: list[str], idf: np.ndarray, epochs: i
     return model
 
 
-def train_language_model(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 800, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> LanguageModel | None:
+def train_language_model(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 800, most_languages: int = 256, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> LanguageModel | None:
     """Fits a model; None if no row has a language and a letter.
 
     Document frequencies cover all labelled rows. The weights are fitted on a
     bounded sample: about per_language rows of each language, chosen by a hash
-    of key and text. Rows with a null or empty language or without a letter
+    of key and text. The model has a column of weights for each language, so
+    only the most_languages most frequent ones are learned, ties by name; texts
+    in others are predicted as one of these. Rows with a null or empty language or without a letter
     are left out; repeated rows are repeated examples.
     """
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and lang != '' and text rlike '\\\\p{L}'")
@@ -127,10 +129,10 @@ def train_language_model(labelled: DataFrame, text: str = "text", lang: str = "l
         return None
     idf = np.array([np.log((1 + seen[-1]) / (1 + seen.get(b, 0))) + 1 for b in range(BUCKETS)])
 
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # the model has a column for each
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     draw = F.pmod(F.xxhash64("key", F.length("text"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    chosen = rows.where(draw * F.element_at(size, F.col("lang")) < per_language)
+    chosen = rows.where(draw * F.try_element_at(size, F.col("lang")) < per_language)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -286,6 +286,12 @@ def test_no_documents_no_repeats(spark):
     assert substrings.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_only_the_most_frequent_languages_are_learned(spark):
+    rows = [(i, prose(i, 30, 60), lang) for lang, n in (("en", 30), ("fr", 20), ("aa", 5), *((f"l{k}", 1) for k in range(40))) for i in range(n)]
+    df = spark.createDataFrame([(k, t, x) for k, (_, t, x) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    assert langid.train_language_model(df, most_languages=3).languages == ["aa", "en", "fr"]
+
+
 # ---- decontamination
 
 
