@@ -243,8 +243,9 @@ on_ AS (SELECT doc_id, place, regexp_replace(replace(regexp_replace(whole, '\\[(
 FROM n JOIN sw USING (name) WHERE (kind = 'BOOLEAN' AND CAST(v AS VARCHAR) = 'true') OR (kind = 'VARCHAR' AND CAST(v AS VARCHAR) IN ('"true"', '"always"')) OR (kind = 'ARRAY' AND json_array_length(v) > 0))"""
 _SWITCHES_SQL = f"WITH {_SETTINGS_CTE}, {_SWITCHES_CTE} SELECT doc_id, key, label, severity, value FROM on_"
 _LISTS = ("allow", "deny", "ask", "switches", "servers", "self_approved")
+_MERGED_CTE = "m AS (SELECT source AS machine, vendor, tier, doc_id AS ord, doc_id, raw, ok, CASE WHEN ok THEN doc ELSE '{}' END AS doc FROM js JOIN tiers USING (vendor))"
 _POSTURE_SQL = f"""WITH {_SETTINGS_CTE}, {_SWITCHES_CTE}, {_values('tiers(vendor, tier)', list(inventory.TIERS.items()))},
-m AS (SELECT source AS machine, vendor, tier, doc_id AS ord, raw, ok, CASE WHEN ok THEN doc ELSE '{{}}' END AS doc FROM js JOIN tiers USING (vendor)),
+{_MERGED_CTE},
 o AS (SELECT *, coalesce(json_extract_string(doc, '$.permissions.defaultMode'), json_extract_string(doc, '$.defaultMode')) AS mode, CAST(json_extract(doc, '$.enableAllProjectMcpServers') AS BOOLEAN) AS trust FROM m),
 e AS (SELECT machine, vendor, ord, 'allow' AS list, coalesce(json_extract(doc, '$.permissions.allow'), json_extract(doc, '$.allowedTools')) AS rules FROM m UNION ALL SELECT machine, vendor, ord, 'deny', json_extract(doc, '$.permissions.deny') FROM m
   UNION ALL SELECT machine, vendor, ord, 'ask', json_extract(doc, '$.permissions.ask') FROM m),
@@ -254,7 +255,7 @@ sv AS (SELECT machine, vendor, ord, k.key AS name, k.id AS place, coalesce(json_
     coalesce(CAST(json_extract(k.value, '$.disabled') AS BOOLEAN), false) AS disabled FROM m, json_each(coalesce(json_extract(doc, '$.mcpServers'), json_extract(doc, '$.servers'), json_extract(doc, '$.mcp.servers'))) k),
 s1 AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY machine, vendor, name ORDER BY ord, place) = 1),
 a AS (SELECT machine, vendor, list, rule, row_number() OVER (PARTITION BY machine, vendor, list ORDER BY spot) AS nth FROM f
-  UNION ALL SELECT machine, vendor, 'switches', key || '=' || value, row_number() OVER (PARTITION BY machine, vendor ORDER BY ord, place) FROM on_ JOIN m ON m.ord = on_.doc_id WHERE tier = 'flag'
+  UNION ALL SELECT machine, vendor, 'switches', key || '=' || value, row_number() OVER (PARTITION BY machine, vendor ORDER BY ord, place) FROM on_ JOIN m ON m.doc_id = on_.doc_id WHERE tier = 'flag'
   UNION ALL SELECT machine, vendor, 'servers', name, row_number() OVER (PARTITION BY machine, vendor ORDER BY ord, place) FROM s1
   UNION ALL SELECT machine, vendor, 'self_approved', name, row_number() OVER (PARTITION BY machine, vendor ORDER BY ord, place) FROM s1 WHERE approves AND NOT disabled),
 l AS (SELECT machine, vendor, {', '.join(f"string_agg(rule, ',' ORDER BY nth) FILTER (list = '{k}') AS {k}" for k in _LISTS)} FROM a

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import artifacts, gate, keys, models
+from ..operators import artifacts, gate, inventory, keys, machines, models
 from ..sources import files
 from . import inventory_queries as I
 from . import queries as Q
@@ -128,9 +128,47 @@ SELECT doc_id, model, repository, NOT regexp_matches(model, '^[@./]') AND NOT co
   ELSE NOT regexp_matches(model, '(?i){asset}') AND length(model) >= 2 AND regexp_matches(model, '[A-Za-z]') END AS bare, {host} AS host FROM r"""
 
 
+_MACHINES = 97
+
+
+def machine_postures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of 97 machines lets every vendor's agent do, from the settings each vendor reads there; documents are those files, the first of a place counts."""
+    n = F.col("doc_id")
+    at = F.element_at(F.array(*[F.struct(F.lit(b).alias("base"), F.lit(p).alias("path")) for _, b, p, _ in machines.SOURCES]), (F.pmod(F.floor(n / _MACHINES), F.lit(len(machines.SOURCES))) + 1).cast("int"))
+    rows = I._settings(spark, sf_dir).select("doc_id", (n % _MACHINES).alias("machine"), at["base"].alias("base"), at["path"].alias("path"), "text")
+    first = rows.groupBy("machine", "base", "path").agg(F.min("doc_id").alias("doc_id"))
+    files = rows.join(first, ["machine", "base", "path", "doc_id"], "left_semi")
+    return inventory.merge_postures(machines.posture_sources(rows, files), ["machine", "vendor"])
+
+
+_PLACED = f"""{I._values('src(vendor, base, path, scope, nth)', [(*x, str(i)) for i, x in enumerate(machines.SOURCES)])},
+own AS (SELECT *, doc_id % {_MACHINES} AS machine, doc_id // {_MACHINES} % {len(machines.SOURCES)} AS nth FROM js QUALIFY row_number() OVER (PARTITION BY machine, nth ORDER BY doc_id) = 1),
+want AS (SELECT machine, src.vendor, CAST(nth AS INTEGER) AS nth FROM (SELECT DISTINCT doc_id % {_MACHINES} AS machine FROM documents) x, src),
+m AS (SELECT w.machine, w.vendor, tier, w.nth AS ord, doc_id, raw, coalesce(ok, false) AS ok, CASE WHEN ok THEN doc ELSE '{{}}' END AS doc FROM want w JOIN tiers USING (vendor) LEFT JOIN own ON own.machine = w.machine AND own.nth = w.nth)"""
+_MACHINES_SQL = I._POSTURE_SQL.replace(I._MERGED_CTE, _PLACED)
+
+
+def machine_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistants, runtimes and agents of 40 machines: a page is a path that exists, and its address the name of a process."""
+    n = F.col("page_id")
+    places = [p for _, _, _, probes in machines.PROBES for p in probes] + [("home", "nothing")]
+    at = F.element_at(F.array(*[F.struct(F.lit(b).alias("base"), F.lit(p).alias("path")) for b, p in places]), (F.pmod(n, F.lit(len(places))) + 1).cast("int"))
+    pages = _table(spark, sf_dir, "pages").select((n % 40).alias("machine"), at["base"].alias("base"), at["path"].alias("path"), F.concat("url", _picked(_RUNNING, n)).alias("process"))
+    return machines.installed_tools(pages, pages)
+
+
+_RUNNING = ["", " Ollama", "", " LM Studio", "", "", " vLLM serve", " ninja", ""]
+_PLACES = [p for _, _, _, probes in machines.PROBES for p in probes] + [("home", "nothing")]
+_TOOLS_SQL = f"""WITH {I._values('probes(kind, vendor, name, base, path, nth)', [(k, v, n, b, p, str(i)) for k, v, n, ps in machines.PROBES for i, (b, p) in enumerate(ps)])},
+{I._values('tokens(vendor, token)', [(v, t) for v, ts in machines.PROCESSES.items() for t in ts])}, {I._values('names(vendor, name)', [(v, n) for k, v, n, _ in machines.PROBES if k == 'local-runtime'])},
+p AS (SELECT page_id % 40 AS machine, {_picked_sql([b for b, _ in _PLACES], 'page_id')} AS base, {_picked_sql([p for _, p in _PLACES], 'page_id')} AS path, lower(url || {_picked_sql(_RUNNING, 'page_id')}) AS process FROM pages),
+a AS (SELECT machine, kind, vendor, name, arg_min(probes.base || ':' || probes.path, CAST(nth AS INTEGER)) AS spot FROM p JOIN probes USING (base, path) GROUP BY ALL),
+r AS (SELECT DISTINCT machine, 'local-runtime' AS kind, vendor, name, true AS runs FROM p JOIN tokens ON contains(process, token) JOIN names USING (vendor))
+SELECT machine, kind, vendor, name, coalesce(spot, 'proc:' || vendor) AS identifier, CASE WHEN kind = 'local-runtime' THEN coalesce(runs, false) END AS running FROM a FULL JOIN r USING (machine, kind, vendor, name)"""
+
 QUERIES = {
-    "tree_files": tree_files, "vector_folders": vector_folders, "settings_states": settings_states, "process_variables": process_variables, "launched_packages": launched_packages, "model_names": model_names,
+    "machine_postures": machine_postures, "machine_tools": machine_tools, "tree_files": tree_files, "vector_folders": vector_folders, "settings_states": settings_states, "process_variables": process_variables, "launched_packages": launched_packages, "model_names": model_names,
 }
 SQL = {
-    "tree_files": _TREE_SQL, "vector_folders": _VECTORS_SQL, "settings_states": _STATES_SQL, "process_variables": _PROCESS_SQL, "launched_packages": _LAUNCH_SQL, "model_names": _models_sql(),
+    "machine_postures": _MACHINES_SQL, "machine_tools": _TOOLS_SQL, "tree_files": _TREE_SQL, "vector_folders": _VECTORS_SQL, "settings_states": _STATES_SQL, "process_variables": _PROCESS_SQL, "launched_packages": _LAUNCH_SQL, "model_names": _models_sql(),
 }
