@@ -24,6 +24,9 @@ PIP_LIBRARIES = [
     "sentence-transformers", "mistralai", "cohere", "groq", "huggingface-hub", "huggingface_hub", "ollama", "litellm", "guidance", "vllm", "crewai", "autogen", "pyautogen", "haystack-ai",
     "instructor", "dspy", "dspy-ai", "semantic-kernel", "replicate", "together", "chromadb", "qdrant-client", "pinecone-client", "pinecone", "faiss-cpu", "faiss-gpu", "tiktoken",
 ]
+# Libraries of clients of tool servers.
+NPM_CLIENTS, NPM_CLIENT_PREFIXES = ["mcp-use", "mcp-client"], ["@modelcontextprotocol/", "@mastra/mcp", "@langchain/mcp"]
+PIP_CLIENTS = ["mcp", "fastmcp", "mcp-use", "mcpadapt", "langchain-mcp-adapters"]
 # What can be read of each vendor's settings.
 TIERS = {"claude-code": "declared", "gemini": "declared", "codex": "declared", "cursor": "flag", "windsurf": "flag", "cline": "flag", "roo": "flag", "copilot": "flag", "aider": "none"}
 
@@ -35,10 +38,10 @@ def npm_packages(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*names)))
 
 
-def npm_library(package: Column) -> Column:
-    """Whether a package of a JSON manifest is a model library, by its name or its scope."""
-    out = package.isin(*NPM_LIBRARIES)
-    for prefix in NPM_PREFIXES:
+def npm_library(package: Column, names: list[str] = NPM_LIBRARIES, prefixes: list[str] = NPM_PREFIXES) -> Column:
+    """Whether a package of a JSON manifest is a library wanted, by its name or its scope."""
+    out = package.isin(*names)
+    for prefix in prefixes:
         out = out | package.startswith(prefix)
     return out
 
@@ -64,14 +67,47 @@ def first_paths(rows: DataFrame, by: list[str], most: int = MOST_MANIFESTS) -> D
     return counts.join(listed, by)
 
 
+def _dependencies(manifests: DataFrame, path: str, text: str, of_npm, of_pip) -> DataFrame:
+    npm = is_npm(F.col(path))
+    names = F.when(npm, F.filter(npm_packages(F.col(text)), of_npm)).otherwise(of_pip(F.col(text)))
+    used = manifests.select(F.when(npm, "npm").otherwise("pip").alias("ecosystem"), F.explode(names).alias("package"), F.col(path).alias("path")).distinct()
+    return first_paths(used, ["ecosystem", "package"])
+
+
 def dependency_assets(manifests: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(ecosystem, package, n_manifests, manifests) of the model libraries that
     manifests depend on, with their first manifests by path. A manifest named
     package.json is npm's, any other pip's; an unreadable or null one has none."""
-    npm = is_npm(F.col(path))
-    names = F.when(npm, F.filter(npm_packages(F.col(text)), npm_library)).otherwise(pip_libraries(F.col(text)))
-    used = manifests.select(F.when(npm, "npm").otherwise("pip").alias("ecosystem"), F.explode(names).alias("package"), F.col(path).alias("path")).distinct()
-    return first_paths(used, ["ecosystem", "package"])
+    return _dependencies(manifests, path, text, lambda p: npm_library(p), lambda t: pip_libraries(t))
+
+
+def client_assets(manifests: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """The same of the libraries that make a program a client of tool servers."""
+    return _dependencies(manifests, path, text, lambda p: npm_library(p, NPM_CLIENTS, NPM_CLIENT_PREFIXES), lambda t: pip_libraries(t, PIP_CLIENTS))
+
+
+_DECLARED = "map<string,variant>"
+
+
+def declared_servers(files: DataFrame, vendor: str = "vendor", path: str = "path", text: str = "text") -> DataFrame:
+    """(name, identifier, vendor, command, url, config_file, env) of the tool
+    servers that configuration files (vendor, path, text) declare.
+
+    identifier is the address, else the launch line, else the name; a server is
+    one for its name and identifier, and the first file by path shows it. env
+    has its names alone, in order. Comments are no JSON here: files that can't
+    be read, null ones and entries that are no object declare nothing."""
+    j = F.from_json(F.when(F.try_parse_json(text).isNotNull(), F.col(text)), f"mcpServers {_DECLARED}, servers {_DECLARED}, `mcp.servers` {_DECLARED}, mcp struct<servers:{_DECLARED}>, context_servers {_DECLARED}")
+    servers = F.coalesce(j["mcpServers"], j["servers"], j["mcp.servers"], j["mcp"]["servers"], j["context_servers"])
+    rows = files.select(F.col(vendor).alias("vendor"), F.col(path).alias("path"), F.explode(F.map_entries(servers)).alias("e")).where(F.schema_of_variant("e.value").startswith("OBJECT"))
+    v, full = F.col("e.value"), lambda c: F.nullif(c, F.lit(""))
+    field = lambda k, t="string": F.try_variant_get(v, f"$.{k}", t)
+    words = F.filter(F.concat(F.array(field("command")), F.coalesce(field("args", "array<string>"), F.array().cast("array<string>"))), lambda w: w.isNotNull() & (w != ""))
+    url = F.coalesce(full(field("url")), full(field("serverUrl")))
+    rows = rows.select("vendor", "path", F.col("e.key").alias("name"), F.array_join(words, " ").alias("command"), url.alias("url"), F.array_join(F.array_sort(F.map_keys(field("env", "map<string,variant>"))), ",").alias("env"))
+    rows = rows.withColumn("identifier", F.coalesce("url", full(F.col("command")), "name"))
+    first = rows.groupBy("name", "identifier").agg(F.min(F.struct("path", "vendor", "command", "url", "env")).alias("f"))
+    return first.select("name", "identifier", "f.vendor", "f.command", "f.url", F.col("f.path").alias("config_file"), F.coalesce("f.env", F.lit("")).alias("env"))
 
 
 def local_model(path: Column) -> Column:

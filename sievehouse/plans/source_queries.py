@@ -166,9 +166,54 @@ a AS (SELECT machine, kind, vendor, name, arg_min(probes.base || ':' || probes.p
 r AS (SELECT DISTINCT machine, 'local-runtime' AS kind, vendor, name, true AS runs FROM p JOIN tokens ON contains(process, token) JOIN names USING (vendor))
 SELECT machine, kind, vendor, name, coalesce(spot, 'proc:' || vendor) AS identifier, CASE WHEN kind = 'local-runtime' THEN coalesce(runs, false) END AS running FROM a FULL JOIN r USING (machine, kind, vendor, name)"""
 
+_SERVERS = [
+    '{"mcpServers": {"files": {"command": "npx", "args": ["-y", "", "@scope/files"], "env": {"B": "1", "A": "2"}}, "web": {"url": "https://a.example/m"}, "bad": "no"}}', '{"servers": {"web": {"serverUrl": "https://a.example/m", "url": ""}}}',
+    '{"mcp.servers": {"dot": {"command": "run"}}}', '{"mcp": {"servers": {"bare": {}}}}', '{"context_servers": {"files": {"command": "npx", "args": ["other"]}}}', '{"mcpServers": {"files": ', '{"mcpServers": {}, "servers": {"hidden": {"command": "x"}}}',
+]
+_CONFIGS = [".mcp.json", ".cursor/mcp.json", ".gemini/settings.json", ".zed/settings.json", ".vscode/mcp.json"]
+
+
+def servers_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool servers that configuration files declare; each document is one, with its whole text as a field."""
+    n = F.col("doc_id")
+    path = F.concat(F.lit("/w/"), F.lpad(n.cast("string"), 12, "0"), F.lit("/"), _picked(_CONFIGS, n))
+    files_ = _table(spark, sf_dir, "documents").select(path.alias("path"), I._packed(_picked(_SERVERS, n), F.col("text")).alias("text"))
+    return inventory.declared_servers(files_.withColumn("vendor", artifacts.vendor_of_path(F.col("path"))))
+
+
+_SERVERS_SQL = f"""WITH d AS (SELECT '/w/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '/' || {_picked_sql(_CONFIGS, 'doc_id')} AS path, {I._packed_sql(_picked_sql(_SERVERS, 'doc_id'), 'text')} AS text FROM documents),
+j AS (SELECT path, CASE WHEN json_valid(text) THEN coalesce(json_extract(text, '$.mcpServers'), json_extract(text, '$.servers'), json_extract(text, '$."mcp.servers"'), json_extract(text, '$.mcp.servers'), json_extract(text, '$.context_servers')) END AS m FROM d),
+e AS (SELECT j.path AS path, k.key AS name, k.value AS v FROM j, json_each(j.m) k WHERE json_type(k.value) = 'OBJECT'),
+r AS (SELECT path, name, array_to_string(list_filter(list_concat([json_extract_string(v, '$.command')], coalesce(CAST(json_extract(v, '$.args') AS VARCHAR[]), [])), lambda w: w IS NOT NULL AND w <> ''), ' ') AS command,
+  coalesce(nullif(json_extract_string(v, '$.url'), ''), nullif(json_extract_string(v, '$.serverUrl'), '')) AS url, coalesce(array_to_string(list_sort(json_keys(json_extract(v, '$.env'))), ','), '') AS env FROM e),
+i AS (SELECT *, coalesce(url, nullif(command, ''), name) AS identifier FROM r),
+f AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY name, identifier ORDER BY path) = 1)
+SELECT name, identifier, CASE WHEN contains(path, '/.cursor/') THEN 'cursor' WHEN contains(path, '/.gemini/') THEN 'gemini' WHEN contains(path, '/.zed/') THEN 'zed' WHEN contains(path, '/.vscode/') THEN 'vscode' ELSE 'project' END AS vendor,
+  command, url, path AS config_file, env FROM f"""
+
+
+_CLIENTS = ['{"dependencies": {"mcp-use": "1", "@modelcontextprotocol/sdk": "1", "mcp": "2"}}', '{"devDependencies": {"@mastra/mcp-client": "1"}}', '{"name": "x"}']
+_PIP_CLIENTS = ["fastmcp>=2\nmy-mcp", "mcp[cli]==1", "langchain_mcp", "deps = [\"langchain-mcp-adapters\"]"]
+
+
+def client_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Libraries that make programs clients of tool servers, with how many manifests depend on them and the first of them."""
+    n, number = F.col("doc_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    both = F.array(F.struct(F.concat(number, F.lit("/package.json")).alias("path"), I._packed(_picked(_CLIENTS, n), F.col("text")).alias("text")), F.struct(F.concat(number, F.lit("/pyproject.toml")).alias("path"), F.concat_ws("\n", "text", _picked(_PIP_CLIENTS, n)).alias("text")))
+    return inventory.client_assets(_table(spark, sf_dir, "documents").select(F.explode(both).alias("f")).select("f.path", "f.text"))
+
+
+_NPM_CLIENT_SQL = "(package IN (" + ", ".join(map(_quote, inventory.NPM_CLIENTS)) + ") OR " + " OR ".join(f"starts_with(package, '{p}')" for p in inventory.NPM_CLIENT_PREFIXES) + ")"
+_CLIENTS_SQL = f"""WITH n AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') || '/package.json' AS path, {I._packed_sql(_picked_sql(_CLIENTS, 'doc_id'), 'text')} AS text FROM documents),
+m AS (SELECT path, unnest([json_extract(text, '$.dependencies'), json_extract(text, '$.devDependencies')]) AS m FROM n WHERE json_valid(text)),
+w AS (SELECT DISTINCT path, unnest(json_keys(m)) AS package FROM m WHERE json_type(m) = 'OBJECT'),
+p AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') || '/pyproject.toml' AS path, string_split_regex(lower(concat_ws(chr(10), text, {_picked_sql(_PIP_CLIENTS, 'doc_id')})), '[^a-z0-9_.-]+') AS tokens FROM documents),
+u AS (SELECT DISTINCT 'npm' AS ecosystem, package, path FROM w WHERE {_NPM_CLIENT_SQL} UNION SELECT DISTINCT 'pip', unnest(list_intersect(tokens, [{', '.join(map(_quote, inventory.PIP_CLIENTS))}])), path FROM p)
+SELECT ecosystem, package, count(*) AS n_manifests, array_to_string(list_sort(list(path))[1:10], ',') AS manifests FROM u GROUP BY ALL"""
+
 QUERIES = {
-    "machine_postures": machine_postures, "machine_tools": machine_tools, "tree_files": tree_files, "vector_folders": vector_folders, "settings_states": settings_states, "process_variables": process_variables, "launched_packages": launched_packages, "model_names": model_names,
+    "servers_declared": servers_declared, "client_rollup": client_rollup, "machine_postures": machine_postures, "machine_tools": machine_tools, "tree_files": tree_files, "vector_folders": vector_folders, "settings_states": settings_states, "process_variables": process_variables, "launched_packages": launched_packages, "model_names": model_names,
 }
 SQL = {
-    "machine_postures": _MACHINES_SQL, "machine_tools": _TOOLS_SQL, "tree_files": _TREE_SQL, "vector_folders": _VECTORS_SQL, "settings_states": _STATES_SQL, "process_variables": _PROCESS_SQL, "launched_packages": _LAUNCH_SQL, "model_names": _models_sql(),
+    "servers_declared": _SERVERS_SQL, "client_rollup": _CLIENTS_SQL, "machine_postures": _MACHINES_SQL, "machine_tools": _TOOLS_SQL, "tree_files": _TREE_SQL, "vector_folders": _VECTORS_SQL, "settings_states": _STATES_SQL, "process_variables": _PROCESS_SQL, "launched_packages": _LAUNCH_SQL, "model_names": _models_sql(),
 }

@@ -41,3 +41,17 @@ def test_roots_are_expanded_in_order(spark):
     for most in (500, 4):
         out = machines.expanded_roots(given, table, homes, most=most).orderBy("ord").collect()
         assert [x.root for x in out] == want[:most] and [x.ord for x in out] == list(range(1, min(most, len(want)) + 1))
+
+
+def test_servers_and_clients(spark):
+    files = [
+        ("cursor", "b", '{"mcpServers": {"f": {"command": "npx", "args": ["-y", "", "@s/f"], "env": {"Z": "1", "A": 2}}, "n": null, "t": "x", "u": {"url": "https://u", "command": "no"}}}'), ("zed", "a", '{"context_servers": {"u": {"serverUrl": "https://u"}, "e": {}}}'),
+        ("v", "c", "{broken"), ("v", "d", None), ("v", "e", "[]"), ("v", "f", '{"servers": ["x"]}'), ("v", "g", '{"mcp.servers": {"q": {"args": ["only"]}}, "mcp": {"servers": {"no": {}}}}'),
+    ]
+    out = inventory.declared_servers(spark.createDataFrame(files, "vendor string, path string, text string"))
+    assert sorted(tuple(x) for x in out.collect()) == [
+        ("e", "e", "zed", "", None, "a", ""), ("f", "npx -y @s/f", "cursor", "npx -y @s/f", None, "b", "A,Z"), ("q", "only", "v", "only", None, "g", ""), ("u", "https://u", "zed", "", "https://u", "a", ""),
+    ]
+    manifests = [("x/package.json", '{"dependencies": {"@modelcontextprotocol/sdk": "1", "mcp": "1", "mcp-use": "1"}}'), ("y/Pipfile", "MCP = 1\nmy-mcp = 2"), ("z/requirements.txt", None)]
+    got = inventory.client_assets(spark.createDataFrame(manifests, "path string, text string")).collect()
+    assert sorted((x.ecosystem, x.package) for x in got) == [("npm", "@modelcontextprotocol/sdk"), ("npm", "mcp-use"), ("pip", "mcp")]
