@@ -5,8 +5,8 @@ import re
 
 import pytest
 
-from sievehouse.operators import acquire, usage
-from sievehouse.plans import more_queries, queries
+from sievehouse.operators import acquire, inventory, usage
+from sievehouse.plans import inventory_queries, more_queries, queries
 from sievehouse.plans import signals as S
 
 #: Ids whose documents get no snippet.
@@ -113,15 +113,19 @@ def test_rollup_has_the_first_sites(spark):
 
 
 def test_dependencies_are_read_from_the_text(spark, table):
-    own = ['prose\n{"dependencies": {"langchain": "1"}}\nopenai', "prose of torch\ntorch==2\n# transformers", "nothing", "nothing"]
+    own = ['prose\n{"dependencies": {"langchain": "1"}}\nopenai', "prose of tiktoken\nvLLM==2\n# transformers", "my-openai", "nothing"]
     sf_dir, docs = table(own)
-    even = [i for i in docs if i % 2 == 0]
-    want = {("npm", "langchain", f"{even[0]:012d}/package.json"), ("pip", "torch", f"{FREE[1]:012d}/requirements.txt")}
-    for i in docs:
-        where = f"{i:012d}/" + ("package.json" if i % 2 == 0 else "requirements.txt")
-        for slot, known in ((0, ["openai"]), (1, ["langchain"] if i % 2 == 0 else ["langchain", "openai"]), (2, ["openai", "@anthropic-ai/sdk"] if i % 2 == 0 else ["transformers"])):
-            want |= {("npm" if i % 2 == 0 else "pip", k, where) for k in known if i // 2 % 4 == slot}
-    got = more_queries.dependency_rollup(spark, sf_dir).collect()
+    want = set()
+    for i, text in docs.items():
+        manifest = json.loads(inventory_queries._NPM[i % 5])
+        for kind in inventory.DEPENDENCIES:
+            named = manifest.get(kind) or {}
+            want |= {("npm", k, f"{i:012d}/package.json") for k in named if isinstance(named, dict) and (k in inventory.NPM_LIBRARIES or k.startswith(tuple(inventory.NPM_PREFIXES)))}
+        snippets = inventory_queries._PIP + inventory_queries._LIST
+        whole = (text + "\n" + snippets[i % len(snippets)]).lower()
+        want |= {("pip", k, f"{i:012d}/{inventory_queries._NAMES[i % 5]}") for k in inventory.PIP_LIBRARIES if re.search(rf"(?<![a-z0-9_.-]){re.escape(k)}(?![a-z0-9_.-])", whole)}
+    assert any(k == "vllm" and where.startswith(f"{FREE[1]:012d}") for _, k, where in want)
+    got = inventory_queries.dependency_rollup(spark, sf_dir).collect()
     assert {(r.ecosystem, r.package, m) for r in got for m in r.manifests.split(",")} == want
     assert all(r.n_manifests == len(r.manifests.split(",")) for r in got)
 
