@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: A worker's cache holds at most so many words, or those of one run of texts.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 #: So many characters are encoded at once.
 TOGETHER = 1_500_000
 
