@@ -151,3 +151,15 @@ def rollup(found: DataFrame) -> DataFrame:
     site = F.struct("nth", "file", "line", "kind", "via", "code", "model")
     sites = first_sites(found).groupBy(*by).agg(F.array_sort(F.collect_list(site)).alias("sites"))
     return totals(found).join(sites, by)
+
+
+def in_shown_order(found: DataFrame, most: int = MOST_SITES) -> DataFrame:
+    """first_sites with provider_place and place: providers by label and files
+    by name as a reader sorts them (any case, then by case; accents and signs
+    after letters), in a file calls before imports, then by line. A provider's
+    sites are few by then, and providers are as many as the catalogue has."""
+    sites = first_sites(found, most)
+    alphabet = lambda c: F.collate(c, "UNICODE")
+    within = W.partitionBy("provider", "label", "category").orderBy(alphabet("file"), (F.col("kind") != "call").cast("int"), "line", "ord")
+    labels = sites.select("provider", "label", "category").distinct().withColumn("provider_place", F.row_number().over(W.orderBy(alphabet("label"), "provider", "category")))
+    return sites.withColumn("place", F.row_number().over(within)).join(F.broadcast(labels), ["provider", "label", "category"])

@@ -419,6 +419,11 @@ def provider_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.first_sites(_sightings(spark, sf_dir)).select("provider", "nth", "file", "line", "kind", "model")
 
 
+def provider_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sightings in the order in which they are shown: providers by label, files by name, calls first."""
+    return usage.in_shown_order(_sightings(spark, sf_dir)).select("provider_place", "provider", "place", "file", "line", "kind")
+
+
 def _provider_sql() -> str:
     quoted = f"regexp_extract_all(line_text, '{R.re2(usage.SPEC)}', 1)"
     specs = (
@@ -446,6 +451,13 @@ def _sites_sql() -> str:
     return f"{uses}\nSELECT provider, CAST(row_number() OVER (PARTITION BY provider ORDER BY file, line, ord) AS INTEGER) AS nth, file, CAST(line AS INTEGER) AS line, kind, model FROM u QUALIFY nth <= {usage.MOST_SITES}"
 
 
+def _order_sql() -> str:
+    uses = _provider_sql().partition("\nSELECT provider, label")[0]
+    return f"""{uses}, n AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY provider ORDER BY file, line, ord) <= {usage.MOST_SITES}),
+p AS (SELECT provider, row_number() OVER (ORDER BY lower(label), label DESC) AS provider_place FROM (SELECT DISTINCT provider, label FROM n))
+SELECT CAST(provider_place AS INTEGER) AS provider_place, provider, CAST(row_number() OVER (PARTITION BY provider ORDER BY file, CASE kind WHEN 'call' THEN 0 ELSE 1 END, line, ord) AS INTEGER) AS place, file, CAST(line AS INTEGER) AS line, kind FROM n JOIN p USING (provider)"""
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files: Python and script by turns of their id."""
     return overlaid(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 < 2, ".py").otherwise(".js")))
@@ -596,7 +608,7 @@ QUERIES = {
     "doc_verdict": doc_verdict, "top_finding": top_finding, "verdict_by_label": verdict_by_label, "shell_scan": shell_scan, "force_delete": force_delete, "inline_eval": inline_eval, "conceal_action": conceal_action,
     "secret_scan": secret_scan, "injection_scan": injection_scan, "pii_scan": pii_scan, "egress_scan": egress_scan, "setting_scan": setting_scan,
     "masked_verdict": masked_verdict, "memory_grade": memory_grade, "gate_verdict": gate_verdict, "line_stats": line_stats, "finding_context": finding_context,
-    "code_findings": code_findings, "code_chains": code_chains, "code_flows": code_flows, "source_scan": source_scan, "provider_rollup": provider_rollup, "provider_sites": provider_sites, "model_refs": model_refs, "design_paths": design_paths, "design_verdict": design_verdict,
+    "code_findings": code_findings, "code_chains": code_chains, "code_flows": code_flows, "source_scan": source_scan, "provider_rollup": provider_rollup, "provider_sites": provider_sites, "provider_order": provider_order, "model_refs": model_refs, "design_paths": design_paths, "design_verdict": design_verdict,
     "package_look_alikes": package_look_alikes, "url_risk": url_risk, "asset_clamp": asset_clamp,
     "gap_windows": gap_windows, "gap_compact": gap_compact, "gap_acknowledged": gap_acknowledged,
 }
@@ -618,6 +630,7 @@ SQL = {
     "finding_context": _context_sql(),
     "provider_rollup": _provider_sql(),
     "provider_sites": _sites_sql(),
+    "provider_order": _order_sql(),
     "design_paths": _paths_sql(),
     "design_verdict": _design_sql(),
     "package_look_alikes": _PACKAGES_SQL,

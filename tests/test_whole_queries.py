@@ -137,6 +137,13 @@ def test_all_modules_of_an_import_count(spark):
     assert sorted((r.provider, r.line, r.via) for r in usage.sightings(df).collect()) == [("langchain", 3, "langchain.llms"), ("openai", 1, "openai")]
 
 
+def test_sites_are_shown_by_name_and_calls_first(spark):
+    files = [("B.py", "import openai\nx = OpenAI(model='m')"), ("a.py", "import openai"), ("é.py", "import openai"), ("b.py", "from anthropic import x"), ("_c.py", "import openai")]
+    out = usage.in_shown_order(usage.sightings(spark.createDataFrame(files, "file string, text string"))).collect()
+    got = [(r.provider, r.file, r.kind) for r in sorted(out, key=lambda r: (r.provider_place, r.place))]
+    assert got == [("anthropic", "b.py", "import"), ("openai", "_c.py", "import"), ("openai", "a.py", "import"), ("openai", "B.py", "call"), ("openai", "B.py", "import"), ("openai", "é.py", "import")]
+
+
 def test_fences_are_cut_in_the_row(spark):
     import random
 
