@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_k
     removed; kept joins the other words by one space. Windows are judged on
     the input. Words are unchanged runs of anything but space and U+0009 to
     U+000D. A null text has no words; repeated rows are copies of each other;
-    other columns stay, those with the new names are replaced. Texts are
+    other columns stay, those with the new names are replaced. Texts
     and windows are identified by 96 bits of two hashes, words by 64 bits.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept")
