@@ -77,7 +77,7 @@ def server_findings(text: Column) -> Column:
 
 
 def card_findings(text: Column) -> Column:
-    """Addresses of an agent card by class, the first of each, and a card without authentication."""
+    """Addresses of a card by class, the first of each, and a card without authentication."""
     j = F.from_json(text, CARD)
     found = F.array_compact(F.concat(F.array(j["url"], j["endpoint"]), F.coalesce(j["endpoints"], F.array().cast("array<string>")), F.coalesce(F.transform(j["skills"], lambda s: s["url"]), F.array().cast("array<string>"))))
     web = F.filter(F.array_distinct(found), lambda u: U.host_of(u).isNotNull())

@@ -1,4 +1,4 @@
-"""Machines by what lies on them: tools, runtimes and agents by their folders and processes, settings by vendor, roots of work."""
+"""Machines by what lies on them: tools and runtimes by their folders and processes, settings by vendor, roots of work."""
 
 from __future__ import annotations
 
@@ -27,15 +27,15 @@ PROBES = [
     ("local-runtime", "localai", "LocalAI", [("home", ".localai")]),
     ("local-runtime", "textgen", "Text Generation WebUI", []),
     ("local-runtime", "vllm", "vLLM", []),
-    ("agent", "claude-code", "Claude Code", [("home", ".claude.json"), ("home", ".claude")]),
-    ("agent", "cursor", "Cursor", [("home", ".cursor")]),
-    ("agent", "windsurf", "Windsurf", [("home", ".codeium/windsurf")]),
-    ("agent", "gemini", "Gemini CLI", [("home", ".gemini")]),
-    ("agent", "codex", "OpenAI Codex CLI", [("home", ".codex")]),
-    ("agent", "copilot", "GitHub Copilot CLI", [("home", ".copilot")]),
-    ("agent", "cline", "Cline", [("code-user", "globalStorage/saoudrizwan.claude-dev")]),
-    ("agent", "roo", "Roo Code", [("code-user", "globalStorage/rooveterinaryinc.roo-cline")]),
-    ("agent", "aider", "Aider", [("home", ".aider.conf.yml"), ("cwd", ".aider.conf.yml"), ("home", ".aider")]),
+    ("autonomous", "claude-code", "Claude Code", [("home", ".claude.json"), ("home", ".claude")]),
+    ("autonomous", "cursor", "Cursor", [("home", ".cursor")]),
+    ("autonomous", "windsurf", "Windsurf", [("home", ".codeium/windsurf")]),
+    ("autonomous", "gemini", "Gemini CLI", [("home", ".gemini")]),
+    ("autonomous", "codex", "OpenAI Codex CLI", [("home", ".codex")]),
+    ("autonomous", "copilot", "GitHub Copilot CLI", [("home", ".copilot")]),
+    ("autonomous", "cline", "Cline", [("code-user", "globalStorage/saoudrizwan.claude-dev")]),
+    ("autonomous", "roo", "Roo Code", [("code-user", "globalStorage/rooveterinaryinc.roo-cline")]),
+    ("autonomous", "aider", "Aider", [("home", ".aider.conf.yml"), ("cwd", ".aider.conf.yml"), ("home", ".aider")]),
 ]
 # Parts of the names of processes that a runtime runs as.
 PROCESSES = {
@@ -70,7 +70,7 @@ def _probe_table(spark) -> DataFrame:
 
 def installed_tools(paths: DataFrame, processes: DataFrame, machine: str = "machine") -> DataFrame:
     """(machine, kind, vendor, name, identifier, running) of the assistants,
-    runtimes and agents on each machine.
+    runtimes and autonomous tools on each machine.
 
     paths is (machine, base, path) of what exists, processes (machine, process).
     A tool is found at the first of its probes that exists; a runtime also by a

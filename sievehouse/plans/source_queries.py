@@ -132,7 +132,7 @@ _MACHINES = 97
 
 
 def machine_postures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each of 97 machines lets every vendor's agent do, from the settings each vendor reads there; documents are those files, the first of a place counts."""
+    """What each of 97 machines lets every vendor do, from the settings each vendor reads there; documents are those files, the first of a place counts."""
     n = F.col("doc_id")
     at = F.element_at(F.array(*[F.struct(F.lit(b).alias("base"), F.lit(p).alias("path")) for _, b, p, _ in machines.SOURCES]), (F.pmod(F.floor(n / _MACHINES), F.lit(len(machines.SOURCES))) + 1).cast("int"))
     rows = I._settings(spark, sf_dir).select("doc_id", (n % _MACHINES).alias("machine"), at["base"].alias("base"), at["path"].alias("path"), "text")
@@ -149,7 +149,7 @@ _MACHINES_SQL = I._POSTURE_SQL.replace(I._MERGED_CTE, _PLACED)
 
 
 def machine_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistants, runtimes and agents of 40 machines: a page is a path that exists, and its address the name of a process."""
+    """Assistants, runtimes and autonomous tools of 40 machines: a page is a path that exists, and its address the name of a process."""
     n = F.col("page_id")
     places = [p for _, _, _, probes in machines.PROBES for p in probes] + [("home", "nothing")]
     at = F.element_at(F.array(*[F.struct(F.lit(b).alias("base"), F.lit(p).alias("path")) for b, p in places]), (F.pmod(n, F.lit(len(places))) + 1).cast("int"))
