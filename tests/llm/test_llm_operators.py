@@ -10,6 +10,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
@@ -148,6 +149,28 @@ def test_automaton_equals_the_library(spark):
     assert out[9999].n_tokens == 0 and out[9999].decoded == ""
 
 
+def test_rare_words_share_few_contexts():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = bpe.Tokenizer(f.read())
+    library, r = Library.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    words = sorted({"".join(r.choices("abcdefgh", k=12)) for _ in range(3000)})
+    ids = tokenizer.automaton.encode_sorted([w.encode() for w in words])
+    assert ids == [x.ids for x in library.encode_batch(words, add_special_tokens=False)]
+    assert len(tokenizer.automaton._near) <= 8 + 8**2 + 8**3
+
+
+def test_both_engines_cut_the_same_words():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = bpe.Tokenizer(f.read())
+    split, r = regex.compile(bpe.PRE_SPLIT), random.Random(4)
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000), *range(0x1F000, 0x20000)]):
+        text = f"a{c} {c}{c}1 {c}a{c}"
+        assert tokenizer._words(text) == split.findall(text), hex(ord(c))
+    for _ in range(3000):
+        text = "".join(r.choices("aZé日1٣ \n\t\u00a0\u2003\u0085\x1c'stdlrevm.,-[]^😀"[: r.choice([24, 99])], k=r.randrange(40)))
+        assert tokenizer._words(text) == split.findall(text)
+
+
 # ---- chat
 
 
