@@ -214,11 +214,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
     """docs with one row of each component left: one of those with its smallest
-    key and, among them, the smallest fingerprint. Columns are unchanged."""
-    marked = written(fingerprints(docs, text, size), "simhash")
-    labels = _labelled(marked.select(F.col(key).alias("key"), "fingerprint"))
-    firsts = marked.select(F.col(key).alias("key"), "fingerprint").join(labels, "fingerprint").where(F.col("key").eqNullSafe(F.col("component_id")))
-    stay = written(firsts.groupBy("root").agg(F.min(F.struct("key", "fingerprint")).alias("one")).select("one.*"), "simhash-stay")
-    same = marked[key].eqNullSafe(stay["key"]) & (marked["fingerprint"] == stay["fingerprint"])
-    kept = marked.join(stay, same, "left_semi").dropDuplicates([key, "fingerprint"])
+    key and, among them, the smallest fingerprint. Columns are unchanged. The
+    row is chosen by its number, so texts are shuffled once and never sorted."""
+    marked = written(fingerprints(docs, text, size).withColumn("__row", F.monotonically_increasing_id()), "simhash")
+    rows = marked.select(F.col(key).alias("key"), "fingerprint", "__row")
+    labels = _labelled(rows.select("key", "fingerprint"))
+    firsts = rows.join(labels, "fingerprint").where(F.col("key").eqNullSafe(F.col("component_id")))
+    stay = written(firsts.groupBy("root").agg(F.min(F.struct("key", "fingerprint", "__row"))["__row"].alias("__row")).select("__row"), "simhash-stay")
+    kept = marked.join(stay.hint("shuffle_hash"), "__row", "left_semi")
     return kept.select(*docs.columns)

@@ -259,6 +259,17 @@ def test_simhash_and_components(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_texts_of_near_duplicates_are_shuffled_once(spark):
+    texts = [(7, "One two three four"), (7, "one two three FOUR"), (7, "one two three FOUR"), (3, "one two three four"), (3, "ONE two three four"), (None, None), (None, ""), (9, "quite another text, which stays")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    kept = simhash.drop_near_duplicates(docs)
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan, plan
+    assert kept.columns == docs.columns
+    assert sorted(str(x.doc_id) for x in kept.collect()) == ["3", "9", "None"]
+
+
+
 def test_large_buckets_are_divided_without_loss(spark, monkeypatch):
     r = random.Random(1)
     fps = set()
