@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import literals as L
 from ..functions.brackets import in_literal
 from ..functions.regexes import before_first, java, let, matches
 from ..functions.text import line_after
@@ -88,6 +89,7 @@ FLOW_RULE = {"py": "python.llm_output_to_sink", "js": "js.llm_output_to_sink"}
 COMMENT = r"^(#|//|\*|/\*)"
 
 _TOKEN = re.compile(r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)|(["'`].*)|(\#.*|//.*)|([(\[{])|([)\]}])""")
+_BRACKET = re.compile(r"[()\[\]{}]")
 _UNITS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start_line", T.IntegerType())]))
 
 
@@ -97,10 +99,11 @@ def units_of(text: str) -> list[tuple[str, int]]:
     lines = re.split(r"\r?\n", text)
     for i, line in enumerate(lines):
         part.append(line)
-        quoted = False
-        for _, unclosed, _, opens, closes in _TOKEN.findall(line):
-            quoted, depth = bool(unclosed), depth + bool(opens) - bool(closes)
-        more = depth > 0 or (not quoted and line.rstrip().endswith("\\"))
+        quoted, goes_on = False, line.rstrip().endswith("\\")
+        if goes_on or _BRACKET.search(line):  # no other line's tokens matter
+            for _, unclosed, _, opens, closes in _TOKEN.findall(line):
+                quoted, depth = bool(unclosed), depth + bool(opens) - bool(closes)
+        more = depth > 0 or (not quoted and goes_on)
         if not more or len(part) >= MOST_LINES or i + 1 == len(lines):
             out.append(("\n".join(part), i + 2 - len(part)))
             part, depth = [], 0
@@ -137,15 +140,43 @@ def notebook_cells(file: Column, text: Column) -> Column:
     return F.filter(F.transform(code, cell), lambda c: c["text"].rlike("[^ \\t\\r\\n]"))
 
 
-def source_files(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+#: All patterns of rules with their languages, in the order of the bits of _rules_in.
+_PATTERNS = [(lang, rule[4]) for lang, rules in LANGUAGES.items() for rule in rules]
+_rules_in = L.candidates([L.needs(p) for _, p in _PATTERNS])
+_flows_in = L.candidates([L.needs(some[lang]) for lang in ("py", "js") for some in (MODEL_CALL, FLOW_SINK)])
+
+
+def _bits_of(lang: Column, bits: dict[str, int]) -> Column:
+    out = F.lit(0)
+    for name, value in bits.items():
+        out = F.when(lang == name, F.lit(value)).otherwise(out)
+    return out.cast("bigint")
+
+
+def may_have_findings(lang: Column, text: Column) -> Column:
+    """Whether a rule may match in a file: only such files need to be cut into statements for rule_findings."""
+    bits = {name: sum(1 << i for i, (x, _) in enumerate(_PATTERNS) if x == name) for name in LANGUAGES}
+    return _rules_in(text).bitwiseAND(_bits_of(lang, bits)) != 0
+
+
+def may_have_flows(lang: Column, text: Column) -> Column:
+    """Whether a file may hold both a call of a model and a sink."""
+    bits = _bits_of(lang, {"py": 3, "js": 12})
+    return (bits != 0) & (_flows_in(text).bitwiseAND(bits) == bits)
+
+
+def source_files(files: DataFrame, file: str = "file", text: str = "text", only=None) -> DataFrame:
     """(file, lang, units, paths, constants) of the files in a language with
     rules, and of notebooks' code cells; units holds (text, start_line) of each
     statement, paths and constants the names of the path module and of fixed
-    paths in scripts that load modules by computed names, else null."""
+    paths in scripts that load modules by computed names, else null. With only,
+    a test of lang and text, the files and cells that pass it."""
     name, lang, body = F.col(file), language_of(F.col(file)), F.col(text)
     whole = F.when(lang.isNotNull(), F.array(F.struct(name.alias("file"), lang.alias("lang"), F.coalesce(body, F.lit("")).alias("text"))))
     parts = F.when(F.lower(name).endswith(".ipynb"), notebook_cells(name, body)).otherwise(whole)
     rows = files.select(F.explode_outer(parts).alias("p")).where("p is not null").select("p.*")
+    if only is not None:
+        rows = rows.where(only(F.col("lang"), F.col("text")))
     loads = (F.col("lang") == "js") & matches(F.col("text"), DYNAMIC)
     rows = rows.select("file", "lang", "text", logical_units("text").alias("units"), F.when(loads, path_names(F.col("text"))).alias("paths"))
     return rows.select("file", "lang", "units", "paths", F.when(F.col("paths").isNotNull(), constant_paths(F.col("text"), F.col("paths"))).alias("constants"))
@@ -164,13 +195,20 @@ def rule_findings(units: DataFrame) -> DataFrame:
     """(file, rule, severity, category, confidence, line, start_line, ord): the
     first match of each rule in each statement, outside comment lines and, where
     a rule says so, string literals; a rule once a line. start_line and ord (place of the rule) give the order of findings."""
-    unit, out = F.col("unit"), []
-    for lang, rules in LANGUAGES.items():
-        for i, (rule, severity, category, confidence, pattern, fold, code_only) in enumerate(rules):
-            prefix = before_first(unit, pattern, fold)
-            value = F.struct(F.lit(i).alias("ord"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit(code_only).alias("code_only"), prefix.alias("prefix"))
-            out.append(F.when((F.col("lang") == lang) & matches(unit, pattern, fold), value))
-    hits = units.select("file", "start_line", "unit", "paths", "constants", F.explode_outer(F.array_compact(F.array(*out))).alias("h")).where("h is not null").select("file", "start_line", "unit", "paths", "constants", "h.*")
+    unit = F.col("unit")
+
+    def found(low: Column) -> Column:
+        by_lang = F.lit(None)
+        for lang, rules in LANGUAGES.items():
+            out = []
+            for i, (rule, severity, category, confidence, pattern, fold, code_only) in enumerate(rules):
+                prefix = before_first(unit, pattern, fold)
+                value = F.struct(F.lit(i).alias("ord"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit(code_only).alias("code_only"), prefix.alias("prefix"))
+                out.append(F.when(L.matches(unit, low, pattern, fold), value))
+            by_lang = F.when(F.col("lang") == lang, F.array_compact(F.array(*out))).otherwise(by_lang)
+        return by_lang
+
+    hits = units.select("file", "start_line", "unit", "paths", "constants", F.explode_outer(let(F.lower(unit), found)).alias("h")).where("h is not null").select("file", "start_line", "unit", "paths", "constants", "h.*")
     nth = line_after(F.col("prefix"))
     shown = F.trim(F.get(F.split("unit", "\\r?\\n"), nth - 1))
     quoted = F.when(F.col("code_only"), in_literal(F.col("prefix"))).otherwise(False)
@@ -180,16 +218,22 @@ def rule_findings(units: DataFrame) -> DataFrame:
     return kept.groupBy("file", "rule", "line").agg(*[F.first(c).alias(c) for c in same], F.min("start_line").alias("start_line"))
 
 
-def chain_findings(found: DataFrame) -> DataFrame:
-    """(file, rule, line): files whose rules meet both sides of a chain, at the
-    first finding, by statement and then rule, of those that the chain is shown at; at line 1 if there is none."""
+def _chains() -> Column:
+    """Array of (rule, line) of a file's chains, as an aggregate of (rule, start_line, ord, line) of its findings."""
     out = []
     for name, left, right, shown in CHAINS:
         has = lambda ids: F.bool_or(F.col("rule").isin(*ids))
         first = F.min(F.when(F.col("rule").isin(*shown), F.struct("start_line", "ord", "line")))
-        rolled = found.where(F.col("rule").isin(*left, *right, *shown)).groupBy("file").agg(has(left).alias("l"), has(right).alias("r"), F.coalesce(first["line"], F.lit(1)).alias("line"))
-        out.append(rolled.where("l and r").select("file", F.lit(name).alias("rule"), "line"))
-    return out[0].unionByName(out[1])
+        out.append(F.when(has(left) & has(right), F.struct(F.lit(name).alias("rule"), F.coalesce(first["line"], F.lit(1)).alias("line"))))
+    return F.array_compact(F.array(*out))
+
+
+def chain_findings(found: DataFrame) -> DataFrame:
+    """(file, rule, line): files whose rules meet both sides of a chain, at the
+    first finding, by statement and then rule, of those that the chain is shown at; at line 1 if there is none."""
+    used = sorted({rule for _, *some in CHAINS for ids in some for rule in ids})
+    rolled = found.where(F.col("rule").isin(*used)).groupBy("file").agg(_chains().alias("chains"))
+    return rolled.select("file", F.explode_outer("chains").alias("c")).where("c is not null").select("file", "c.rule", "c.line")
 
 
 def _names(text: Column) -> Column:
@@ -244,20 +288,29 @@ def flow_findings(files: DataFrame) -> DataFrame:
     lines whose arguments name a variable that is assigned from a model call
     or from such a variable. name is the first one met; a line is reported
     once. A file is one row, and nothing is shuffled."""
-    out = []
-    for lang in ("py", "js"):
-        calls, sink = MODEL_CALL[lang], FLOW_SINK[lang]
-        some = F.exists("units", lambda u: matches(u["text"], calls)) & F.exists("units", lambda u: matches(u["text"], sink))
-        mine = files.where((F.col("lang") == lang) & some).withColumn("tainted", _tainted(F.col("units"), calls)).where("size(tainted) > 0")
-        rows = mine.select("file", "tainted", F.posexplode("units").alias("u", "unit"))
-        rows = rows.select("file", "tainted", F.col("unit.start_line").alias("start_line"), F.posexplode(_sinks(F.col("unit"), sink)).alias("s", "sink"))
-        via = F.get(F.filter("tainted", lambda t: F.array_contains(F.col("sink.uses"), t)), F.lit(0))
-        shown = F.col("sink.shown")
-        rows = rows.select("file", "start_line", "s", via.alias("name"), F.col("sink.sink").alias("sink"), shown.alias("shown"), (F.col("start_line") + F.col("sink.nth") - 1).alias("line"))
-        rows = rows.where((F.col("name").isNotNull()) & (F.col("shown") != "") & ~F.col("shown").rlike(COMMENT))
-        first = rows.groupBy("file", "line").agg(F.min_by(F.struct("name", "sink"), F.struct("start_line", "s")).alias("f"))
-        out.append(first.select("file", F.lit(FLOW_RULE[lang]).alias("rule"), F.col("f.name").alias("name"), F.col("f.sink").alias("sink"), "line"))
-    return out[0].unionByName(out[1])
+    lang = F.col("lang")
+    each = lambda of: F.when(lang == "py", of("py")).when(lang == "js", of("js"))
+    some = each(lambda x: F.exists("units", lambda u: matches(u["text"], MODEL_CALL[x])) & F.exists("units", lambda u: matches(u["text"], FLOW_SINK[x])))
+    names = let(F.when(some, each(lambda x: _tainted(F.col("units"), MODEL_CALL[x]))), lambda t: F.when(F.size(t) > 0, F.array(t)))
+    mine = files.select("file", "lang", "units", F.explode_outer(names).alias("tainted")).where("tainted is not null")  # not a filter of units, for which files were cut twice
+    rows = mine.select("file", "lang", "tainted", F.posexplode_outer("units").alias("u", "unit"))
+    rows = rows.select("file", "lang", "tainted", F.col("unit.start_line").alias("start_line"), F.posexplode(each(lambda x: _sinks(F.col("unit"), FLOW_SINK[x]))).alias("s", "sink"))
+    via = F.get(F.filter("tainted", lambda t: F.array_contains(F.col("sink.uses"), t)), F.lit(0))
+    shown = F.col("sink.shown")
+    rows = rows.select("file", "lang", "start_line", "s", via.alias("name"), F.col("sink.sink").alias("sink"), shown.alias("shown"), (F.col("start_line") + F.col("sink.nth") - 1).alias("line"))
+    rows = rows.where((F.col("name").isNotNull()) & (F.col("shown") != "") & ~F.col("shown").rlike(COMMENT))
+    first = rows.groupBy("file", "lang", "line").agg(F.min_by(F.struct("name", "sink"), F.struct("start_line", "s")).alias("f"))
+    return first.select("file", each(lambda x: F.lit(FLOW_RULE[x])).alias("rule"), F.col("f.name").alias("name"), F.col("f.sink").alias("sink"), "line")
+
+
+def find_rules(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """rule_findings of source files; only files in which a rule may match are cut into statements."""
+    return rule_findings(_statements(source_files(files, file, text, may_have_findings)))
+
+
+def find_flows(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """flow_findings of source files; only files that may hold a call of a model and a sink are cut into statements."""
+    return flow_findings(source_files(files, file, text, may_have_flows))
 
 
 def scan_source(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:

@@ -468,7 +468,7 @@ def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SRC.chain_findings(SRC.rule_findings(SRC.statements(_sources(spark, sf_dir))))
+    return SRC.chain_findings(SRC.find_rules(_sources(spark, sf_dir)))
 
 
 def code_flows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,14 @@ def test_flows_equal_brute_force(spark):
 def test_chains_are_shown_at_their_own_rules(spark):
     df = files(spark, a_py="importlib.import_module(x)\ny = base64.b64decode(z)\nexec(y)")
     assert [(r.rule, r.line) for r in SRC.chain_findings(SRC.rule_findings(SRC.statements(df))).collect()] == [("chain.decode_exec", 2)]
+
+
+def parses(df):
+    """How often a plan cuts files into statements."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("logical_units(")
+
+
+def test_chains_cut_files_once(spark):
+    df = files(spark, a_py="y = base64.b64decode(z)\nos.system(\n  y)", b_py="requests.get(u)\nm = f(trust_remote_code=True)", c_py="prose about the system")
+    found = SRC.chain_findings(SRC.rule_findings(SRC.statements(df)))
+    assert parses(found) == 1 and {(r.file, r.rule, r.line) for r in found.collect()} == {("a.py", "chain.decode_exec", 1), ("b.py", "chain.remote_code_egress", 1)}
