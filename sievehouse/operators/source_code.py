@@ -316,11 +316,9 @@ def find_flows(files: DataFrame, file: str = "file", text: str = "text") -> Data
 def scan_source(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """(file, rule, severity, category, confidence, line): the findings of the
     rules, the flows and the chains of source files, together."""
-    parsed = source_files(files, file, text)
-    rules = rule_findings(_statements(parsed))
-    flat = lambda df, severity, category, confidence: df.select("file", "rule", F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), "line")
-    return (
-        rules.select("file", "rule", "severity", "category", "confidence", "line")
-        .unionByName(flat(flow_findings(parsed), "HIGH", "taint-heuristic", 0.5))
-        .unionByName(flat(chain_findings(rules), "CRITICAL", "chain", 0.6))
-    )
+    kept = ("rule", "severity", "category", "confidence", "line")
+    flat = lambda x, severity, category, confidence: F.struct(x["rule"].alias("rule"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), x["line"].alias("line"))
+    rolled = find_rules(files, file, text).groupBy("file").agg(F.collect_list(F.struct(*kept)).alias("rules"), _chains().alias("chains"))
+    both = F.concat("rules", F.transform("chains", lambda c: flat(c, "CRITICAL", "chain", 0.6)))
+    flows = find_flows(files, file, text).select("file", flat(F.struct("rule", "line"), "HIGH", "taint-heuristic", 0.5).alias("f"))
+    return rolled.select("file", F.explode_outer(both).alias("f")).unionByName(flows).select("file", "f.*")

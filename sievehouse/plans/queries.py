@@ -472,7 +472,7 @@ def code_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SRC.flow_findings(SRC.source_files(_sources(spark, sf_dir)))
+    return SRC.find_flows(_sources(spark, sf_dir))
 
 
 def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,3 +104,12 @@ def test_chains_cut_files_once(spark):
     df = files(spark, a_py="y = base64.b64decode(z)\nos.system(\n  y)", b_py="requests.get(u)\nm = f(trust_remote_code=True)", c_py="prose about the system")
     found = SRC.chain_findings(SRC.rule_findings(SRC.statements(df)))
     assert parses(found) == 1 and {(r.file, r.rule, r.line) for r in found.collect()} == {("a.py", "chain.decode_exec", 1), ("b.py", "chain.remote_code_egress", 1)}
+
+
+def test_whole_scan_cuts_files_twice_at_most(spark):
+    df = files(spark, a_py="y = base64.b64decode(z)\nos.system(\n  y)", c_js="const t = await client.messages.create(p)\neval(t)", d_py="prose about the system")
+    found = SRC.scan_source(df)
+    assert parses(found) <= 2
+    assert {(r.file, r.rule, r.line) for r in found.collect()} == {
+        ("a.py", "python.encoded_payload", 1), ("a.py", "python.dangerous_sinks", 2), ("a.py", "chain.decode_exec", 1), ("c.js", "js.code_exec", 2), ("c.js", "js.llm_output_to_sink", 2),
+    }
