@@ -464,7 +464,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SRC.rule_findings(SRC.statements(_sources(spark, sf_dir))).drop("start_line", "ord")
+    return SRC.find_rules(_sources(spark, sf_dir)).drop("start_line", "ord")
 
 
 def code_chains(spark: SparkSession, sf_dir: str) -> DataFrame:

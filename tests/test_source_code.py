@@ -113,3 +113,15 @@ def test_whole_scan_cuts_files_twice_at_most(spark):
     assert {(r.file, r.rule, r.line) for r in found.collect()} == {
         ("a.py", "python.encoded_payload", 1), ("a.py", "python.dangerous_sinks", 2), ("a.py", "chain.decode_exec", 1), ("c.js", "js.code_exec", 2), ("c.js", "js.llm_output_to_sink", 2),
     }
+
+
+def test_only_files_that_may_match_are_cut(spark):
+    """What a rule needs is looked for in each cell and language by itself; no finding is lost by it."""
+    import json
+
+    df = files(spark, a_py="import pickle\nx = pickle.load(f)", b_js="x = pickle.load(f)", c_py="nothing at all", d_js="EVAL (x)\neval (x)", e_py=None, f_txt="eval(x)")
+    book = [("n.ipynb", json.dumps({"cells": [{"cell_type": "code", "source": "m = torch.load(p)"}, {"cell_type": "code", "source": "prose"}]}))]
+    df = df.unionByName(spark.createDataFrame(book, "file string, text string"))
+    assert sorted(r.file for r in SRC.source_files(df, only=SRC.may_have_findings).collect()) == ["a.py", "d.js", "n.ipynb#cell1"]
+    key = lambda found: sorted((r.file, r.rule, r.line) for r in found.collect())
+    assert key(SRC.find_rules(df)) == key(SRC.rule_findings(SRC.statements(df))) == [("a.py", "python.pickle_deserialization", 2), ("d.js", "js.code_exec", 2), ("n.ipynb#cell1", "python.pickle_deserialization", 1)]
