@@ -18,10 +18,17 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), LINE_BREAK)
 
 
-def explode_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without its text, one row a line: line (from 1), line_text. A null text has one empty line."""
+def explode_lines(docs: DataFrame, text: str = "text", only: Column | None = None) -> DataFrame:
+    """docs without its text, one row a line: line (from 1), line_text. A null
+    text has one empty line. With only, the lines of the rows where it is true."""
     rest = [c for c in docs.columns if c not in (text, "line", "line_text")]
-    return docs.select(*rest, F.posexplode(lines_of(F.col(text))).alias("line", "line_text")).withColumn("line", F.col("line") + 1)
+    return _one_a_line(docs, rest, lines_of(F.col(text)), only).select(*rest, F.col("line"), F.col("x").alias("line_text"))
+
+
+def _one_a_line(docs: DataFrame, rest: list[str], lines: Column, only: Column | None) -> DataFrame:
+    """(rest, line, x). The outer explode keeps Spark from cutting texts a second time, as a filter."""
+    rows = docs.select(*rest, F.posexplode_outer(lines if only is None else F.when(only, lines)).alias("line", "x"))
+    return (rows if only is None else rows.where("line is not null")).withColumn("line", F.col("line") + 1)
 
 
 def line_after(prefix: Column) -> Column:
@@ -57,11 +64,10 @@ def fenced_lines(text: Column) -> Column:
     return let(lines_of(text), lambda lines: let(marks(lines), lambda m: cut(lines, m)))
 
 
-def explode_fenced(docs: DataFrame, text: str = "text") -> DataFrame:
+def explode_fenced(docs: DataFrame, text: str = "text", only: Column | None = None) -> DataFrame:
     """explode_lines with in_fence; nothing is shuffled."""
     rest = [c for c in docs.columns if c not in (text, "line", "line_text", "in_fence")]
-    rows = docs.select(*rest, F.posexplode(fenced_lines(F.col(text))).alias("line", "x"))
-    return rows.select(*rest, (F.col("line") + 1).alias("line"), "x.line_text", "x.in_fence")
+    return _one_a_line(docs, rest, fenced_lines(F.col(text)), only).select(*rest, "line", "x.line_text", "x.in_fence")
 
 
 #: What opens a region that is not live text, and how each region ends. 1: quoted, 2: concealed from a reader.

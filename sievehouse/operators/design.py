@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.regexes import java, matches
+from ..functions import literals as L
+from ..functions.regexes import java, let, matches
 from ..functions.text import explode_fenced
 from ..plans import prose as P
 from . import findings as FN
@@ -41,21 +42,25 @@ def path_severity(source: Column, sink: Column) -> Column:
     return F.when(hard & (source == "injection"), "CRITICAL").when(hard, "HIGH").when((sink == "network") & source.isin("readsSensitive", "injection"), "HIGH").otherwise("MEDIUM")
 
 
+#: Which capabilities a text may describe.
+_described = L.candidates([L.needs(p) for _, _, p in P.CAPABILITIES])
+
+
 def evidence(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, cap, what, line, quote, match, score): the first line for each
     capability noun, outside fences and disclaimers."""
-    lines = explode_fenced(docs.select(key, text), text)
-    t = F.trim(F.col("line_text"))
-    prose = lines.where(~F.col("in_fence") & (t != "") & (t != "---") & ~t.rlike("^\\|[\\s\\-:|]+\\|\\z") & ~matches(F.col("line_text"), P.DISCLAIMER, True))
-    cites = F.array_compact(
-        F.array(
-            *[
-                F.when(matches(F.col("line_text"), p, True), F.struct(F.lit(i).alias("ord"), F.lit(cap).alias("cap"), F.lit(what).alias("what"), F.left(F.regexp_substr("line_text", F.lit(java(p, True))), F.lit(60)).alias("match")))
-                for i, (cap, what, p) in enumerate(P.CAPABILITIES)
-            ]
-        )
-    )
-    hits = prose.select(key, "line", "line_text", F.explode_outer(cites).alias("c")).where("c is not null").select(key, "line", "line_text", "c.*")
+    docs = docs.select(key, text, _described(text).alias("__mask"))
+    lines = explode_fenced(docs, text, F.col("__mask") != 0)
+    line, t = F.col("line_text"), F.trim(F.col("line_text"))
+    prose = ~F.col("in_fence") & (t != "") & (t != "---") & ~t.rlike("^\\|[\\s\\-:|]+\\|\\z")
+
+    def cites(low: Column) -> Column:
+        cite = lambda i, cap, what, p: F.struct(F.lit(i).alias("ord"), F.lit(cap).alias("cap"), F.lit(what).alias("what"), F.left(F.regexp_substr("line_text", F.lit(java(p, True))), F.lit(60)).alias("match"))
+        return F.array_compact(F.array(*[F.when(L.bit(F.col("__mask"), i) & L.matches(line, low, p, True), cite(i, cap, what, p)) for i, (cap, what, p) in enumerate(P.CAPABILITIES)]))
+
+    stated = lambda c: F.when((F.size(c) > 0) & ~matches(line, P.DISCLAIMER, True), c)
+    found = F.when(prose, let(let(F.lower(line), cites), stated))
+    hits = lines.select(key, "line", "line_text", F.explode_outer(found).alias("c")).where("c is not null").select(key, "line", "line_text", "c.*")
     best = hits.groupBy(key, "cap", "what", "ord").agg(F.min_by(F.struct("line", "line_text", "match"), "line").alias("f"))
     return best.select(key, "cap", "what", "ord", F.col("f.line").alias("line"), F.left(F.trim("f.line_text"), F.lit(160)).alias("quote"), F.col("f.match").alias("match"), evidence_score(F.col("f.line_text")).alias("score"))
 
