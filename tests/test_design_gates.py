@@ -24,3 +24,11 @@ def test_paths_look_for_needs_once(spark):
     assert {(r.doc_id, r.cap, r.what, r.line, r.match) for r in cited.collect()} == {
         (1, "injection", "inbound email", 1, "INBOUND EMAIL"), (1, "exec", "running shell commands", 2, "runs shell"), (7, "injection", "inbound email", 2, "email"),
     }
+
+
+def test_verdicts_of_all_documents(spark):
+    docs = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string")
+    out = design.analyze_designs(docs)
+    assert asked_first(out) == 1
+    got = {r.doc_id: (r.verdict, r.worst, r.n_paths) for r in out.collect()}
+    assert got == {1: ("OPEN_PATH", "CRITICAL", 1)} | {i: ("NOT_DESCRIBED", None, 0) for i in range(2, 7)} | {7: ("PARTIAL", None, 0)}
