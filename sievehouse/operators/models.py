@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import literals as L
 from ..functions.regexes import java, matches
 from ..functions.text import explode_lines
 
@@ -48,6 +49,11 @@ def is_bare_id(model: Column) -> Column:
     return ~model.rlike("^[@./]") & (F.instr(model, "..") == 0) & ~F.lower(model).isin(*NOT_IDS) & F.when(F.instr(model, "/") > 0, is_repository_id(model)).otherwise(plain)
 
 
+_SOURCES = [URL, TORCH, OLLAMA, PRETRAINED, SENTENCE, KEYWORD, YAML, QUOTED]
+#: Which patterns a text may match; a quoted name counts with a loader alone.
+_referred = L.candidates([L.needs(p) if p != QUOTED else (*L.needs(LOADER), *L.needs(QUOTED)) for p in _SOURCES])
+
+
 def model_references(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, id, revision, source, via, line): each model a document refers to,
     once for source, id and revision, with the first place."""
@@ -59,9 +65,11 @@ def model_references(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     def take(ord_: int, when: Column, pattern: str, fold: bool, source: str, via: str, bare: bool, rev: Column | None) -> Column:
         ids = F.regexp_extract_all(line, F.lit(java(pattern, fold)), F.lit(1))
         make = lambda x, i: F.struct(F.lit(ord_).alias("ord"), i.alias("nth"), x.alias("id"), (F.lit(None).cast("string") if rev is None else rev).alias("revision"), F.lit(source).alias("source"), F.lit(via).alias("via"), F.lit(bare).alias("bare"))
-        return F.when(when, F.transform(ids, make)).otherwise(F.array())
+        return F.when(may(pattern) & when, F.transform(ids, make)).otherwise(F.array())
 
-    rows = explode_lines(docs.select(key, text), text).where(raw != "")
+    low, mask = F.col("low"), F.col("__mask")
+    may = lambda p: L.bit(mask, _SOURCES.index(p)) & L.holds(low, L.needs(p))
+    rows = explode_lines(docs.select(key, text, _referred(text).alias("__mask")), text, mask != 0).where(raw != "").withColumn("low", F.lower("line_text"))
     url_rev = F.nullif(F.regexp_extract(line, java(URL, True), 2), F.lit(""))
     plain = F.filter(F.regexp_extract_all(line, F.lit(java(YAML, True)), F.lit(1)), lambda x: x.rlike("[0-9./]"))
     yaml = F.transform(plain, lambda x, i: F.struct(F.lit(6).alias("ord"), i.alias("nth"), x.alias("id"), revision.alias("revision"), F.lit("hf").alias("source"), F.lit("model: yaml key").alias("via"), F.lit(True).alias("bare")))
@@ -72,8 +80,8 @@ def model_references(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         take(3, own, PRETRAINED, False, "hf", "from_pretrained", True, revision),
         take(4, own, SENTENCE, False, "hf", "sentence-transformers", True, revision),
         take(5, own, KEYWORD, True, "hf", "model= keyword", True, revision),
-        F.when(own, yaml).otherwise(F.array()),
-        take(7, own & matches(line, LOADER, True), QUOTED, False, "hf", "model loader", False, revision),
+        F.when(may(YAML) & own, yaml).otherwise(F.array()),
+        take(7, own & L.matches(line, low, LOADER, True), QUOTED, False, "hf", "model loader", False, revision),
     )
     hits = rows.select(key, "line", F.explode_outer(taken).alias("m")).where("m is not null").select(key, "line", "m.*")
     api = (F.col("source") == "hf") & (F.instr("id", "/") == 0) & matches(F.col("id"), HOSTED, True)
