@@ -104,18 +104,19 @@ def matches(text: Column, low: Column, pattern: str, ignore_case: bool = False)
 
 
 def _any_of(texts) -> str:
-    return "(?i)(?:" + "|".join(re.escape(x) for x in sorted(texts)) + ")"
+    return "(?i:" + "|".join(re.escape(x) for x in sorted(texts)) + ")"
 
 
-def candidates(wanted: list[tuple[tuple[str, ...], ...]]):
+def candidates(wanted: list[tuple[tuple[str, ...], ...] | str]):
     """A function of texts: a number whose bit i is set where a text holds one
-    text of each group of wanted[i]. As one automaton looks for all texts of a
-    group, or for those of all first groups, this costs little more than reading."""
+    text of each group of wanted[i], or matches it, a pattern without looks
+    around. As one automaton looks for all texts of a group, or for those of all
+    first groups, this costs little more than reading."""
     if len(wanted) > 63:
         raise ValueError("63 patterns at most")
-    always = sum(1 << i for i, groups in enumerate(wanted) if not groups)
-    sets = [(1 << i, [_any_of(g) for g in groups]) for i, groups in enumerate(wanted) if groups]
-    some = _any_of({x for groups in wanted if groups for x in groups[0]}) if sets else None
+    always = sum(1 << i for i, x in enumerate(wanted) if not x)
+    sets = [(1 << i, [x] if isinstance(x, str) else [_any_of(g) for g in x]) for i, x in enumerate(wanted) if x]
+    some = "|".join([_any_of({x for w in wanted if w and not isinstance(w, str) for x in w[0]} or {"\0"}), *(w for w in wanted if w and isinstance(w, str))]) if sets else None
 
     @F.arrow_udf(T.LongType())
     def mask(texts: pa.Array) -> pa.Array:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.regexes import let
 from ..plans.signals import SEVERITIES, WEIGHTS
 
 TYPE = "array<struct<label:string,severity:string,category:string,line:int,offset:int>>"
@@ -61,7 +62,7 @@ def grade(found: Column) -> Column:
 def top(found: Column) -> Column:
     """The first finding of the worst severity, or null."""
     worst = F.array_max(F.transform(found, lambda x: rank(x["severity"])))
-    return F.get(F.filter(found, lambda x: rank(x["severity"]) == worst), F.lit(0))
+    return let(worst, lambda w: F.get(F.filter(found, lambda x: rank(x["severity"]) == w), F.lit(0)))
 
 
 def keep_first(found: Column, key) -> Column:

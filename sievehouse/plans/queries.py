@@ -335,7 +335,9 @@ SELECT doc_id, CASE WHEN worst >= 5 THEN 'BLOCK' WHEN worst >= 4 THEN 'FLAG' ELS
 
 
 def top_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graded_docs(spark, sf_dir).select("doc_id", FN.top(F.col("findings")).alias("t")).where("t is not null").select("doc_id", "t.label", "t.severity")
+    """The first of the worst findings of each document that has one. Not a filter of the scan, which would then run again, before texts are dealt."""
+    top = R.let(FN.top(F.col("findings")), lambda t: F.when(t.isNotNull(), F.array(t)))
+    return _graded_docs(spark, sf_dir).select("doc_id", F.explode_outer(top).alias("t")).where("t is not null").select("doc_id", "t.label", "t.severity")
 
 
 def _top_sql() -> str:

@@ -17,3 +17,29 @@ def test_model_references_look_for_needs_once(spark):
     assert {(r.doc_id, r.id, r.revision, r.via, r.line) for r in out.collect()} == {
         (1, "org-a/model-b", "main", "huggingface.co URL", 1), (1, "vendor/name-7b", None, "model: yaml key", 2), (3, "org/name", None, "model loader", 1), (4, "llama3:8b", None, "ollama", 2),
     }
+
+
+def test_top_finding_scans_once(spark):
+    """A filter of what the scan found ran the whole scan a second time, on undealt texts."""
+    from sievehouse.plans import queries
+
+    out = queries.top_finding(spark, "/root/testdata/sf0.001")
+    text = plan(out)
+    assert text.count("Credit card number") == 1 and text.count("mask(") == 1
+    docs = queries._graded_docs(spark, "/root/testdata/sf0.001").select("doc_id", "findings").collect()
+    rank = {"CRITICAL": 5, "HIGH": 4, "MEDIUM": 3, "LOW": 2, "INFO": 1}
+    want = {(r.doc_id, *(lambda x: (x.label, x.severity))(max(r.findings, key=lambda x: rank[x.severity]))) for r in docs if r.findings}
+    assert {tuple(r) for r in out.collect()} == want
+
+
+def test_scan_is_the_same_with_what_texts_hold(spark):
+    from sievehouse.operators import scan
+    from sievehouse.plans import queries
+    from pyspark.sql import functions as F
+
+    extra = ["RM\t-RF x", "card 4111-1111-1111-1111", "call 319 555 0123", "at 93.184.216.34", "a​b", "nc\x0b-e x", "NCAT", "YOLO: true", "Send Them To x", None, "", "ssn 219-09-9999", "sK_live_" + "a" * 20, "Q2N1cmwgaHR0cHM6Ly94LnkgfCBzaCAmJiB3Z2V0"]
+    docs = spark.createDataFrame([(x,) for x in queries.OVERLAY + [x.upper() for x in queries.OVERLAY] + extra], "text string")
+    plain = docs.select("text", scan.scan(F.col("text"), scan.CATEGORIES).alias("findings"))
+    quick = scan.scan_documents(docs, scan.CATEGORIES, masked=False)
+    key = lambda df: sorted((r.text or "", str(r.findings)) for r in df.collect())
+    assert key(plain) == key(quick)
